@@ -23,3 +23,36 @@ SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n_removed, 0)::BIGINT AS n_
        sha256(coalesce(t, '')) AS kept_sha256
 FROM d LEFT JOIN kept USING (doc_id)
 """
+
+ORACLES["op3_exact_top_k"] = """
+WITH v AS (
+  SELECT vec_id, [floor(256 * x::DOUBLE) for x in embedding] AS e FROM embeddings
+  WHERE embedding IS NOT NULL
+    AND len([x for x in embedding if x IS NULL OR isnan(x) OR isinf(x)]) = 0),
+scored AS (
+  SELECT q.vec_id AS query_id, r.vec_id, list_inner_product(q.e, r.e)::BIGINT AS score
+  FROM v q JOIN v r ON q.vec_id % 50 = 0 AND q.vec_id <> r.vec_id),
+ranked AS (
+  SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank, vec_id, score
+  FROM scored)
+SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5
+"""
+
+ORACLES["op6_embedding_near_dedup"] = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND label IS NOT NULL
+    AND len([x for x in embedding if x IS NULL OR isnan(x) OR isinf(x)]) = 0
+    AND len([x for x in embedding if x <> 0]) > 0),
+edge AS (
+  SELECT a.vec_id AS u, b.vec_id AS w FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id
+  WHERE list_cosine_similarity(a.e, b.e) >= 0.98),
+reach AS (
+  SELECT vec_id AS u, vec_id AS w FROM embeddings
+  UNION
+  SELECT reach.u, edge.w FROM reach JOIN edge ON reach.w = edge.u),
+part AS (SELECT u, min(w) AS component_id FROM reach GROUP BY u),
+n AS (SELECT u, count(*) AS n_links FROM edge GROUP BY u)
+SELECT vec_id, coalesce(n_links, 0)::BIGINT AS n_links, component_id, vec_id = component_id AS kept
+FROM embeddings JOIN part ON vec_id = part.u LEFT JOIN n ON vec_id = n.u
+"""

@@ -20,8 +20,9 @@ from pyspark.sql import functions as F
 
 #: Labelled rows that the fit uses at most (those with the smallest hash of doc_id), and learned terms at most.
 SAMPLE_ROWS, LEXICON_TERMS = 20_000, 3_000
-#: A learned term stands after at least so many different words in toxic rows, and its log-odds are at least so high.
-MIN_NEIGHBOURS, MIN_LOG_ODDS = 4, 2.5
+#: A learned term stands after at least so many different words in toxic rows (copies of one row teach nothing new), and the
+#: lower 99 % confidence bound of its log-odds is at least so high.
+MIN_NEIGHBOURS, MIN_LOG_ODDS, Z = 4, 1.0, 2.58
 #: Insults known without labels.
 SEED_TERMS = ("idiot", "moron", "stupid", "scum", "trash", "loser", "clown", "pathetic", "worthless", "disgusting", "imbecile", "dumbass", "bastard", "arschloch", "dummkopf", "connard", "salaud", "cabrón", "gilipollas")
 #: Words of reporting and of address.
@@ -203,7 +204,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
             F.count_distinct(F.when(F.col("toxic") == 1, F.col("before"))).alias("neighbours"),
         )
         odds = F.log((F.col("p") + 0.5) / (n[1] + 1.0)) - F.log((F.col("n") + 0.5) / (n[0] + 1.0))
-        best = by_word.filter((F.col("neighbours") >= MIN_NEIGHBOURS) & (F.length("w") >= 3)).withColumn("odds", odds).filter(F.col("odds") >= MIN_LOG_ODDS)
+        best = by_word.filter((F.col("neighbours") >= MIN_NEIGHBOURS) & (F.length("w") >= 3)).withColumn("odds", odds - Z * F.sqrt(1 / (F.col("p") + 0.5) + 1 / (F.col("n") + 0.5))).filter(F.col("odds") >= MIN_LOG_ODDS)
         learned = best.orderBy(F.desc("odds"), "w").limit(LEXICON_TERMS).collect()
         weights |= {r.w: 1.0 for r in learned}
     start = Model(weights, -3.0, [3.0, 0.5, 0.1, 1.0, 1.0, 0.2, 0.0], [0.0] * 7, [1.0] * 7)

@@ -56,3 +56,48 @@ n AS (SELECT u, count(*) AS n_links FROM edge GROUP BY u)
 SELECT vec_id, coalesce(n_links, 0)::BIGINT AS n_links, component_id, vec_id = component_id AS kept
 FROM embeddings JOIN part ON vec_id = part.u LEFT JOIN n ON vec_id = n.u
 """
+
+
+def _level(depth: int, source: str) -> str:
+    """One level of op1's tree: nodes with budget, shared among the children of each parent."""
+    keys = ["domain", "lang", "source"][: depth + 1]
+    own, over = ", ".join(keys), ", ".join(keys[:-1]) or "1"
+    weight = {
+        "domain": "CASE domain WHEN 'd0' THEN 4 WHEN 'd1' THEN 3 WHEN 'd2' THEN 2 ELSE 1 END",
+        "lang": "CASE lang WHEN 'en' THEN 4 WHEN 'de' THEN 2 WHEN 'fr' THEN 2 WHEN 'es' THEN 3 ELSE 1 END",
+        "source": "CASE source WHEN 'src0' THEN 1 WHEN 'src1' THEN 3 WHEN 'src2' THEN 2 ELSE 1 END",
+    }[keys[-1]]
+    join = f"JOIN {source} p USING ({', '.join(keys[:-1])})" if depth else f"CROSS JOIN {source} p"
+    return f"""
+n{depth} AS (SELECT {own}, sum(tokens)::HUGEINT AS tokens, sum(tokens)::HUGEINT * 2 AS cap, {weight} AS w FROM leaf GROUP BY {own}),
+o{depth} AS (
+  SELECT n{depth}.*, p.budget AS b,
+    coalesce(sum(cap) OVER (PARTITION BY {over} ORDER BY cap / w, {keys[-1]} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before,
+    sum(w) OVER (PARTITION BY {over} ORDER BY cap / w, {keys[-1]} ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS onward
+  FROM n{depth} {join}),
+f{depth} AS (SELECT *, (b - before) * w >= cap * onward AS is_full FROM o{depth}),
+l{depth} AS (
+  SELECT {own}, tokens, CASE WHEN is_full THEN cap
+    ELSE ((b - coalesce(sum(cap) FILTER (WHERE is_full) OVER (PARTITION BY {over}), 0)) * w)
+         // (sum(w) FILTER (WHERE NOT is_full) OVER (PARTITION BY {over})) END::HUGEINT AS budget
+  FROM f{depth})"""
+
+
+ORACLES["op1_source_mixing"] = f"""
+WITH base AS (
+  SELECT doc_id, coalesce('d' || (try_cast(nullif(regexp_extract(source, '(\\d+)$', 1), '') AS INTEGER) % 4), 'none') AS domain,
+         coalesce(lang, 'none') AS lang, coalesce(source, 'none') AS source, len({_WORDS})::BIGINT AS n_tokens
+  FROM documents),
+leaf AS (SELECT domain, lang, source, sum(n_tokens) AS tokens FROM base GROUP BY ALL),
+root AS (SELECT floor(sum(tokens) * 0.6::DOUBLE)::HUGEINT AS budget FROM leaf),
+{_level(0, 'root')},
+{_level(1, 'l0')},
+{_level(2, 'l1')},
+keyed AS (
+  SELECT base.*, (q.budget // q.tokens)::BIGINT AS whole, q.budget % q.tokens AS rest,
+    ('0x' || substr(md5('17:' || (q.budget // q.tokens)::BIGINT || ':' || doc_id), 1, 15))::BIGINT AS k
+  FROM base JOIN l2 q USING (domain, lang, source) WHERE q.tokens > 0),
+summed AS (SELECT *, sum(n_tokens) OVER (PARTITION BY domain, lang, source ORDER BY k, doc_id, n_tokens ROWS UNBOUNDED PRECEDING) AS total FROM keyed)
+SELECT doc_id, domain, lang, source, n_tokens, whole + (total <= rest)::BIGINT AS copies
+FROM summed WHERE whole + (total <= rest)::BIGINT > 0
+"""

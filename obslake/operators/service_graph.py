@@ -28,13 +28,13 @@ def halves(spans: DataFrame) -> DataFrame:
 def pair(spans: DataFrame, wait_ms: int = 10_000, peers: tuple[str, ...] = PEERS) -> DataFrame:
     """One row for each (trace_id, key): outcome 'completed', 'virtual' or 'unpaired', and the edge's columns.
 
-    Of several halves of one side the last to arrive counts (ties by span id). Halves pair when they arrive less than wait_ms
+    Of several halves of one side the last to arrive counts (ties by span id, service, end). Halves pair when they arrive less than wait_ms
     apart; otherwise each expires on its own, as one row each. An expired half with a peer attribute becomes an edge to a virtual node; db
     attributes don't name a peer of a server. Edge: client, server, connection_type, failed, client_ns, server_ns.
     """
     known = halves(spans).filter("side is not null and not unkeyable")
     half = F.struct(F.col("arrival_ms").alias("at"), "span_id", "service", (F.col("status") == "ERROR").alias("failed"), span_nanos("start_ns", "end_ns").alias("ns"), "kind", "attrs")
-    last = lambda side: F.max_by(F.when(F.col("side") == side, half), F.when(F.col("side") == side, F.struct("arrival_ms", "span_id")))
+    last = lambda side: F.max_by(F.when(F.col("side") == side, half), F.when(F.col("side") == side, F.struct("arrival_ms", "span_id", "service", "end_ns", "start_ns", "kind", "status")))
     both = known.groupBy("trace_id", "key").agg(last("client").alias("c"), last("server").alias("s"))
     met = F.col("c").isNotNull() & F.col("s").isNotNull() & (F.abs(F.col("c.at") - F.col("s.at")) < wait_ms)
     alone = F.filter(F.array(F.struct(F.col("c"), F.lit(None).cast(both.schema["s"].dataType).alias("s")), F.struct(F.lit(None).cast(both.schema["c"].dataType).alias("c"), F.col("s"))), lambda e: e["c"].isNotNull() | e["s"].isNotNull())

@@ -101,11 +101,11 @@ _PAIRS = """half AS (
   SELECT *, CASE WHEN kind IN ('CLIENT', 'PRODUCER') THEN 'client' WHEN kind IN ('SERVER', 'CONSUMER') THEN 'server' END AS side,
     CASE WHEN kind IN ('CLIENT', 'PRODUCER') THEN span_id ELSE parent_span_id END AS key FROM v_spans),
 known AS (SELECT * FROM half WHERE side IS NOT NULL AND service <> '' AND trace_id <> '' AND NOT (side = 'client' AND span_id = '')),
-last AS (SELECT * FROM known QUALIFY row_number() OVER (PARTITION BY trace_id, key, side ORDER BY arrival_ms DESC, span_id DESC) = 1),
+last AS (SELECT * FROM known QUALIFY row_number() OVER (PARTITION BY trace_id, key, side ORDER BY arrival_ms DESC, span_id DESC, service DESC, end_ns DESC, start_ns DESC, kind DESC, status DESC) = 1),
 one AS (
   SELECT coalesce(c.trace_id, s.trace_id) AS trace_id, coalesce(c.key, s.key) AS key, c.service AS cs, s.service AS ss,
     c.kind AS ck, s.kind AS sk, c.peer_service AS cp, c.db_system AS cdb, s.peer_service AS sp, c.status = 'ERROR' AS cf, s.status = 'ERROR' AS sf,
-    greatest(c.end_ns - c.start_ns, 0) AS cns, greatest(s.end_ns - s.start_ns, 0) AS sns, abs(c.arrival_ms - s.arrival_ms) < 10000 AS near
+    CASE WHEN c.key IS NOT NULL THEN greatest(c.end_ns - c.start_ns, 0) END AS cns, CASE WHEN s.key IS NOT NULL THEN greatest(s.end_ns - s.start_ns, 0) END AS sns, abs(c.arrival_ms - s.arrival_ms) < 10000 AS near
   FROM (FROM last WHERE side = 'client') c FULL JOIN (FROM last WHERE side = 'server') s ON c.trace_id = s.trace_id AND c.key = s.key),
 row1 AS (
   SELECT * FROM one WHERE cs IS NULL OR ss IS NULL OR near
@@ -123,10 +123,10 @@ pairs AS (
 
 
 def service_graph_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return service_graph.pair(span_table(spark, sf_dir))
+    return service_graph.pair(span_table(spark, sf_dir)).withColumns({c: F.coalesce(c, F.lit(-1).cast("long")) for c in ("client_ns", "server_ns")})
 
 
-SQL["service_graph_pairs"] = f"WITH {_PAIRS} SELECT * FROM pairs"
+SQL["service_graph_pairs"] = f"WITH {_PAIRS} SELECT * REPLACE (coalesce(client_ns, -1) AS client_ns, coalesce(server_ns, -1) AS server_ns) FROM pairs"
 
 
 def edge_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:

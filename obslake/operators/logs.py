@@ -65,21 +65,22 @@ def redactions(names: list[str], own: list[Redaction] = ()) -> list[Redaction]:
 
 
 def scrub(text: Column, steps: list[Redaction]) -> Column:
-    """text after all redactions in order; each runs only where its cheap test holds."""
+    """text after all redactions in order; they run only where one of their cheap tests holds."""
+    done = text
     for s in steps:
-        done = F.regexp_replace(text, s.pattern, s.replacement)
-        text = F.when(F.lower(text).rlike(s.likely), done).otherwise(text) if s.likely else done
-    return text
+        done = F.regexp_replace(done, s.pattern, s.replacement)
+    if not steps or not all(s.likely for s in steps):
+        return done
+    return F.when(F.lower(text).rlike("|".join(s.likely for s in steps)), done).otherwise(text)
 
 
 def scrub_counts(logs: DataFrame, steps: list[Redaction]) -> DataFrame:
     """(name, n): records that each redaction changes, in order."""
-    text, counts = F.col("body"), []
-    for s in steps:
-        after = scrub(text, [s])
-        counts.append(F.struct(F.lit(s.name).alias("name"), (text != after).cast("long").alias("hit")))
-        text = after
-    return logs.select(F.inline(F.array(*counts))).groupBy("name").agg(F.coalesce(F.sum("hit"), F.lit(0)).alias("n"))
+    out = logs.select(F.col("body").alias("_0"))
+    for k, s in enumerate(steps):
+        out = out.withColumn(f"_{k + 1}", scrub(F.col(f"_{k}"), [s]))
+    counts = F.array(*(F.struct(F.lit(s.name).alias("name"), (F.col(f"_{k}") != F.col(f"_{k + 1}")).cast("long").alias("hit")) for k, s in enumerate(steps)))
+    return out.select(F.inline(counts)).groupBy("name").agg(F.coalesce(F.sum("hit"), F.lit(0)).alias("n"))
 
 
 def scrub_structured(body: Column, steps: list[Redaction]) -> Column:
@@ -165,22 +166,24 @@ def enrich_lines(logs: DataFrame, overwrite: bool = False) -> DataFrame:
     body = F.col("body")
     short = F.regexp_extract(body, _PATTERN, 1)
     word = F.coalesce(_named(body, "severity"), F.nullif(F.coalesce(F.nullif(short, F.lit("")), F.regexp_extract(body, _PATTERN, 2)), F.lit("")))
-    band = _band(word)
-    number = F.coalesce(*(F.when(band == b, 4 * k + 1) for k, b in enumerate(BANDS)))
     pick = lambda new, old: F.coalesce(new, old) if overwrite else F.coalesce(F.nullif(old, F.lit("")), new, old)
-    found = F.create_map(*(x for n in SPELLINGS if "." in n for x in (F.lit(n), _named(body, n))))
-    found = maps.non_empty(maps.merged(found, F.create_map(F.lit("log.template_hash"), F.substring(F.md5(_named(body, "log.template")), 1, 16))))
+    # in steps, so that no expression stands in several others
+    names = [n for n in SPELLINGS if "." in n]
+    staged = logs.withColumns({"_word": word} | {f"_{k}": _named(body, n) for k, n in enumerate(names)}).withColumn("_band", _band(F.col("_word")))
+    number = F.coalesce(*(F.when(F.col("_band") == b, 4 * k + 1) for k, b in enumerate(BANDS)))
+    hashed = F.substring(F.md5(F.col(f"_{names.index('log.template')}")), 1, 16)
+    found = maps.non_empty(F.create_map(F.lit("log.template_hash"), hashed, *(x for k, n in enumerate(names) for x in (F.lit(n), F.col(f"_{k}")))))
     unset = F.coalesce("severity_text", F.lit("")) == ""
     out = {
         "format": enriched_format(body),
         "severity_number": F.when(number.isNotNull() & (F.lit(overwrite) | unset), number).otherwise(F.col("severity_number")),
-        "severity_text": pick(band, F.col("severity_text")),
+        "severity_text": pick(F.col("_band"), F.col("severity_text")),
         "attrs": maps.merged(F.col("attrs"), found) if overwrite else maps.merged(found, F.col("attrs")),
     }
     for name, length in (("trace_id", 32), ("span_id", 16)):
         new = hex_id(_named(body, name), length)
         out[name] = pick(new, F.col(name)) if name in logs.columns else new
-    return logs.withColumns(out)
+    return staged.withColumns(out).drop("_word", "_band", *(f"_{k}" for k in range(len(names))))
 
 
 @dataclass(frozen=True)
@@ -244,7 +247,7 @@ def workload_rules(logs: DataFrame, pods: DataFrame) -> DataFrame:
     The first matching rule decides. A configuration over the limits or that isn't JSON is ignored.
     """
     parsed = F.from_json("config", _POD_SCHEMA)
-    sane = (F.coalesce(F.size(parsed["rules"]), F.lit(0)) <= POD_RULES) & ~F.exists(F.coalesce(parsed["rules"], F.array().cast("array<struct<action:string,match:string,regex:string>>")), lambda r: F.length(r["regex"]) > POD_PATTERN)
+    sane = (F.coalesce(F.size(parsed["rules"]), F.lit(0)) <= POD_RULES) & ~F.coalesce(F.exists(parsed["rules"], lambda r: F.coalesce(F.length(r["regex"]), F.lit(0)) > POD_PATTERN), F.lit(False))
     own = pods.select(F.col("namespace"), F.col("pod"), F.when(sane, parsed).alias("_own"))
     joined = logs.join(own, ["namespace", "pod"], "left")
     hit = lambda r: F.coalesce(F.col("body").contains(r["match"]), F.lit(False)) | F.coalesce(F.regexp_like(F.col("body"), r["regex"]), F.lit(False))

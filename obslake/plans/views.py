@@ -26,7 +26,7 @@ class Dialect:
         return f"(({a}) {self.idiv} ({b}))"
 
 
-SPARK = Dialect("(cast(datediff({0}, date'1970-01-01') as bigint) * 86400000000 + hour({0}) * 3600000000 + minute({0}) * 60000000 + cast(extract(second from {0}) * 1000000 as bigint))", "div")
+SPARK = Dialect("(cast(datediff({0}, date'1970-01-01') as bigint) * 86400000000 + cast(hour({0}) as bigint) * 3600000000 + cast(minute({0}) as bigint) * 60000000 + cast(extract(second from {0}) * 1000000 as bigint))", "div")
 DUCK = Dialect("epoch_us({0})", "//")
 
 

@@ -31,7 +31,7 @@ _STEPS = logs.redactions(["defaults", "email"])
 def _scrubbed(steps: list[logs.Redaction], text: str = "body") -> str:
     for s in steps:
         quoted = s.pattern.replace("'", "''")
-        text = f"regexp_replace({text}, '{quoted}', '{s.replacement.replace('$1', chr(92) + '1').replace('$2', chr(92) + '2')}', 'g')"
+        text = f"regexp_replace({text}, '{quoted}', '{s.replacement.replace('$', chr(92))}', 'g')"
     return text
 
 

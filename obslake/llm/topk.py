@@ -97,7 +97,9 @@ def top_k(vectors: DataFrame, queries: Column, k: int = 5, vec_id: str = "vec_id
     n_q, n_r = _blocks(asked, QUERY_BLOCK), _blocks(rows, ROW_BLOCK)
 
     def every(n: int) -> Column:
-        return F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+        return F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
+
+    # both sides' keys are longs: keys of other types would be dealt out differently
 
     block = F.pmod(F.xxhash64("id"), F.lit(1 << 40))
     q = asked.select("id", "vector", "size", (block % n_q).alias("qb")).withColumn("rb", every(n_r))

@@ -32,7 +32,8 @@ def _good(v) -> bool:
 
 
 @pytest.mark.parametrize("blocks", [4096, 16])
-def test_top_k_is_that_of_all_rows(frame, monkeypatch, blocks):
+def test_top_k_is_that_of_all_rows(spark, frame, monkeypatch, blocks):
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", str(blocks > 1000).lower())
     monkeypatch.setattr(topk, "ROW_BLOCK", blocks)
     monkeypatch.setattr(topk, "QUERY_BLOCK", 4)
     from pyspark.sql import functions as F

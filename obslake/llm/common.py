@@ -5,7 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -45,16 +45,16 @@ def drop_stored(df: DataFrame) -> None:
         path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def partitions(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+#: Rows that go to a Python worker at once. A row is a whole document, so Spark's default of 10 000 would be many MB.
+BATCH_ROWS = "1000"
 
 
-def free_name(taken: Iterable[str], name: str) -> str:
-    """name, or name with underscores in front until no column has it."""
-    low = {c.lower() for c in taken}
-    while name.lower() in low:
-        name = f"_{name}"
-    return name
+def small_batches(df: DataFrame) -> DataFrame:
+    """df, in a session that sends its rows to Python in small batches."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(df.sparkSession.conf.get(key)) <= int(BATCH_ROWS):
+        df.sparkSession.conf.set(key, BATCH_ROWS)
+    return df
 
 
 def mix(x: np.ndarray) -> np.ndarray:

@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import small_batches
+
 #: Labelled rows that the fit uses at most: those with the smallest hash of doc_id.
 SAMPLE_ROWS = 4_000
 DIMS = 4096
@@ -179,5 +181,5 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
                 names, scores = model.predict(batch.column(1).to_pylist())
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(names, pa.string()), pa.array(scores)], ["doc_id", "lang_pred", "score"])
 
-    found = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, lang_pred string, score double")
+    found = small_batches(docs).select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, lang_pred string, score double")
     return found.select("doc_id", held_out("doc_id").alias("held_out"), "lang_pred", "score")

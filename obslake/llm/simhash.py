@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, contract, mix, stored, text_bytes
+from .common import connected_components, contract, mix, small_batches, stored, text_bytes
 
 RADIUS = 3
 SEED = 42
@@ -62,7 +62,7 @@ def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 def fingerprints(docs: DataFrame) -> DataFrame:
     """(doc_id, fp long) of every row."""
-    return docs.select("doc_id", "text").mapInArrow(_fingerprints, "doc_id long, fp long")
+    return small_batches(docs).select("doc_id", "text").mapInArrow(_fingerprints, "doc_id long, fp long")
 
 
 def _masks() -> list[tuple[np.uint64, np.ndarray]]:
@@ -202,4 +202,6 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 def keep_first(docs: DataFrame) -> DataFrame:
     """docs without the rows whose component has a smaller doc_id; of rows with the same doc_id, one stays."""
     kept = near_duplicates(docs).filter("doc_id <=> component_id").select("doc_id").distinct()
-    return docs.join(kept, docs.doc_id.eqNullSafe(kept.doc_id), "left_semi").dropDuplicates(["doc_id"])
+    named = docs.join(kept.filter("doc_id is not null"), "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id"])
+    unnamed = docs.filter("doc_id is null").withColumn("_all", F.lit(1)).join(kept.filter("doc_id is null").select(F.lit(1).alias("_all")), "_all", "left_semi")
+    return named.unionByName(unnamed.select(*docs.columns).dropDuplicates(["doc_id"]))

@@ -26,10 +26,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import WORD, pack_sorted, text_bytes, unpack_sorted
+from .common import WORD, pack_sorted, small_batches, text_bytes, unpack_sorted
 
 WIDTH = 20
-BLOCK_CHARS = 6_000_000
+BLOCK_CHARS = 3_000_000
 #: Windows a slice of the sketch; cells a window, as a power of two.
 SLICE_WINDOWS, SPARE_BITS = 1 << 21, 5
 _R1, _R2 = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F
@@ -249,7 +249,7 @@ def dedup_substrings(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     total = docs.agg(F.sum(F.length("text")), F.sum(F.regexp_count("text", F.lit(WORD)))).first()
     n_blocks, plan = max(1, -(-(total[0] or 0) // BLOCK_CHARS)), _Plan(total[1] or 0, width)
     block = F.pmod(F.xxhash64(F.coalesce("doc_id", F.lit(_NULL_ID))), F.lit(n_blocks))
-    rows = docs.select(block.alias("block"), F.col("doc_id").cast("long"), "text", *(F.col(f"`{c}`").alias(f"x{k}") for k, c in enumerate(rest)))
+    rows = small_batches(docs).select(block.alias("block"), F.col("doc_id").cast("long"), "text", *(F.col(f"`{c}`").alias(f"x{k}") for k, c in enumerate(rest)))
     kept = _passes(rows, plan)
     names = {"doc_id": F.col("doc_id"), "text": F.col("text")} | {c: F.col(f"x{k}") for k, c in enumerate(rest)}
     return kept.select(*(names[c].alias(c) for c in docs.columns if c in names), "n_words", "n_removed")

@@ -18,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import small_batches
+
 #: Labelled rows that the fit uses at most (those with the smallest hash of doc_id), and learned terms at most.
 SAMPLE_ROWS, LEXICON_TERMS = 20_000, 3_000
 #: A learned term stands after at least so many different words in toxic rows (copies of one row teach nothing new), and the
@@ -125,7 +127,7 @@ class Model:
         if self._lexicon is None:
             self._lexicon = FuzzyLexicon(self.weights)
         seen, match, low = self._seen, self._lexicon.match, (text or "").lower()
-        if len(seen) > 500_000:
+        if len(seen) > 100_000:
             seen.clear()
         words = _WORDS.findall(low)
         hits = []
@@ -186,7 +188,7 @@ def held_out(doc_id: Column | str) -> Column:
 def _training_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
     known = labels.filter("doc_id is not null and toxic is not null and " + "crc32(cast(doc_id as string)) % 5 <> 0").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     known = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_ROWS)
-    rows = docs.select("doc_id", "text").join(known, "doc_id")
+    rows = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id")  # at most SAMPLE_ROWS ids
     return rows.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), (F.col("toxic") > 0).cast("int").alias("toxic"))
 
 
@@ -234,7 +236,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
                 batch = whole.slice(k, 512)
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(model.score(batch.column(1).to_pylist()))], ["doc_id", "score"])
 
-    scored = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, score double")
+    scored = small_batches(docs).select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, score double")
     return scored.select("doc_id", held_out("doc_id").alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
@@ -247,4 +249,4 @@ def reject_toxic(docs: DataFrame, model: Model) -> DataFrame:
                 batch = whole.slice(k, 512)
                 yield batch.filter(pa.array(model.score(batch.column("text").to_pylist()) < 0.5))
 
-    return docs.mapInArrow(run, docs.schema)
+    return small_batches(docs).mapInArrow(run, docs.schema)

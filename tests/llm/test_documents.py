@@ -205,8 +205,9 @@ def test_repeat_gives_each_row_its_copies(docs):
 
 
 def _labelled(spark):
-    fine = [" ".join(rng.choices(VOCABULARY, k=40)) for _ in range(150)]
-    bad = [" ".join(rng.sample([*rng.choices(VOCABULARY, k=30), "gorblax", "gorblax", "snurfle"], 33)) for _ in range(60)]
+    words = [a + b + c for a in "bdfgk" for b in "aeiou" for c in "lmnrst"]
+    fine = [" ".join(rng.choices(words, k=40)) for _ in range(150)]
+    bad = [" ".join(rng.sample([*rng.choices(words, k=30), "gorblax", "gorblax", "snurfle"], 33)) for _ in range(60)]
     texts = [*((t, 0) for t in fine), *((t, 1) for t in bad)]
     return spark.createDataFrame([(k, t, "en", "s", 1) for k, (t, _) in enumerate(texts)], DOCS), spark.createDataFrame([*((k, 1, y) for k, (_, y) in enumerate(texts)), (None, 1, 1), (5, 1, None)], "doc_id long, quality int, toxic int")
 

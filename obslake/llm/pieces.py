@@ -13,16 +13,21 @@ from __future__ import annotations
 
 import re
 import struct
+from array import array
 from collections.abc import Iterator
 from itertools import groupby
 
 import ahocorasick
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
+from .common import small_batches
+
 MARK = "▁"
 #: Chunks, and pairs, that a task remembers.
-CACHE = 700_000
+CACHE = 250_000
 _NORMAL, _UNKNOWN, _BYTE = 1, 2, 6
 _NEVER = float("inf")
 
@@ -52,6 +57,20 @@ def _fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
             at += size
 
 
+class _Chunks(dict):
+    """Packed ids of the chunks seen, made on demand; emptied when full."""
+
+    def __init__(self, pieces: Pieces) -> None:
+        super().__init__()
+        self.pieces = pieces
+
+    def __missing__(self, chunk: str) -> bytes:
+        if len(self) >= CACHE:
+            self.clear()
+        self[chunk] = ids = array("i", self.pieces.chunk(chunk)).tobytes()
+        return ids
+
+
 class Pieces:
     """A model file's pieces; encodes and decodes."""
 
@@ -94,11 +113,13 @@ class Pieces:
         self.known = {t for t in self.id if len(t) == 1}
         self.find = ahocorasick.Automaton()
         for t, k in self.id.items():
-            if len(t) == 1 or self._merge(t) == [t]:
+            if len(t) > 1 and self._merge(t) == [t]:
                 self.find.add_word(t, k)
         self.find.make_automaton()
         self.fits: dict[int, bool] = {}
-        self.cache: dict[str, list[int]] = {}
+        self.cache = _Chunks(self)
+        self.byte_ids = np.isin(np.arange(len(self.text)), list(self.byte_of))
+        self.plain_of = np.array(self.plain, object)
         self.cut = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
 
     def _merge(self, text: str) -> list[str]:
@@ -130,63 +151,66 @@ class Pieces:
         was tried there need not be tried again.
         """
         n, sizes, fits = len(text), self.size, self.fits
-        starting: list[list[int]] = [[] for _ in range(n)]
+        starting: dict[int, list[int]] = {}
         for last, k in self.find.iter(text):
-            starting[last + 1 - sizes[k]].append(k)
-        failed, at, before = 0, 0, 0
+            start = last + 1 - sizes[k]
+            if start in starting:
+                starting[start].append(k)
+            else:
+                starting[start] = [k]
+        failed = alone = at = before = 0
         ids: list[int] = []
         while at < n:
-            options = starting[at]
-            while options:
-                k = options.pop()  # the longest left: matches come in the order of their ends
+            options = starting.get(at)
+            while True:
+                if options:
+                    k = options.pop()  # the longest left: matches come in the order of their ends
+                elif not alone >> at & 1:
+                    alone |= 1 << at
+                    k = self.id[text[at]]  # the character itself comes last
+                else:
+                    failed |= 1 << at
+                    if not ids:
+                        raise ValueError("no encoding")
+                    at -= sizes[ids.pop()]
+                    before = ids[-1] if ids else 0
+                    break
                 fit = fits.get(before << 16 | k) if at else True
                 if fit is None:
                     fit = self._fit(before, k)
                 if fit and not failed >> (at + sizes[k]) & 1:
+                    ids.append(k)
+                    at += sizes[k]
+                    before = k
                     break
-            else:
-                failed |= 1 << at
-                if not ids:
-                    raise ValueError("no encoding")
-                at -= sizes[ids.pop()]
-                before = ids[-1] if ids else 0
-                continue
-            ids.append(k)
-            at += sizes[k]
-            before = k
         return ids
 
     def chunk(self, text: str) -> list[int]:
         """Ids of a chunk; characters that are no piece become their bytes."""
-        ids = self.cache.get(text)
-        if ids is None:
-            if self.known.issuperset(text):
-                ids = self._walk(text)
+        if self.known.issuperset(text):
+            return self._walk(text)
+        ids: list[int] = []
+        for known, run in groupby(text, self.known.__contains__):
+            if known:
+                ids += self._walk("".join(run))
             else:
-                ids = []
-                for known, run in groupby(text, self.known.__contains__):
-                    if known:
-                        ids += self._walk("".join(run))
-                    else:
-                        ids += [k for c in run for k in ([self.bytes[b] for b in c.encode()] if self.bytes else [self.unknown])]
-            if len(self.cache) >= CACHE:
-                self.cache.clear()
-            self.cache[text] = ids
+                ids += [k for c in run for k in ([self.bytes[b] for b in c.encode()] if self.bytes else [self.unknown])]
         return ids
 
-    def encode(self, text: str) -> list[int]:
+    def packed(self, text: str) -> bytes:
+        """Ids of a text as 32-bit numbers."""
         if not text:
-            return []
-        ids: list[int] = []
-        chunk, cache = self.chunk, self.cache
-        for part in self.cut.findall(self.prefix + text.replace(" ", MARK)):
-            ids += cache.get(part) or chunk(part)
-        return ids
+            return b""
+        return b"".join(map(self.cache.__getitem__, self.cut.findall(self.prefix + text.replace(" ", MARK))))
+
+    def encode(self, text: str) -> list[int]:
+        return np.frombuffer(self.packed(text), np.int32).tolist()
 
-    def decode(self, ids: list[int]) -> str:
-        if not self.byte_of.keys().isdisjoint(ids):
+    def decode(self, ids: list[int] | np.ndarray) -> str:
+        ids = np.asarray(ids, np.int64)
+        if self.byte_ids[ids].any():
             out, run = [], bytearray()
-            for k in ids:
+            for k in ids.tolist():
                 b = self.byte_of.get(k)
                 if b is not None:
                     run.append(b)
@@ -197,8 +221,8 @@ class Pieces:
                 out.append(self.plain[k])
             text = "".join([*out, _utf8(bytes(run))])
         else:
-            text = "".join(map(self.plain.__getitem__, ids))
-        return text[1:] if self.prefix and text[:1] == " " and self._leads(ids) else text
+            text = "".join(self.plain_of[ids].tolist())
+        return text[1:] if self.prefix and text[:1] == " " and self._leads(ids.tolist()) else text
 
     def _leads(self, ids: list[int]) -> bool:
         """Whether the first piece with a text begins with the space mark."""
@@ -243,15 +267,27 @@ def encode(docs: DataFrame, model_file: str, out: str = "ids") -> DataFrame:
     model_file is read once, on the driver, and travels with the tasks (a model is a fixed file of well under 2 MB).
     A column of the same name is replaced; no other column is touched.
     """
-    return _mapped(docs, model_file, "text", out, "array<int>", lambda p, x: p.encode(x or ""), pa.list_(pa.int32()))
+
+    def call(pieces: Pieces, texts: pa.Array) -> pa.Array:
+        packed = [pieces.packed(x or "") for x in texts.to_pylist()]
+        ends = np.cumsum([0, *(len(x) // 4 for x in packed)], dtype=np.int32)
+        return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(packed), np.int32)))
+
+    return _mapped(docs, model_file, "text", out, "array<int>", call)
 
 
 def decode(docs: DataFrame, model_file: str, ids: str = "ids", out: str = "decoded") -> DataFrame:
     """docs with the text of a column of ids; null: the empty text."""
-    return _mapped(docs, model_file, ids, out, "string", lambda p, x: p.decode(x or []), pa.string())
+
+    def call(pieces: Pieces, lists: pa.Array) -> pa.Array:
+        ends = np.cumsum(pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)).tolist()
+        flat = pc.list_flatten(lists).to_numpy(zero_copy_only=False)
+        return pa.array([pieces.decode(flat[a:b]) for a, b in zip([0, *ends], ends)], pa.string())
+
+    return _mapped(docs, model_file, ids, out, "string", call)
 
 
-def _mapped(docs: DataFrame, model_file: str, source: str, out: str, kind: str, call, arrow: pa.DataType) -> DataFrame:
+def _mapped(docs: DataFrame, model_file: str, source: str, out: str, kind: str, call) -> DataFrame:
     with open(model_file, "rb") as f:
         model = f.read()
     if len(model) > 1 << 24:
@@ -261,9 +297,8 @@ def _mapped(docs: DataFrame, model_file: str, source: str, out: str, kind: str,
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = load(model)
         for batch in (whole.slice(k, 256) for whole in batches for k in range(0, whole.num_rows, 256)):
-            made = pa.array([call(pieces, x) for x in batch.column("x").to_pylist()], arrow)
-            yield pa.RecordBatch.from_arrays([*(batch.column(f"c{k}") for k in range(len(names))), made], [*(f"c{k}" for k in range(len(names))), "made"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(f"c{k}") for k in range(len(names))), call(pieces, batch.column("x"))], [*(f"c{k}" for k in range(len(names))), "made"])
 
-    rows = docs.select(*(docs[f"`{c}`"].alias(f"c{k}") for k, c in enumerate(names)), docs[f"`{source}`"].alias("x"))
+    rows = small_batches(docs).select(*(docs[f"`{c}`"].alias(f"c{k}") for k, c in enumerate(names)), docs[f"`{source}`"].alias("x"))
     schema = ", ".join([*(f"c{k} {rows.schema[k].dataType.simpleString()}" for k in range(len(names))), f"made {kind}"])
     return rows.mapInArrow(run, schema).toDF(*names, out)

@@ -29,7 +29,7 @@ from pyspark.sql import types as T
 from .common import WORD, pack_sorted, small_batches, text_bytes, unpack_sorted
 
 WIDTH = 20
-BLOCK_CHARS = 3_000_000
+BLOCK_CHARS = 6_000_000
 #: Windows a slice of the sketch; cells a window, as a power of two.
 SLICE_WINDOWS, SPARE_BITS = 1 << 21, 5
 _R1, _R2 = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F
@@ -237,17 +237,17 @@ def _without(text: bytes, mask: np.ndarray) -> bytes:
     return raw[keep].tobytes().strip(b" \t\n\v\f\r") if mask.any() else text
 
 
-def dedup_substrings(docs: DataFrame, width: int = WIDTH) -> DataFrame:
+def dedup_substrings(docs: DataFrame, width: int = WIDTH, block_chars: int | None = None) -> DataFrame:
     """docs (doc_id, text, ...) with text cut, and n_words, n_removed (long) added.
 
     Text without a removal is returned as it came (null: null, no words); else the kept words with the white space that
     followed them. Rows with null doc_id come before all others; of rows with the same doc_id the one with the smaller
     text counts as earlier. Other columns are carried along; columns n_words and n_removed of the input are replaced.
-    An empty table gives an empty result.
+    An empty table gives an empty result. block_chars: characters of a block (BLOCK_CHARS); smaller ones need less memory and shuffle more.
     """
     rest = [c for c in docs.columns if c.lower() not in ("doc_id", "text", "n_words", "n_removed")]
     total = docs.agg(F.sum(F.length("text")), F.sum(F.regexp_count("text", F.lit(WORD)))).first()
-    n_blocks, plan = max(1, -(-(total[0] or 0) // BLOCK_CHARS)), _Plan(total[1] or 0, width)
+    n_blocks, plan = max(1, -(-(total[0] or 0) // (block_chars or BLOCK_CHARS))), _Plan(total[1] or 0, width)
     block = F.pmod(F.xxhash64(F.coalesce("doc_id", F.lit(_NULL_ID))), F.lit(n_blocks))
     rows = small_batches(docs).select(block.alias("block"), F.col("doc_id").cast("long"), "text", *(F.col(f"`{c}`").alias(f"x{k}") for k, c in enumerate(rest)))
     kept = _passes(rows, plan)

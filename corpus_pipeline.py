@@ -25,7 +25,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the passages that stand earlier; n_chars is that of the text left."""
-    cut = substring.dedup_substrings(docs)
+    cut = substring.dedup_substrings(docs, block_chars=3_000_000)  # workers still hold what earlier stages needed
     changed = F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
     return cut.withColumn("n_chars", changed).select(*docs.columns)
 

@@ -21,7 +21,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import connected_components, contract, mix, small_batches, stored, text_bytes
@@ -57,12 +57,12 @@ def fingerprint(data: bytes | None, shingle: int = 3, step: int = 1 << 16) -> in
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         fps = np.array([fingerprint(x) for x in text_bytes(batch.column(1))], np.uint64)
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64))], ["doc_id", "fp"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64)), *batch.columns[2:]], ["doc_id", "fp", *batch.schema.names[2:]])
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """(doc_id, fp long) of every row."""
-    return small_batches(docs).select("doc_id", "text").mapInArrow(_fingerprints, "doc_id long, fp long")
+def fingerprints(docs: DataFrame, *carried: str) -> DataFrame:
+    """(doc_id, fp long) of every row, and the string columns carried along."""
+    return small_batches(docs).select("doc_id", "text", *carried).mapInArrow(_fingerprints, ", ".join(["doc_id long", "fp long", *(f"{c} string" for c in carried)]))
 
 
 def _masks() -> list[tuple[np.uint64, np.ndarray]]:
@@ -184,6 +184,13 @@ def links(fps: DataFrame, n_fps: int) -> DataFrame:
     return dealt.mapInArrow(_meet, "u long, v long").distinct()
 
 
+def _rooted(marked: DataFrame, first: Column | str) -> DataFrame:
+    """(fp, first, root) of the distinct fingerprints in marked: the least `first` of each, and its component."""
+    unique = stored(marked.groupBy("fp").agg(F.min(first).alias("first")), "unique")
+    root = connected_components(links(unique, unique.count()))
+    return unique.join(root, unique.fp == root.node, "left").select("fp", "first", F.coalesce("component", "fp").alias("root"))
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """(doc_id long, fp long, component_id long) of every row of docs (doc_id, text).
 
@@ -192,16 +199,18 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     but are no component's name unless nothing else is there. An empty table gives an empty result.
     """
     marked = stored(fingerprints(docs), "fingerprints")
-    unique = stored(marked.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "unique")
-    root = connected_components(links(unique, unique.count()))
-    named = unique.join(root, unique.fp == root.node, "left").select("fp", "first_id", F.coalesce("component", "fp").alias("root"))
-    lowest = named.groupBy("root").agg(F.min("first_id").alias("component_id"))
+    named = _rooted(marked, "doc_id")
+    lowest = named.groupBy("root").agg(F.min("first").alias("component_id"))
     return marked.join(named.join(lowest, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
 
 
 def keep_first(docs: DataFrame) -> DataFrame:
-    """docs without the rows whose component has a smaller doc_id; of rows with the same doc_id, one stays."""
-    kept = near_duplicates(docs).filter("doc_id <=> component_id").select("doc_id").distinct()
-    named = docs.join(kept.filter("doc_id is not null"), "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id"])
-    unnamed = docs.filter("doc_id is null").withColumn("_all", F.lit(1)).join(kept.filter("doc_id is null").select(F.lit(1).alias("_all")), "_all", "left_semi")
-    return named.unionByName(unnamed.select(*docs.columns).dropDuplicates(["doc_id"]))
+    """One row of each component: that with the smallest doc_id, null coming last, and of those the smallest digest of the row.
+
+    Rows are told apart by all their columns, so rows that aren't linked stay, whatever their doc_ids.
+    """
+    keyed = docs.withColumn("_key", F.md5(F.to_json(F.struct(*(F.col(f"`{c}`") for c in docs.columns)))))
+    marked = stored(fingerprints(keyed, "_key"), "fingerprints")
+    order = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "_key")
+    kept = _rooted(marked, order).groupBy("root").agg(F.min("first").alias("first")).select("first._key")
+    return keyed.join(kept, "_key", "left_semi").dropDuplicates(["_key"]).select(*(F.col(f"`{c}`") for c in docs.columns))

@@ -69,6 +69,14 @@ def test_simhash_keeps_one_of_each_group(docs, none):
     assert simhash.near_duplicates(none).count() == 0 and simhash.keep_first(none).columns == none.columns
 
 
+def test_simhash_keeps_unlinked_rows_whatever_their_ids(spark):
+    r = random.Random(11)
+    a, b, c, d, e = (" ".join(r.choices(VOCABULARY, k=80)) for _ in range(5))
+    rows = [(None, a, "en", "s", 1), (None, b, "en", "s", 2), (7, c, "en", "s", 3), (7, d, "en", "s", 4), (8, d, "en", "s", 4), (None, e, "en", "s", 5), (3, e, "en", "s", 5), (None, a, "en", "s", 1), (None, a, "fr", "s", 1)]
+    kept = simhash.keep_first(spark.createDataFrame(rows, DOCS).repartition(3)).collect()
+    assert sorted(((x.doc_id, x.text) for x in kept), key=str) == sorted([(None, a), (None, b), (7, c), (7, d), (3, e)], key=str)
+
+
 def test_large_buckets_link_by_lookups(monkeypatch):
     import numpy as np
 

@@ -30,10 +30,14 @@ from .toxicity import logistic
 SAMPLE_PAGES = 1_000
 #: Strength of the ties between neighbours, and between blocks of one parent element.
 NEXT, PARENT = 0.6, 0.9
-#: Log-odds that markup adds.
-INSIDE, OUTSIDE = 3.0, -8.0
+#: Log-odds that markup adds: less than the most that the classifier and the ties of a block can weigh against it.
+INSIDE, OUTSIDE = 3.0, -3.5
 _TOKEN = re.compile(r"<!--.*?(?:-->|$)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*(?:>|$)|([^<]+|<)", re.S)
 _RAW = {t: re.compile(rf"</{t}\s*>", re.I) for t in ("script", "style", "noscript", "template", "textarea", "title", "svg", "iframe", "select", "object", "canvas", "math")}
+#: What is no page text even where no end tag follows.
+_TO_THE_END = frozenset("script style title textarea".split())
+#: They hold the page or its content: their classes tell about the layout.
+_FRAMES = frozenset("html body main article".split())
 _INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr picture source".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _OUT_TAGS = frozenset("nav footer aside form button menu dialog".split())
@@ -55,6 +59,8 @@ class Block:
 
 
 def _says_boilerplate(tag: str, attrs: str) -> bool:
+    if tag in _FRAMES:
+        return False
     if tag in _OUT_TAGS:
         return True
     for name, *values in _ATTR.findall(attrs):
@@ -67,11 +73,18 @@ def _says_boilerplate(tag: str, attrs: str) -> bool:
 
 
 def blocks(page: str) -> list[Block]:
-    """Runs of text between block-level tags, in page order, white space collapsed; empty ones are left out."""
+    """Runs of text between block-level tags, in page order, white space collapsed; empty ones are left out.
+
+    A form is boilerplate unless it holds more than half of the page's text.
+    """
     out: list[Block] = []
-    # open elements: tag, number, inside an article, outside by markup
+    # open elements: tag, number, inside an article, outside by markup other than forms
     stack: list[tuple[str, int, bool, bool]] = [("", 0, False, False)]
     parts: list[str] = []
+    # first block of every form and the one after it, and tags that no end follows any more
+    forms: list[tuple[int, int]] = []
+    open_forms: dict[int, int] = {}
+    endless: set[str] = set()
     linked = links = count = at = 0
 
     def end() -> None:
@@ -86,6 +99,12 @@ def blocks(page: str) -> list[Block]:
             parts.clear()
         linked = 0
 
+    def close_to(depth: int) -> None:
+        for _, number, _, _ in stack[depth:]:
+            if number in open_forms:
+                forms.append((open_forms.pop(number), len(out)))
+        del stack[depth:]
+
     while at < len(page):
         m = _TOKEN.match(page, at)
         if m is None:
@@ -103,9 +122,14 @@ def blocks(page: str) -> list[Block]:
             continue
         tag = name.lower()
         if tag in _RAW and not closing:
-            if not attrs.rstrip().endswith("/"):
+            if not attrs.rstrip().endswith("/") and tag not in endless:
                 close = _RAW[tag].search(page, at)
-                at = close.end() if close else len(page)
+                if close:
+                    at = close.end()
+                elif tag in _TO_THE_END:
+                    at = len(page)
+                else:
+                    endless.add(tag)
             parts.append(" ")
             continue
         if tag in _INLINE:
@@ -118,17 +142,25 @@ def blocks(page: str) -> list[Block]:
         if closing:
             depth = next((k for k in range(len(stack) - 1, 0, -1) if stack[k][0] == tag), 0)
             if depth:
-                del stack[depth:]
+                close_to(depth)
             continue
         while stack[-1][0] in _CLOSES.get(tag, ()) or stack[-1][0] == "p" and tag not in _INLINE and len(stack) > 1:
-            stack.pop()
+            close_to(len(stack) - 1)
         if tag not in _VOID and not attrs.rstrip().endswith("/"):
             count += 1
             _, _, inside, outside = stack[-1]
             in_article = inside or tag in ("article", "main")
             head = tag == "head" or tag == "header" and not inside
-            stack.append((tag, count, in_article, outside or head or _says_boilerplate(tag, attrs)))
+            if tag == "form":
+                open_forms[count] = len(out)
+            stack.append((tag, count, in_article, outside or head or tag != "form" and _says_boilerplate(tag, attrs)))
     end()
+    close_to(1)
+    total = sum(len(b.text) for b in out)
+    for first, after in forms:
+        if 2 * sum(len(b.text) for b in out[first:after]) <= total:
+            for b in out[first:after]:
+                b.outside = True
     return out
 
 

@@ -116,6 +116,26 @@ def test_pages(spark):
     assert html.extract(pages.limit(0), html.DEFAULT).count() == 0 and isinstance(html.fit(pages.limit(0)), html.Model)
 
 
+def test_layout_words_and_missing_end_tags_lose_no_page():
+    want = "The title\nFirst & long enough paragraph, with bold words.\nSecond one <here>, also long enough to be read."
+    changed = [("<body>", f"<body class='{c}'>") for c in ("has-sidebar", "menu-open")] + [("<article>", "<article class='post has-comments'>"), ("<article>", "<main class='no-sidebar'><article>"), ("<html>", "<html class='cookie nav'>")]
+    changed += [("<article>", f"<{t}><article>") for t in ("svg", "select", "iframe", "object", "canvas", "math", "noscript", "template")] + [("<article>", "<form id='aspnetForm'><article>")]
+    for old, new in changed:
+        page = PAGE.replace(old, new)
+        assert page != PAGE and html.DEFAULT.extract(page) == want, new
+    for t in ("script", "style", "title", "textarea"):
+        assert html.DEFAULT.extract(f"<p>{'Words that are read, all of them. ' * 5}<{t}>{'Never any of these, of course. ' * 9}").count("Never") == 0
+    prose = "A sentence long enough to be taken for prose by its words alone, with an end to it. " * 3
+    wrapped = f"<div class='page has-sidebar'><p>{prose}<p>{prose}</div>"
+    assert html.DEFAULT.extract(wrapped).count("prose") == 6
+
+
+def test_form_with_less_than_half_of_the_text_is_outside():
+    told = {b.text: b.outside for b in html.blocks("<p>Much more text than the form holds.<form><div>Sign <form>up</form></form><p>And a last one.")}
+    assert told == {"Much more text than the form holds.": False, "Sign": True, "up": True, "And a last one.": False}
+    assert not any(b.outside for b in html.blocks("<form><p>Most of the page is here.</form><p>Little."))
+
+
 def test_cut_is_minimal():
     r = np.random.default_rng(2)
     for _ in range(60):

@@ -3,7 +3,9 @@
 A window is `width` consecutive words of one document; every word covered by a window whose word sequence also starts
 earlier (smaller doc_id, or same document and earlier start) is removed. Windows are judged on the input.
 
-Three passes over documents dealt into blocks of about BLOCK_CHARS characters by a hash of doc_id:
+Documents whose doc_id is null or repeated are first sorted by doc_id and text and numbered, so that (doc_id, number) orders
+all documents and no two rows have to share a block. Then three passes over documents dealt into blocks of about
+BLOCK_CHARS characters by a hash of that order:
 
 1. Count-min prefilter. Each block sketches its windows: the set of cells they fall into, of a number of cells that grows
    with the corpus, cut into slices by cell. The slices of all blocks are merged; a cell in several blocks is counted
@@ -26,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import WORD, pack_sorted, small_batches, text_bytes, unpack_sorted
+from .common import WORD, pack_sorted, small_batches, stored, text_bytes, unpack_sorted
 
 WIDTH = 20
 BLOCK_CHARS = 6_000_000
@@ -61,9 +63,9 @@ class _Block:
 
     def __init__(self, rows: pa.Table, width: int) -> None:
         ids = np.array([_NULL_ID if x is None else x for x in rows.column("doc_id").to_pylist()], np.int64)
-        texts = text_bytes(rows.column("text"))
-        order = sorted(range(len(ids)), key=lambda k: (ids[k], texts[k] is not None, texts[k] or b""))
-        self.order, self.ids, self.texts = order, ids[order], [texts[k] for k in order]
+        texts, ranks = text_bytes(rows.column("text")), rows.column("rank").to_numpy()
+        order = np.lexsort((ranks, ids))
+        self.order, self.ids, self.ranks, self.texts = order, ids[order], ranks[order], [texts[k] for k in order]
         vocabulary, numbers, sizes = _Vocabulary(), [], []
         for text in self.texts:
             words = (text or b"").split()
@@ -162,32 +164,38 @@ def _exact_rows(plan: _Plan):
         out = found.firsts[found.sent]
         cut = plan.cut(plan.cells(block.h1[out]))
         full = np.flatnonzero(np.diff(cut))
-        ids = block.ids[block.doc_of(block.starts[out])]
-        data = [b"".join((block.h1[out[a:b]].tobytes(), block.h2[out[a:b]].tobytes(), _narrow(ids[a:b]))) for a, b in ((cut[k], cut[k + 1]) for k in full)]
+        docs = block.doc_of(block.starts[out])
+        ids, ranks = block.ids[docs], block.ranks[docs]
+        data = [b"".join((block.h1[out[a:b]].tobytes(), block.h2[out[a:b]].tobytes(), _narrow(ranks[a:b]), _narrow(ids[a:b]))) for a, b in ((cut[k], cut[k + 1]) for k in full)]
         return _batch(["slice", "block", "n", "windows"], [full, np.full(len(full), key[0].as_py()), np.diff(cut)[full], data], [pa.int64(), pa.int64(), pa.int64(), pa.binary()])
 
     return run
 
 
-def _narrow(ids: np.ndarray) -> bytes:
-    """ids as the smallest and what each lies above it, in the narrowest width."""
-    low = int(ids.min())
-    width = next(w for w in (1, 2, 4, 8) if int(ids.max()) - low < 1 << (8 * w))
-    return (ids.view(np.uint64) - np.uint64(low % (1 << 64))).astype(f"<u{width}").tobytes() + low.to_bytes(8, "little", signed=True) + bytes([width])
+def _narrow(x: np.ndarray) -> bytes:
+    """Whole numbers as the smallest and what each lies above it, in the narrowest width; equal ones need none."""
+    low = int(x.min())
+    width = next(w for w in (0, 1, 2, 4, 8) if int(x.max()) - low < 1 << (8 * w))
+    above = (x.view(np.uint64) - np.uint64(low % (1 << 64))).astype(f"<u{width}").tobytes() if width else b""
+    return above + low.to_bytes(8, "little", signed=True) + bytes([width])
 
 
-def _widen(data: bytes, n: int) -> np.ndarray:
+def _widen(data: bytes, n: int) -> tuple[np.ndarray, bytes]:
+    """The numbers at the end of data, and what stands before them."""
     width, low = data[-1], int.from_bytes(data[-9:-1], "little", signed=True)
-    return (np.frombuffer(data, f"<u{width}", n).astype(np.uint64) + np.uint64(low % (1 << 64))).view(np.int64)
+    start = len(data) - 9 - n * width
+    above = np.frombuffer(data, f"<u{width}", n, start).astype(np.uint64) if width else np.zeros(n, np.uint64)
+    return (above + np.uint64(low % (1 << 64))).view(np.int64), data[:start]
 
 
 def _earlier(key: tuple, rows: pa.Table) -> pa.Table:
-    """For each block, which of its windows of this slice stand in a document with a smaller id: one bit each."""
+    """For each block, which of its windows of this slice stand in an earlier document of another block: one bit each."""
     sizes, data = rows.column("n").to_pylist(), rows.column("windows").to_pylist()
     h1 = np.concatenate([np.frombuffer(x, np.uint64, n) for x, n in zip(data, sizes)])
     h2 = np.concatenate([np.frombuffer(x, np.uint64, n, 8 * n) for x, n in zip(data, sizes)])
-    ids = np.concatenate([_widen(x[16 * n :], n) for x, n in zip(data, sizes)])
-    order = np.lexsort((ids, h2, h1))
+    ids, rest = zip(*(_widen(x[16 * n :], n) for x, n in zip(data, sizes)))
+    ranks = [_widen(x, n)[0] for x, n in zip(rest, sizes)]
+    order = np.lexsort((np.concatenate(ranks), np.concatenate(ids), h2, h1))
     same = (h1[order][1:] == h1[order][:-1]) & (h2[order][1:] == h2[order][:-1])
     late = np.zeros(len(order), bool)
     late[order[1:][same]] = True
@@ -219,7 +227,7 @@ def _cut_texts(plan: _Plan):
             kept.append(_without(text, mask))
         back = np.empty(len(block.order), np.int64)
         back[block.order] = np.arange(len(block.order))
-        out = rows.drop_columns(["block", "text"]).append_column("text", pa.array([kept[k] for k in back], pa.binary()).cast(pa.string()))
+        out = rows.drop_columns(["block", "rank", "text"]).append_column("text", pa.array([kept[k] for k in back], pa.binary()).cast(pa.string()))
         for name, counts in (("n_words", block.sizes), ("n_removed", removed)):
             out = out.append_column(name, pa.array(np.asarray(counts, np.int64)[back]))
         return out
@@ -248,13 +256,28 @@ def dedup_substrings(docs: DataFrame, width: int = WIDTH, block_chars: int | Non
     rest = [c for c in docs.columns if c.lower() not in ("doc_id", "text", "n_words", "n_removed")]
     total = docs.agg(F.sum(F.length("text")), F.sum(F.regexp_count("text", F.lit(WORD)))).first()
     n_blocks, plan = max(1, -(-(total[0] or 0) // (block_chars or BLOCK_CHARS))), _Plan(total[1] or 0, width)
-    block = F.pmod(F.xxhash64(F.coalesce("doc_id", F.lit(_NULL_ID))), F.lit(n_blocks))
-    rows = small_batches(docs).select(block.alias("block"), F.col("doc_id").cast("long"), "text", *(F.col(f"`{c}`").alias(f"x{k}") for k, c in enumerate(rest)))
-    kept = _passes(rows, plan)
+    rows = _ranked(small_batches(docs).select(F.col("doc_id").cast("long"), "text", *(F.col(f"`{c}`").alias(f"x{k}") for k, c in enumerate(rest))))
+    block = F.pmod(F.xxhash64(F.coalesce("doc_id", F.lit(_NULL_ID)), "rank"), F.lit(n_blocks))
+    kept = _passes(rows.withColumn("block", block), plan)
     names = {"doc_id": F.col("doc_id"), "text": F.col("text")} | {c: F.col(f"x{k}") for k, c in enumerate(rest)}
     return kept.select(*(names[c].alias(c) for c in docs.columns if c in names), "n_words", "n_removed")
 
 
+def _ranked(rows: DataFrame) -> DataFrame:
+    """rows (doc_id, text, ...) with rank: (doc_id, rank) is a row's own and orders the rows by doc_id and text, nulls first."""
+    unnamed = F.col("doc_id").isNull() | (F.col("doc_id") == _NULL_ID)
+    counts = rows.filter(~unnamed).groupBy("doc_id").agg(F.count("*").alias("n"))
+    repeated = stored(counts.filter("n > 1").select("doc_id"), "repeated")
+    tied, free = rows.filter(unnamed), rows.filter(~unnamed)
+    if not repeated.isEmpty():
+        tied, free = tied.unionByName(free.join(repeated, "doc_id", "left_semi")), free.join(repeated, "doc_id", "left_anti")
+    elif tied.isEmpty():
+        return rows.withColumn("rank", F.lit(0).cast("long"))
+    # the number before sorting only parts equal rows, so that many of them don't fall into one range
+    ordered = tied.withColumn("at", F.monotonically_increasing_id()).orderBy("doc_id", "text", "at").drop("at")
+    return free.withColumn("rank", F.lit(0).cast("long")).unionByName(stored(ordered.withColumn("rank", F.monotonically_increasing_id()), "ranked"))
+
+
 def _passes(rows: DataFrame, plan: _Plan) -> DataFrame:
     blocks = rows.groupBy("block")
     sketch = blocks.applyInArrow(_sketch(plan), "slice long, block long, cells binary")
@@ -263,5 +286,5 @@ def _passes(rows: DataFrame, plan: _Plan) -> DataFrame:
     late = windows.groupBy("slice").applyInArrow(_earlier, "slice long, block long, late binary")
     none = F.lit(None)
     told = many.select("block", "cells", none.cast("long").alias("slice"), none.cast("binary").alias("late")).unionByName(late.select("block", none.cast("binary").alias("cells"), "slice", "late"))
-    out = T.StructType([f for f in rows.schema if f.name not in ("block", "text")]).add("text", "string").add("n_words", "long").add("n_removed", "long")
+    out = T.StructType([f for f in rows.schema if f.name not in ("block", "rank", "text")]).add("text", "string").add("n_words", "long").add("n_removed", "long")
     return blocks.cogroup(told.groupBy("block")).applyInArrow(_cut_texts(plan), out)

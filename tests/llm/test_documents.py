@@ -120,6 +120,22 @@ def test_substrings_are_cut_as_by_a_set_of_windows(docs, monkeypatch, chars, win
     assert sorted(((r.doc_id, r.n_words, r.n_removed, b" ".join((r.text or "").encode().split())) for r in got), key=str) == _cut(_corpus())
 
 
+def test_substrings_of_rows_under_one_id_are_dealt_into_many_blocks(spark, monkeypatch):
+    r = random.Random(3)
+    texts = [" ".join(r.choices(VOCABULARY, k=60)) for _ in range(25)]
+    texts += [" ".join([*texts[k].split()[:30], *r.choices(VOCABULARY, k=20)]) for k in range(12)] + [texts[3]] * 9 + [None, "", "", "w1 w2"]
+    rows = [(i, t, "en", "s", 1) for t in texts for i in (None, 7)] + [(k, texts[k], "en", "s", 1) for k in range(10)] + [(-(1 << 63), texts[0], "en", "s", 1)]
+    docs = spark.createDataFrame(rows, DOCS).repartition(3)
+    for chars in (2000, 1_000_000):
+        got = substring.dedup_substrings(docs, block_chars=chars).collect()
+        assert sorted(((x.doc_id, x.n_words, x.n_removed, b" ".join((x.text or "").encode().split())) for x in got), key=str) == _cut(rows)
+    seen = []
+    monkeypatch.setattr(substring, "_passes", lambda rows, plan: seen.append(rows) or rows.withColumn("n_words", rows.doc_id).withColumn("n_removed", rows.doc_id))
+    substring.dedup_substrings(docs, block_chars=2000)
+    sizes = [x["count"] for x in seen[0].groupBy("block").count().collect()]
+    assert len(sizes) > 5 and max(sizes) < len(rows) / 3
+
+
 def test_substrings_leave_clean_texts_and_other_columns(docs, none):
     before = {r.doc_id: r for r in docs.collect()}
     for r in substring.dedup_substrings(docs).collect():

@@ -9,8 +9,9 @@ flipping at most one bit each. Every distinct fingerprint therefore emits, per z
 by their true distance. Emitting full-width variants instead needs flips of two bits on one side, 2081 keys for a
 fingerprint, for the same links.
 
-A bucket is never expanded into all pairs for the next step: it returns a spanning forest of its links, and buckets with
-more than SMALL members are linked by look-ups whose number is linear in the members.
+A bucket is never expanded into all pairs for the next step: it returns a spanning forest of its links. The members of a
+bucket are compared with each other; where that would be more work than look-ups of the neighbours within reach, which
+are linear in the members, the look-ups are taken. Both verify true distances and span the same links.
 """
 
 from __future__ import annotations
@@ -24,14 +25,15 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, contract, mix, small_batches, stored, text_bytes
+from .common import connected_components, contract, drop_stored, mix, releasing, small_batches, stored, text_bytes
 
 RADIUS = 3
 SEED = 42
 #: Bit positions of the zones: (first, width).
 ZONES = ((0, 21), (21, 21), (42, 22))
-#: Keys that one reducing step sorts at a time.
-KEYS_A_PART = 1_000_000
+#: Keys that one reducing step sorts at a time, and parts that a task gets (about).
+KEYS_A_PART, PARTS_A_TASK = 500_000, 8
+#: Members up to which a bucket's pairs are fewer than its look-ups. It changes no result.
 SMALL = 32
 _LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 
@@ -62,7 +64,7 @@ def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 def fingerprints(docs: DataFrame, *carried: str) -> DataFrame:
     """(doc_id, fp long) of every row, and the string columns carried along."""
-    return small_batches(docs).select("doc_id", "text", *carried).mapInArrow(_fingerprints, ", ".join(["doc_id long", "fp long", *(f"{c} string" for c in carried)]))
+    return small_batches(docs).select("doc_id", "text", *carried).mapInArrow(releasing(_fingerprints), ", ".join(["doc_id long", "fp long", *(f"{c} string" for c in carried)]))
 
 
 def _masks() -> list[tuple[np.uint64, np.ndarray]]:
@@ -76,15 +78,17 @@ def _masks() -> list[tuple[np.uint64, np.ndarray]]:
 
 
 def _variants(n_parts: int):
+    """Rows of (part, (key, fingerprint) pairs). A part holds keys of one zone: part modulo three names it."""
+
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             all_fps = batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
             for k in range(0, len(all_fps), 4096):
                 fps = all_fps[k : k + 4096]
                 for z, (keep, flips) in enumerate(_masks()):
-                    keys = ((fps & keep)[:, None] ^ flips[None, :]).ravel() | np.uint64((z + 1) << ZONES[z][0])
+                    keys = ((fps & keep)[:, None] ^ flips[None, :]).ravel()
                     owners = np.repeat(fps, len(flips))
-                    part = (mix(keys) % np.uint64(n_parts)).astype(np.int64)
+                    part = (mix(keys) % np.uint64(n_parts)).astype(np.int64) * len(ZONES) + z
                     order = np.argsort(part, kind="stable")
                     part, rows = part[order], np.stack([keys[order], owners[order]], axis=1)
                     cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(part)]
@@ -93,14 +97,13 @@ def _variants(n_parts: int):
     return emit
 
 
-def _large_bucket(key: int, fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Links that span all true links among the members of one bucket that this bucket has to find, by look-ups.
+def _by_lookups(zone: int, key: int, fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs among the members of one bucket that span all links which this bucket has to find, and maybe others.
 
     All members lie within two bits of each other outside the blanked zone, so equal zone bits, or zone bits one apart,
-    link in any case. Zone bits two or three apart need members that (nearly) agree outside it, and such pairs meet in
+    are looked up for all. Zone bits two or three apart need members that (nearly) agree outside it, and such pairs meet in
     the bucket of their own, unflipped key: there one of them is a centre.
     """
-    zone = next(z for z, (first, width) in enumerate(ZONES) if 0 < (key >> first & ((1 << width) - 1)) < 4 and key >> first & ((1 << width) - 1) == z + 1)
     first, width = ZONES[zone]
     inside = (fps >> np.uint64(first)) & np.uint64((1 << width) - 1)
     keep = _masks()[zone][0]
@@ -127,8 +130,8 @@ def _large_bucket(key: int, fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(a), np.concatenate(b)
 
 
-def meet(keys: np.ndarray, fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(fp, smaller fp) links that span the verified links of fingerprints sharing a key."""
+def meet(zone: int, keys: np.ndarray, fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(fp, smaller fp) links that span the verified links of fingerprints sharing a key of one zone."""
     order = np.lexsort((fps, keys))
     keys, fps = keys[order], fps[order]
     fresh = np.ones(len(keys), bool)
@@ -137,20 +140,21 @@ def meet(keys: np.ndarray, fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     starts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
     sizes = np.diff(np.r_[starts, len(keys)])
     a, b = [], []
+
+    def verified(x: np.ndarray, y: np.ndarray) -> None:
+        ok = np.bitwise_count(x ^ y) <= RADIUS
+        a.append(x[ok])
+        b.append(y[ok])
+
     for k in np.flatnonzero(sizes > SMALL):
-        x, y = _large_bucket(int(keys[starts[k]]), fps[starts[k] : starts[k] + sizes[k]])
-        a.append(x)
-        b.append(y)
+        verified(*_by_lookups(zone, int(keys[starts[k]]), fps[starts[k] : starts[k] + sizes[k]]))
     few = np.repeat((sizes > 1) & (sizes <= SMALL), sizes)
     keys, fps = keys[few], fps[few]
     for step in range(1, SMALL):
         near = np.flatnonzero(keys[step:] == keys[:-step]) if len(keys) > step else np.empty(0, int)
         if not len(near):
             break
-        x, y = fps[near], fps[near + step]
-        ok = np.bitwise_count(x ^ y) <= RADIUS
-        a.append(x[ok])
-        b.append(y[ok])
+        verified(fps[near], fps[near + step])
     if not a:
         return np.empty(0, np.uint64), np.empty(0, np.uint64)
     return contract(np.concatenate(a), np.concatenate(b))
@@ -159,29 +163,31 @@ def meet(keys: np.ndarray, fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows come sorted by part; one part is held at a time."""
 
-    def links(chunks: list[bytes]) -> pa.RecordBatch:
+    def links(part: int, chunks: list[bytes]) -> pa.RecordBatch:
         rows = np.frombuffer(b"".join(chunks), np.uint64).reshape(-1, 2)
-        a, b = meet(rows[:, 0], rows[:, 1])
+        a, b = meet(part % len(ZONES), rows[:, 0], rows[:, 1])
         return pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], ["u", "v"])
 
     part, held = None, []
     for batch in batches:
         for p, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
             if p != part and held:
-                yield links(held)
+                yield links(part, held)
                 held = []
             part = p
             held.append(x)
     if held:
-        yield links(held)
+        yield links(part, held)
 
 
 def links(fps: DataFrame, n_fps: int) -> DataFrame:
     """(u, v) spanning the links of the distinct fingerprints in fps (fp long)."""
-    n_parts = max(1, -(-n_fps * 131 // KEYS_A_PART))
+    n_parts = max(1, -(-n_fps * 131 // (len(ZONES) * KEYS_A_PART)))
     keys = fps.select("fp").mapInArrow(_variants(n_parts), "part long, keys binary")
-    dealt = keys.repartition("part").sortWithinPartitions("part")
-    return dealt.mapInArrow(_meet, "u long, v long").distinct()
+    # the number of tasks grows with the keys, so that no task does
+    tasks = max(int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions")), len(ZONES) * n_parts // PARTS_A_TASK)
+    dealt = keys.repartition(tasks, "part").sortWithinPartitions("part")
+    return dealt.mapInArrow(releasing(_meet), "u long, v long")
 
 
 def _rooted(marked: DataFrame, first: Column | str) -> DataFrame:
@@ -207,10 +213,14 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 def keep_first(docs: DataFrame) -> DataFrame:
     """One row of each component: that with the smallest doc_id, null coming last, and of those the smallest digest of the row.
 
-    Rows are told apart by all their columns, so rows that aren't linked stay, whatever their doc_ids.
+    Rows are told apart by all their columns, so rows that aren't linked stay, whatever their doc_ids. Columns of any name are kept
+    as they are. An empty table gives an empty result.
     """
-    keyed = docs.withColumn("_key", F.md5(F.to_json(F.struct(*(F.col(f"`{c}`") for c in docs.columns)))))
-    marked = stored(fingerprints(keyed, "_key"), "fingerprints")
-    order = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "_key")
-    kept = _rooted(marked, order).groupBy("root").agg(F.min("first").alias("first")).select("first._key")
-    return keyed.join(kept, "_key", "left_semi").dropDuplicates(["_key"]).select(*(F.col(f"`{c}`") for c in docs.columns))
+    plain = docs.toDF(*(f"c{k}" for k in range(len(docs.columns))))
+    at = {c.lower(): F.col(f"c{k}") for k, c in enumerate(docs.columns)}
+    keyed = plain.select("*", F.md5(F.to_json(F.struct(*plain.columns))).alias("key"))
+    marked = stored(fingerprints(keyed.select(at["doc_id"].alias("doc_id"), at["text"].alias("text"), "key"), "key"), "fingerprints")
+    order = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "key")
+    kept = stored(_rooted(marked, order).groupBy("root").agg(F.min("first").alias("first")).select("first.key"), "kept")
+    drop_stored(marked)
+    return keyed.join(kept, "key", "left_semi").dropDuplicates(["key"]).select(*plain.columns).toDF(*docs.columns)

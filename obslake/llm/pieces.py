@@ -6,7 +6,7 @@ before is compatible, which means that merging the two pieces' text again gives
 steps back one piece, and a bitfield keeps the positions that failed, so each is left at most once.
 
 No piece holds the space mark after another character, so merges never cross from a non-mark to a mark: texts are cut
-there, and a bounded cache keeps the ids of chunks that were seen.
+there, and a bounded cache keeps the ids of chunks that were seen while a task runs.
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ from __future__ import annotations
 import re
 import struct
 from array import array
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import groupby
 
 import ahocorasick
@@ -23,11 +23,11 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-from .common import small_batches
+from .common import releasing, small_batches
 
 MARK = "▁"
-#: Chunks, and pairs, that a task remembers.
-CACHE = 250_000
+#: Chunks that a task remembers in each of two generations, and pairs that a process remembers. Neither changes results.
+CHUNKS, PAIRS = 100_000, 250_000
 _NORMAL, _UNKNOWN, _BYTE = 1, 2, 6
 _NEVER = float("inf")
 
@@ -58,18 +58,27 @@ def _fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
 
 
 class _Chunks(dict):
-    """Packed ids of the chunks seen, made on demand; emptied when full."""
+    """Packed ids of the chunks seen, made on demand. A full one becomes the older generation, which is asked before making."""
 
     def __init__(self, pieces: Pieces) -> None:
         super().__init__()
         self.pieces = pieces
+        self.older: dict[str, bytes] = {}
 
     def __missing__(self, chunk: str) -> bytes:
-        if len(self) >= CACHE:
+        if len(self) >= CHUNKS:
+            self.older = dict(self)
             self.clear()
-        self[chunk] = ids = array("i", self.pieces.chunk(chunk)).tobytes()
+        ids = self.older.get(chunk)
+        if ids is None:
+            ids = array("i", self.pieces.chunk(chunk)).tobytes()
+        self[chunk] = ids
         return ids
 
+    def forget(self) -> None:
+        self.clear()
+        self.older = {}
+
 
 class Pieces:
     """A model file's pieces; encodes and decodes."""
@@ -114,8 +123,12 @@ class Pieces:
         self.find = ahocorasick.Automaton()
         for t, k in self.id.items():
             if len(t) > 1 and self._merge(t) == [t]:
-                self.find.add_word(t, k)
+                self.find.add_word(t, (len(t) - 1, k))
         self.find.make_automaton()
+        #: The next shorter piece at the same place; none: -1. A single character comes last.
+        self.shorter = [-1] * len(self.text)
+        for t, (_, k) in self.find.items():
+            self.shorter[k] = next((self.find.get(t[:n])[1] for n in range(len(t) - 1, 1, -1) if self.find.exists(t[:n])), self.id.get(t[0], -1))
         self.fits: dict[int, bool] = {}
         self.cache = _Chunks(self)
         self.byte_ids = np.isin(np.arange(len(self.text)), list(self.byte_of))
@@ -138,7 +151,7 @@ class Pieces:
 
     def _fit(self, a: int, b: int) -> bool:
         """Whether merging the two pieces' text again gives just these two."""
-        if len(self.fits) >= CACHE:
+        if len(self.fits) >= PAIRS:
             self.fits.clear()
         x, y = self.text[a], self.text[b]
         out = self.fits[a << 16 | b] = self._merge(x + y) == [x, y]
@@ -150,40 +163,36 @@ class Pieces:
         A prefix has one valid piece sequence at most, so the piece before a position is always the same one, and what
         was tried there need not be tried again.
         """
-        n, sizes, fits = len(text), self.size, self.fits
-        starting: dict[int, list[int]] = {}
-        for last, k in self.find.iter(text):
-            start = last + 1 - sizes[k]
-            if start in starting:
-                starting[start].append(k)
-            else:
-                starting[start] = [k]
-        failed = alone = at = before = 0
+        n, sizes, fits, one, shorter = len(text), self.size, self.fits.get, self.id, self.shorter
+        # matches come in the order of their ends, so the longest of a start is the last
+        longest = {last - before: k for last, (before, k) in self.find.iter(text)}
+        failed = at = before = 0
         ids: list[int] = []
-        while at < n:
-            options = starting.get(at)
-            while True:
-                if options:
-                    k = options.pop()  # the longest left: matches come in the order of their ends
-                elif not alone >> at & 1:
-                    alone |= 1 << at
-                    k = self.id[text[at]]  # the character itself comes last
-                else:
-                    failed |= 1 << at
-                    if not ids:
-                        raise ValueError("no encoding")
-                    at -= sizes[ids.pop()]
-                    before = ids[-1] if ids else 0
-                    break
-                fit = fits.get(before << 16 | k) if at else True
-                if fit is None:
-                    fit = self._fit(before, k)
-                if fit and not failed >> (at + sizes[k]) & 1:
-                    ids.append(k)
-                    at += sizes[k]
-                    before = k
-                    break
-        return ids
+        k = longest.get(0) or one[text[0]]
+        while True:
+            while k >= 0:
+                end = at + sizes[k]
+                if not failed >> end & 1:
+                    if not at:
+                        break
+                    fit = fits(before << 16 | k)
+                    if fit or fit is None and self._fit(before, k):
+                        break
+                k = shorter[k]
+            if k >= 0:
+                ids.append(k)
+                if end == n:
+                    return ids
+                at, before = end, k
+                k = longest.get(at) or one[text[at]]
+            else:
+                failed |= 1 << at
+                if not ids:
+                    raise ValueError("no encoding")
+                k = ids.pop()
+                at -= sizes[k]
+                before = ids[-1] if ids else 0
+                k = shorter[k]
 
     def chunk(self, text: str) -> list[int]:
         """Ids of a chunk; characters that are no piece become their bytes."""
@@ -261,44 +270,62 @@ def load(model: bytes) -> Pieces:
     return _LOADED[model]
 
 
+def _forget() -> None:
+    for pieces in _LOADED.values():
+        pieces.cache.forget()
+
+
+def _encoded(pieces: Pieces, texts: pa.Array) -> pa.Array:
+    packed = [pieces.packed(x or "") for x in texts.to_pylist()]
+    ends = np.cumsum([0, *(len(x) // 4 for x in packed)], dtype=np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(packed), np.int32)))
+
+
+def _decoded(pieces: Pieces, lists: pa.Array) -> pa.Array:
+    ends = np.cumsum(pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)).tolist()
+    flat = pc.list_flatten(lists).to_numpy(zero_copy_only=False)
+    return pa.array([pieces.decode(flat[a:b]) for a, b in zip([0, *ends], ends)], pa.string())
+
+
 def encode(docs: DataFrame, model_file: str, out: str = "ids") -> DataFrame:
     """docs with a column of token ids of the whole text, array<int>; null and empty text: an empty array.
 
     model_file is read once, on the driver, and travels with the tasks (a model is a fixed file of well under 2 MB).
     A column of the same name is replaced; no other column is touched.
     """
-
-    def call(pieces: Pieces, texts: pa.Array) -> pa.Array:
-        packed = [pieces.packed(x or "") for x in texts.to_pylist()]
-        ends = np.cumsum([0, *(len(x) // 4 for x in packed)], dtype=np.int32)
-        return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(packed), np.int32)))
-
-    return _mapped(docs, model_file, "text", out, "array<int>", call)
+    return _mapped(docs, model_file, "text", {out: "array<int>"}, lambda pieces, x: [_encoded(pieces, x)])
 
 
 def decode(docs: DataFrame, model_file: str, ids: str = "ids", out: str = "decoded") -> DataFrame:
     """docs with the text of a column of ids; null: the empty text."""
+    return _mapped(docs, model_file, ids, {out: "string"}, lambda pieces, x: [_decoded(pieces, x)])
+
+
+def encode_decode(docs: DataFrame, model_file: str, ids: str = "ids", out: str = "decoded") -> DataFrame:
+    """decode(encode(docs)): both columns from one pass over the texts, so that one Python worker a task does it."""
 
-    def call(pieces: Pieces, lists: pa.Array) -> pa.Array:
-        ends = np.cumsum(pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)).tolist()
-        flat = pc.list_flatten(lists).to_numpy(zero_copy_only=False)
-        return pa.array([pieces.decode(flat[a:b]) for a, b in zip([0, *ends], ends)], pa.string())
+    def both(pieces: Pieces, texts: pa.Array) -> list[pa.Array]:
+        lists = _encoded(pieces, texts)
+        return [lists, _decoded(pieces, lists)]
 
-    return _mapped(docs, model_file, ids, out, "string", call)
+    return _mapped(docs, model_file, "text", {ids: "array<int>", out: "string"}, both)
 
 
-def _mapped(docs: DataFrame, model_file: str, source: str, out: str, kind: str, call) -> DataFrame:
+def _mapped(docs: DataFrame, model_file: str, source: str, made: dict[str, str], call: Callable[[Pieces, pa.Array], list[pa.Array]]) -> DataFrame:
+    """docs with the columns `made` (name: type) that call() gives for the column `source`."""
     with open(model_file, "rb") as f:
         model = f.read()
     if len(model) > 1 << 24:
         raise ValueError("the model file is over 16 MB")
-    names = [c for c in docs.columns if c.lower() != out.lower()]
+    new = {c.lower() for c in made}
+    names = [c for c in docs.columns if c.lower() not in new]
+    labels = [*(f"c{k}" for k in range(len(names))), *(f"m{k}" for k in range(len(made)))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = load(model)
         for batch in (whole.slice(k, 256) for whole in batches for k in range(0, whole.num_rows, 256)):
-            yield pa.RecordBatch.from_arrays([*(batch.column(f"c{k}") for k in range(len(names))), call(pieces, batch.column("x"))], [*(f"c{k}" for k in range(len(names))), "made"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(f"c{k}") for k in range(len(names))), *call(pieces, batch.column("x"))], labels)
 
     rows = small_batches(docs).select(*(docs[f"`{c}`"].alias(f"c{k}") for k, c in enumerate(names)), docs[f"`{source}`"].alias("x"))
-    schema = ", ".join([*(f"c{k} {rows.schema[k].dataType.simpleString()}" for k in range(len(names))), f"made {kind}"])
-    return rows.mapInArrow(run, schema).toDF(*names, out)
+    schema = ", ".join([*(f"c{k} {rows.schema[k].dataType.simpleString()}" for k in range(len(names))), *(f"m{k} {t}" for k, t in enumerate(made.values()))])
+    return rows.mapInArrow(releasing(run, _forget), schema).toDF(*names, *made)

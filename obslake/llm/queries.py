@@ -36,9 +36,7 @@ def model_file() -> str:
 
 
 def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    model = model_file()
-    encoded = pieces.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), model)
-    decoded = pieces.decode(encoded.select("doc_id", "ids"), model)
+    decoded = pieces.encode_decode(table(spark, sf_dir, "documents").select("doc_id", "text"), model_file())
     listed = F.concat_ws(",", F.col("ids").cast("array<string>"))
     return decoded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(listed, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 

@@ -18,10 +18,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches
+from .common import releasing, sample, small_batches
 
-#: Labelled rows that the fit uses at most (those with the smallest hash of doc_id), and learned terms at most.
-SAMPLE_ROWS, LEXICON_TERMS = 20_000, 3_000
+#: Labelled rows that the fit uses at most: those with the smallest hash of doc_id. All terms that pass the bound below are learned from them.
+SAMPLE_ROWS = 20_000
 #: A learned term stands after at least so many different words in toxic rows (copies of one row teach nothing new), and the
 #: lower 99 % confidence bound of its log-odds is at least so high.
 MIN_NEIGHBOURS, MIN_LOG_ODDS, Z = 4, 1.0, 2.58
@@ -31,8 +31,15 @@ SEED_TERMS = ("idiot", "moron", "stupid", "scum", "trash", "loser", "clown", "pa
 REPORTING = frozenset("said says wrote called quote quoted cited word term reported sagte schrieb zitat wort dit écrit cité mot dijo escribió cita palabra".split())
 ADDRESS = frozenset("you your you're youre u du dich dein ihr tu toi ton vous votre tú eres usted".split())
 _QUOTES = re.compile(r"[\"“”„«»]")
-_WORDS = re.compile(r"[^\W\d_]+")
-WINDOW = 6
+#: What hides a letter inside a word.
+MASKS = frozenset("*@$#_0123456789")
+#: Runs of letters, with at most two masks at a time between them.
+_WORDS = re.compile(r"[^\W\d_]+(?:[*@$#_0-9]{1,2}[^\W\d_]+)*")
+_LETTERS = re.compile(r"[^\W\d_]+")
+#: Words on each side that tell quotation from abuse; words and automaton states that a task remembers (no result depends on them).
+WINDOW, SEEN, STATES = 6, 50_000, 50_000
+#: Weight of a term of the fixed list; learned terms weigh the lower bound of their log-odds.
+SEED_WEIGHT = 2.0
 
 
 def allowed(term: str) -> int:
@@ -41,7 +48,7 @@ def allowed(term: str) -> int:
 
 
 class FuzzyLexicon:
-    """A trie of terms, walked by its Levenshtein automaton made deterministic on demand."""
+    """A trie of terms, walked by its Levenshtein automaton made deterministic on demand. A mask stands for any one letter."""
 
     def __init__(self, weights: dict[str, float]) -> None:
         self.weights = weights
@@ -92,7 +99,7 @@ class FuzzyLexicon:
             if e + 1 <= self.most[node]:
                 items.add((node, e + 1))  # c is one too many
             for k, child in self.children[node].items():
-                cost = e + (k != c)
+                cost = e + (k != c and c not in MASKS)
                 if cost <= self.most[child]:
                     items.add((child, cost))
         out = self.step[state][c] = self._state(items)
@@ -122,18 +129,27 @@ class Model:
     def __getstate__(self) -> dict:
         return self.__dict__ | {"_lexicon": None, "_seen": {}}
 
+    def _match(self, word: str) -> tuple[str, int] | None:
+        """The term that a word is, and its edits (a masked letter counts as one); a masked word may also hold a term between its masks."""
+        found, plain = self._lexicon.match(word), word.isalpha()
+        if found or plain:
+            return found if plain else (found[0], max(1, found[1]))
+        return next((m for m in map(self._lexicon.match, _LETTERS.findall(word)) if m), None)
+
     def features(self, text: str | None) -> list[float]:
         """Evidence in a whole text: exact, fuzzy and quoted hits, different terms, hits a hundred words, address near a hit."""
         if self._lexicon is None:
             self._lexicon = FuzzyLexicon(self.weights)
-        seen, match, low = self._seen, self._lexicon.match, (text or "").lower()
-        if len(seen) > 100_000:
+        elif len(self._lexicon.sets) > STATES:
+            self._lexicon = FuzzyLexicon(self.weights)
+        seen, low = self._seen, (text or "").lower()
+        if len(seen) > SEEN:
             seen.clear()
         words = _WORDS.findall(low)
         hits = []
         for w in set(words):
             if w not in seen:
-                seen[w] = match(w)
+                seen[w] = self._match(w)
             if seen[w]:
                 hits.append(w)
         exact = fuzzy = quoted = address = total = 0.0
@@ -187,7 +203,7 @@ def held_out(doc_id: Column | str) -> Column:
 
 def _training_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
     known = labels.filter("doc_id is not null and toxic is not null and " + "crc32(cast(doc_id as string)) % 5 <> 0").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    known = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_ROWS)
+    known = sample(known, "doc_id", n=SAMPLE_ROWS)
     rows = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id")  # at most SAMPLE_ROWS ids
     return rows.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), (F.col("toxic") > 0).cast("int").alias("toxic"))
 
@@ -196,7 +212,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     """The lexicon and regression from labelled rows outside the held-out fifth; with one class only, the fixed list and prior weights."""
     rows = _training_rows(docs, labels).persist()
     n = {r.toxic: r.n for r in rows.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
-    weights = {t: 1.0 for t in SEED_TERMS}
+    weights = {t: SEED_WEIGHT for t in SEED_TERMS}
     if n.get(1) and n.get(0):
         words = F.regexp_extract_all(F.lower("text"), F.lit(r"([\p{L}]+)"))
         pairs = rows.select("doc_id", "toxic", F.explode(F.arrays_zip(words.alias("w"), F.concat(F.array(F.lit("")), words).alias("before"))).alias("p")).select("doc_id", "toxic", "p.w", "p.before").filter("w is not null")
@@ -207,8 +223,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
         )
         odds = F.log((F.col("p") + 0.5) / (n[1] + 1.0)) - F.log((F.col("n") + 0.5) / (n[0] + 1.0))
         best = by_word.filter((F.col("neighbours") >= MIN_NEIGHBOURS) & (F.length("w") >= 3)).withColumn("odds", odds - Z * F.sqrt(1 / (F.col("p") + 0.5) + 1 / (F.col("n") + 0.5))).filter(F.col("odds") >= MIN_LOG_ODDS)
-        learned = best.orderBy(F.desc("odds"), "w").limit(LEXICON_TERMS).collect()
-        weights |= {r.w: 1.0 for r in learned}
+        weights |= {r.w: round(r.odds, 6) for r in best.select("w", "odds").collect()}  # words of the sample: bounded by it
     start = Model(weights, -3.0, [3.0, 0.5, 0.1, 1.0, 1.0, 0.2, 0.0], [0.0] * 7, [1.0] * 7)
     if not (n.get(1) and n.get(0)):
         rows.unpersist()
@@ -219,7 +234,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
             x = np.array([start.features(t) for t in batch.column(0).to_pylist()], np.float64).reshape(-1, 7)
             yield pa.RecordBatch.from_arrays([batch.column(1), *(pa.array(c) for c in x.T)], ["toxic", *(f"f{k}" for k in range(7))])
 
-    table = rows.select("text", "toxic").mapInArrow(features, "toxic int, " + ", ".join(f"f{k} double" for k in range(7))).toArrow()
+    table = rows.select("text", "toxic").mapInArrow(releasing(features), "toxic int, " + ", ".join(f"f{k} double" for k in range(7))).toArrow()
     rows.unpersist()
     y, x = table.column("toxic").to_numpy(), np.stack([table.column(f"f{k}").to_numpy() for k in range(7)], axis=1)
     mean, scale = x.mean(axis=0), np.maximum(x.std(axis=0), 1e-6)
@@ -236,7 +251,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
                 batch = whole.slice(k, 512)
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(model.score(batch.column(1).to_pylist()))], ["doc_id", "score"])
 
-    scored = small_batches(docs).select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, score double")
+    scored = small_batches(docs).select(F.col("doc_id").cast("long"), "text").mapInArrow(releasing(run), "doc_id long, score double")
     return scored.select("doc_id", held_out("doc_id").alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
@@ -249,4 +264,4 @@ def reject_toxic(docs: DataFrame, model: Model) -> DataFrame:
                 batch = whole.slice(k, 512)
                 yield batch.filter(pa.array(model.score(batch.column("text").to_pylist()) < 0.5))
 
-    return small_batches(docs).mapInArrow(run, docs.schema)
+    return small_batches(docs).mapInArrow(releasing(run), docs.schema)

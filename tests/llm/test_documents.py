@@ -90,11 +90,12 @@ def test_large_buckets_link_by_lookups(monkeypatch):
     fps = np.array(sorted(fps), np.uint64)
     i, j = np.nonzero(np.triu(np.bitwise_count(fps[:, None] ^ fps[None, :]) <= 3, 1))
     want = simhash.contract(fps[i], fps[j])
-    keys = np.concatenate([((fps & keep)[:, None] ^ flips).ravel() | np.uint64((z + 1) << simhash.ZONES[z][0]) for z, (keep, flips) in enumerate(simhash._masks())])
-    owners = np.concatenate([np.repeat(fps, len(flips)) for _, flips in simhash._masks()])
     for small in (1, 3, 1000):
         monkeypatch.setattr(simhash, "SMALL", small)
-        got = simhash.meet(keys, owners)
+        met = [simhash.meet(z, ((fps & keep)[:, None] ^ flips).ravel(), np.repeat(fps, len(flips))) for z, (keep, flips) in enumerate(simhash._masks())]
+        for a, b in met:
+            assert len(a)
+        got = simhash.contract(*(np.concatenate(x) for x in zip(*met)))
         assert dict(zip(*map(list, got))) == dict(zip(*map(list, want)))
 
 
@@ -114,9 +115,8 @@ def _cut(rows: list[tuple], width: int = 20) -> list[tuple]:
 
 @pytest.mark.parametrize(("chars", "windows"), [(6_000_000, 1 << 21), (800, 300), (100, 50)])
 def test_substrings_are_cut_as_by_a_set_of_windows(docs, monkeypatch, chars, windows):
-    monkeypatch.setattr(substring, "BLOCK_CHARS", chars)
     monkeypatch.setattr(substring, "SLICE_WINDOWS", windows)
-    got = substring.dedup_substrings(docs).collect()
+    got = substring.dedup_substrings(docs, block_bytes=chars).collect()
     assert sorted(((r.doc_id, r.n_words, r.n_removed, b" ".join((r.text or "").encode().split())) for r in got), key=str) == _cut(_corpus())
 
 
@@ -127,15 +127,49 @@ def test_substrings_of_rows_under_one_id_are_dealt_into_many_blocks(spark, monke
     rows = [(i, t, "en", "s", 1) for t in texts for i in (None, 7)] + [(k, texts[k], "en", "s", 1) for k in range(10)] + [(-(1 << 63), texts[0], "en", "s", 1)]
     docs = spark.createDataFrame(rows, DOCS).repartition(3)
     for chars in (2000, 1_000_000):
-        got = substring.dedup_substrings(docs, block_chars=chars).collect()
+        got = substring.dedup_substrings(docs, block_bytes=chars).collect()
         assert sorted(((x.doc_id, x.n_words, x.n_removed, b" ".join((x.text or "").encode().split())) for x in got), key=str) == _cut(rows)
     seen = []
     monkeypatch.setattr(substring, "_passes", lambda rows, plan: seen.append(rows) or rows.withColumn("n_words", rows.doc_id).withColumn("n_removed", rows.doc_id))
-    substring.dedup_substrings(docs, block_chars=2000)
+    substring.dedup_substrings(docs, block_bytes=2000)
     sizes = [x["count"] for x in seen[0].groupBy("block").count().collect()]
     assert len(sizes) > 5 and max(sizes) < len(rows) / 3
 
 
+def test_windows_of_one_hash_are_told_apart_by_their_words():
+    import numpy as np
+
+    r = random.Random(4)
+    words = r.choices([b"a", b"bb", b"\x00", b"ccc"], k=400)
+    text, at = substring.Text(b" ".join(words)), np.arange(397)
+    seen, want = set(), []
+    for k in at:
+        want.append(tuple(words[k : k + 4]) in seen)
+        seen.add(tuple(words[k : k + 4]))
+    for hashes in (text.hashes(4), np.zeros(397, np.uint64), text.hashes(4) % np.uint64(3)):
+        assert text.repeated(at, hashes, 4).tolist() == want
+    long = substring.Text(b"x" * 70_000 + b" " + b"y" * 140_000 + b" " + b"x" * 70_000 + b" z " + b"y" * 140_000)
+    h = long.hashes(1)
+    assert h[0] == h[2] and h[1] == h[4] and len(set(h.tolist())) == 3
+
+
+def test_merged_counters_overestimate_and_lose_nothing():
+    import numpy as np
+    import pyarrow as pa
+
+    plan = substring._Plan(6 * 2000, 1)
+    r = np.random.default_rng(2)
+    blocks = [r.integers(0, 3000, 900).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) for _ in range(3)]
+    for row in range(substring.ROWS):
+        packed = [np.unique(plan.cells(b, row), return_counts=True) for b in blocks]
+        rows = pa.table({"block": [0, 1, 2], "cells": [substring.pack_sorted(c) for c, _ in packed], "counts": [substring.pack(np.minimum(n, 255)) for _, n in packed]})
+        told = {x["block"]: set(substring.unpack_sorted(x["cells"]).tolist()) for x in substring._merged((pa.scalar(0), pa.scalar(row)), rows).to_pylist()}
+        for k, b in enumerate(blocks):
+            others = set(np.concatenate([x for j, x in enumerate(blocks) if j != k]).tolist())
+            for h in set(b.tolist()) & others:
+                assert int(plan.cells(np.array([h], np.uint64), row)[0]) in told[k]
+
+
 def test_substrings_leave_clean_texts_and_other_columns(docs, none):
     before = {r.doc_id: r for r in docs.collect()}
     for r in substring.dedup_substrings(docs).collect():

@@ -25,7 +25,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the passages that stand earlier; n_chars is that of the text left."""
-    cut = substring.dedup_substrings(docs, block_chars=3_000_000)  # workers still hold what earlier stages needed
+    cut = substring.dedup_substrings(docs)
     changed = F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
     return cut.withColumn("n_chars", changed).select(*docs.columns)
 
@@ -37,9 +37,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, lang, source, token ids, and the text that they decode to."""
-    model = model_file()
-    encoded = pieces.encode(docs, model)
-    return pieces.decode(encoded, model).select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
+    return pieces.encode_decode(docs, model_file()).select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 STAGES = [

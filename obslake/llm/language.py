@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches
+from .common import releasing, sample, small_batches
 
 #: Labelled rows that the fit uses at most: those with the smallest hash of doc_id.
 SAMPLE_ROWS = 4_000
@@ -108,7 +108,7 @@ class Chooser:
                 votes[:, name] += m > 0
                 sums[:, name] += m
                 least[:, name] = np.minimum(least[:, name], p)
-        best = np.array([np.lexsort((-s, -v))[0] for v, s in zip(votes, sums)], np.int64) if len(x) else np.empty(0, np.int64)
+        best = np.array([np.lexsort((np.arange(len(v)), -s, -v))[0] for v, s in zip(votes, sums)], np.int64) if len(x) else np.empty(0, np.int64)
         return best, least[np.arange(len(x)), best]
 
 
@@ -157,8 +157,8 @@ def fit(docs: DataFrame, languages: list[str] | None = None) -> Model:
             made = pa.array([None if v is None else v.astype(np.float16).tobytes() for v in x], pa.binary())
             yield pa.RecordBatch.from_arrays([made, batch.column(1)], ["x", "lang"])
 
-    wide = rows.select("text", "lang", "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_ROWS)
-    some = rows.groupBy("lang").agg(F.min_by("text", F.xxhash64("doc_id")).alias("text")).select("text", "lang")
+    wide = sample(rows.select("text", "lang", "doc_id"), "doc_id", "text", n=SAMPLE_ROWS)
+    some = rows.groupBy("lang").agg(F.min_by("text", F.struct(F.xxhash64("doc_id"), "doc_id", "text")).alias("text")).select("text", "lang")
     table = wide.select("text", "lang").unionByName(some).mapInArrow(described, "x binary, lang string").filter("x is not null").toArrow()
     if not table.num_rows:
         return Model(None, {})
@@ -171,7 +171,8 @@ def fit(docs: DataFrame, languages: list[str] | None = None) -> Model:
 def identify(docs: DataFrame, model: Model) -> DataFrame:
     """(doc_id long, held_out boolean, lang_pred string, score double) of every row of docs (doc_id, text).
 
-    Null text, or one without a letter: `und` with score 0.
+    Null text, or one without a letter: `und` with score 0. Ties of votes go to the larger sum of margins, then to the first name.
+    Very long texts are counted whole. Other columns are not read. An empty table gives an empty result.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -181,5 +182,5 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
                 names, scores = model.predict(batch.column(1).to_pylist())
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(names, pa.string()), pa.array(scores)], ["doc_id", "lang_pred", "score"])
 
-    found = small_batches(docs).select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, lang_pred string, score double")
+    found = small_batches(docs).select(F.col("doc_id").cast("long"), "text").mapInArrow(releasing(run), "doc_id long, lang_pred string, score double")
     return found.select("doc_id", held_out("doc_id").alias("held_out"), "lang_pred", "score")

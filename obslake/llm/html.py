@@ -2,11 +2,12 @@
 
 A page is cut into blocks of running text. A trained classifier gives each block a cost of being content and of being boilerplate; these
 are the capacities of its edges to the two terminals. Neighbours in the page, and blocks under the same element, are tied by
-smoothness edges. The minimum cut, found by maximum flow, separates content from boilerplate.
+smoothness edges, the more strongly the more alike their markup is. The minimum cut, found by maximum flow, separates content from boilerplate.
 
-The classifier is a logistic regression over a block's text and link statistics, fitted on a bounded sample of pages whose own
-markup tells (blocks within <article> or <main> against navigation, footers and the like). What the markup says about the block
-at hand is added to its cost as a fixed prior, so pages without such markup are still judged by their text.
+The classifier is a logistic regression over a block's text and link statistics and over the words of the markup around it: tags, classes,
+ids and roles of the elements it stands in. It learns from a bounded sample of pages whose markup is plain (blocks in an article against those
+under navigation, footers, adverts and the like), once with the markup words and once without, so pages without such markup are judged by
+their text, and markup words that the sample doesn't know say nothing.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ from __future__ import annotations
 import html as entities
 import math
 import re
-from collections import deque
+from collections import Counter, deque
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -23,63 +24,66 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches
+from .common import releasing, sample, small_batches
 from .toxicity import logistic
 
-#: Pages that the fit uses at most: those with the smallest hash of page_id.
-SAMPLE_PAGES = 1_000
-#: Strength of the ties between neighbours, and between blocks of one parent element.
-NEXT, PARENT = 0.6, 0.9
-#: Log-odds that markup adds: less than the most that the classifier and the ties of a block can weigh against it.
-INSIDE, OUTSIDE = 3.0, -3.5
+#: Pages that the fit uses at most (those with the smallest hash of page_id), and blocks that a markup word has to stand around to be learned.
+SAMPLE_PAGES, LEAST_BLOCKS = 1_000, 5
+#: Strength of the ties between neighbours, and between blocks of one parent element; share of it where one has markup words that the other lacks.
+NEXT, PARENT, UNLIKE = 0.6, 0.9, 0.25
+#: The classifier's log-odds count up to this, so that ties can outvote it.
+MOST_ODDS = 3.5
 _TOKEN = re.compile(r"<!--.*?(?:-->|$)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*(?:>|$)|([^<]+|<)", re.S)
-_RAW = {t: re.compile(rf"</{t}\s*>", re.I) for t in ("script", "style", "noscript", "template", "textarea", "title", "svg", "iframe", "select", "object", "canvas", "math")}
+_RAW = {t: re.compile(rf"</{t}\s*>", re.I) for t in ("script", "style", "template", "textarea", "title", "svg", "iframe", "select")}
 #: What is no page text even where no end tag follows.
 _TO_THE_END = frozenset("script style title textarea".split())
-#: They hold the page or its content: their classes tell about the layout.
-_FRAMES = frozenset("html body main article".split())
-_INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr picture source".split())
+_INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr picture source noscript object canvas math mi mo mn ms mrow mtext mfrac msup msub msqrt mroot mover munder mtable mtr mtd annotation semantics".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-_OUT_TAGS = frozenset("nav footer aside form button menu dialog".split())
-_HINT = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|sponsor\w*|promo\w*|banner|cookie\w*|consent|gdpr|notice\w*|alert|popup|modal|newsletter|subscribe|signup|login|sidebar\w*|side|menu\w*|nav\w*|breadcrumb\w*|pagination|pager|footer\w*|foot|masthead|toolbar|share\w*|social\w*|related|recommend\w*|comments?|comment-\w+|disqus|replies|reply|respond|widget\w*|copyright|legal)(?=$|[\s_-])", re.I)
+#: Markup words of plain boilerplate, from which the fit learns.
+_PLAIN = frozenset("nav footer aside form menu dialog ad ads advert advertisement sponsored promo banner cookie cookies consent newsletter subscribe sidebar breadcrumb breadcrumbs pagination comment comments reply replies disqus share social related navigation contentinfo complementary hidden".split())
 _ATTR = re.compile(r"\b(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
-_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alertdialog menu menubar".split())
 _CLOSES = {"p": frozenset("p"), "li": frozenset("li"), "dt": frozenset(("dt", "dd")), "dd": frozenset(("dt", "dd")), "tr": frozenset(("tr", "td", "th")), "td": frozenset(("td", "th")), "th": frozenset(("td", "th")), "option": frozenset(("option",))}
 _SPACE = re.compile(r"\s+")
 
 
+_WORD = re.compile(r"[a-z]+")
+
+
 @dataclass
 class Block:
+    """A run of text, with the words of the markup that it stands in."""
+
     text: str
     linked: int
     parent: int
     tag: str
-    inside: bool
-    outside: bool
+    markup: frozenset[str]
+
 
+#: Elements that hold a whole page or its content: their classes tell about the layout.
+_FRAMES = frozenset("html body main article".split())
 
-def _says_boilerplate(tag: str, attrs: str) -> bool:
-    if tag in _FRAMES:
-        return False
-    if tag in _OUT_TAGS:
-        return True
+
+def _markup_words(tag: str, attrs: str) -> set[str]:
+    """Words of an element's tag, class, id and role; `hidden` where it isn't shown."""
+    words = {tag}
     for name, *values in _ATTR.findall(attrs):
-        value, name = next((v for v in values if v), ""), name.lower()
-        if name in ("class", "id") and _HINT.search(value) or name == "role" and value.lower() in _ROLES:
-            return True
-        if name == "hidden" or name == "aria-hidden" and value.lower() == "true" or name == "style" and re.search(r"display\s*:\s*none", value, re.I):
-            return True
-    return False
+        value, name = next((v for v in values if v), "").lower(), name.lower()
+        if name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and re.search(r"display\s*:\s*none", value):
+            words.add("hidden")
+        elif name in ("class", "id", "role") and tag not in _FRAMES:
+            words.update(_WORD.findall(value))
+    return words
 
 
 def blocks(page: str) -> list[Block]:
     """Runs of text between block-level tags, in page order, white space collapsed; empty ones are left out.
 
-    A form is boilerplate unless it holds more than half of the page's text.
+    A form's word is left out where the form holds more than half of the page's text.
     """
     out: list[Block] = []
-    # open elements: tag, number, inside an article, outside by markup other than forms
-    stack: list[tuple[str, int, bool, bool]] = [("", 0, False, False)]
+    # open elements: tag, number, markup words of it and of those around it
+    stack: list[tuple[str, int, frozenset[str]]] = [("", 0, frozenset())]
     parts: list[str] = []
     # first block of every form and the one after it, and tags that no end follows any more
     forms: list[tuple[int, int]] = []
@@ -92,15 +96,15 @@ def blocks(page: str) -> list[Block]:
         if parts:
             text = _SPACE.sub(" ", entities.unescape("".join(parts))).strip()
             if text:
-                tag, parent, inside, outside = next(x for x in reversed(stack) if x[0] not in _INLINE)
+                tag, parent, markup = next(x for x in reversed(stack) if x[0] not in _INLINE)
                 if tag in ("p", "li", "h1", "h2", "h3", "h4", "h5", "h6", "td", "th", "dt", "dd", "blockquote", "pre", "tr", "figcaption") and len(stack) > 1:
                     parent = next((x[1] for x in reversed(stack) if x[0] not in _INLINE and x[0] not in _CLOSES and not re.fullmatch("h[1-6]", x[0])), 0)
-                out.append(Block(text, min(linked, len(text)), parent, tag, inside, outside))
+                out.append(Block(text, min(linked, len(text)), parent, tag, markup))
             parts.clear()
         linked = 0
 
     def close_to(depth: int) -> None:
-        for _, number, _, _ in stack[depth:]:
+        for _, number, _ in stack[depth:]:
             if number in open_forms:
                 forms.append((open_forms.pop(number), len(out)))
         del stack[depth:]
@@ -148,19 +152,16 @@ def blocks(page: str) -> list[Block]:
             close_to(len(stack) - 1)
         if tag not in _VOID and not attrs.rstrip().endswith("/"):
             count += 1
-            _, _, inside, outside = stack[-1]
-            in_article = inside or tag in ("article", "main")
-            head = tag == "head" or tag == "header" and not inside
             if tag == "form":
                 open_forms[count] = len(out)
-            stack.append((tag, count, in_article, outside or head or tag != "form" and _says_boilerplate(tag, attrs)))
+            stack.append((tag, count, stack[-1][2] | _markup_words(tag, attrs)))
     end()
     close_to(1)
     total = sum(len(b.text) for b in out)
     for first, after in forms:
-        if 2 * sum(len(b.text) for b in out[first:after]) <= total:
+        if 2 * sum(len(b.text) for b in out[first:after]) > total:
             for b in out[first:after]:
-                b.outside = True
+                b.markup -= {"form"}
     return out
 
 
@@ -245,20 +246,28 @@ def _max_flow_side(n: int, source: list[float], sink: list[float], ties: list[tu
 class Model:
     bias: float
     slopes: list[float]
+    #: Log-odds of the markup words that were learned.
+    words: dict[str, float]
+
+    def odds(self, found: list[Block]) -> np.ndarray:
+        """The classifier's log-odds of being content."""
+        markup = np.array([sum(self.words.get(w, 0.0) for w in b.markup) for b in found])
+        return np.clip(features(found) @ np.array(self.slopes) + self.bias + markup, -MOST_ODDS, MOST_ODDS)
 
     def labels(self, found: list[Block]) -> list[bool]:
         """Whether each block is content."""
         if not found:
             return []
-        odds = np.clip(features(found) @ np.array(self.slopes) + self.bias, -4, 4)
-        odds += [OUTSIDE if b.outside else INSIDE if b.inside else 0.0 for b in found]
+        odds = self.odds(found)
         # the costs are the negative logarithms of the probabilities
         content, boilerplate = np.logaddexp(0, -odds), np.logaddexp(0, odds)
-        ties = [(k, k + 1, NEXT) for k in range(len(found) - 1)]
+        known = [b.markup & self.words.keys() for b in found]
+        tie = lambda a, b, c: (a, b, c if known[a] == known[b] else c * UNLIKE)
+        ties = [tie(k, k + 1, NEXT) for k in range(len(found) - 1)]
         last: dict[int, int] = {}
         for k, b in enumerate(found):
             if b.parent in last:
-                ties.append((last[b.parent], k, PARENT))
+                ties.append(tie(last[b.parent], k, PARENT))
             last[b.parent] = k
         return _max_flow_side(len(found), boilerplate.tolist(), content.tolist(), ties)
 
@@ -267,38 +276,52 @@ class Model:
         return "\n".join(b.text for b, keep in zip(found, self.labels(found)) if keep)
 
 
-#: Where no page of the sample has telling markup.
-DEFAULT = Model(-2.0, [1.0, -3.0, 1.0, 0.5, 0.8, -0.8, 0.0, 0.15, -0.3, 0.15, -0.3])
+#: Where no page of the sample has plain markup: by text statistics, and the fixed words a little.
+DEFAULT = Model(-2.0, [1.0, -3.0, 1.0, 0.5, 0.8, -0.8, 0.0, 0.15, -0.3, 0.15, -0.3], {w: -3.0 for w in _PLAIN} | {"article": 2.0, "main": 0.5})
+
+
+def _plainly(b: Block) -> bool | None:
+    """Whether a block's markup says content (True) or boilerplate (False); None if it says neither."""
+    return False if b.markup & _PLAIN or "head" in b.markup or "header" in b.markup and "article" not in b.markup else True if b.markup & {"article", "main"} else None
 
 
 def fit(pages: DataFrame) -> Model:
-    """The classifier, from up to SAMPLE_PAGES pages (page_id, html) whose markup tells content from boilerplate."""
+    """The classifier, from up to SAMPLE_PAGES pages (page_id, html) with blocks of both kinds in plain markup."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x, y = [], []
+            x, y, words = [], [], []
             for page in batch.column(0).to_pylist():
                 found = blocks(page)
-                if any(b.inside and not b.outside for b in found) and any(b.outside for b in found):
-                    telling = [k for k, b in enumerate(found) if b.inside or b.outside]
+                said = [_plainly(b) for b in found]
+                if True in said and False in said:
+                    telling = [k for k, v in enumerate(said) if v is not None]
                     x += features(found)[telling].tolist()
-                    y += [not found[k].outside for k in telling]
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.list_(pa.float64())), pa.array(y, pa.bool_())], ["x", "y"])
-
-    sample = pages.filter("html is not null").orderBy(F.xxhash64("page_id"), "page_id").select("html").limit(SAMPLE_PAGES)
-    rows = sample.repartition(8).mapInArrow(run, "x array<double>, y boolean").toArrow()
-    y = np.array(rows.column("y").to_pylist(), float)
-    if not len(y) or y.min() == y.max():
+                    y += [said[k] for k in telling]
+                    words += [sorted(found[k].markup) for k in telling]
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.list_(pa.float64())), pa.array(y, pa.bool_()), pa.array(words, pa.list_(pa.string()))], ["x", "y", "words"])
+
+    few = sample(pages.filter("html is not null").select("page_id", "html"), "page_id", n=SAMPLE_PAGES)
+    rows = few.select("html").repartition(8).mapInArrow(run, "x array<double>, y boolean, words array<string>").toArrow().to_pylist()
+    rows.sort(key=lambda r: (r["y"], r["words"], r["x"]))
+    if len({r["y"] for r in rows}) < 2:
         return DEFAULT
-    order = np.lexsort(np.c_[np.array(rows.column("x").to_pylist()), y].T)
-    bias, slopes = logistic(np.array(rows.column("x").to_pylist())[order], y[order], 10.0)
-    return Model(bias, slopes.tolist())
+    seen = Counter(w for r in rows for w in r["words"])
+    known = {w: k for k, w in enumerate(sorted(w for w, n in seen.items() if LEAST_BLOCKS <= n < len(rows)))}
+    x, y = np.array([r["x"] for r in rows]), np.array([r["y"] for r in rows], float)
+    markup = np.zeros((len(rows), len(known)))
+    for k, r in enumerate(rows):
+        markup[k, [known[w] for w in r["words"] if w in known]] = 1
+    # each block counts once with its markup and once without
+    bias, slopes = logistic(np.c_[np.r_[x, x], np.r_[markup, np.zeros_like(markup)]], np.r_[y, y], 3.0)
+    return Model(bias, slopes[: x.shape[1]].tolist(), {w: float(slopes[x.shape[1] + k]) for w, k in known.items()})
 
 
 def extract(pages: DataFrame, model: Model) -> DataFrame:
     """(page_id long, url string, text string, n_chars long) of every row of pages (page_id, url, html).
 
-    Null or empty html, and pages without content: the empty text. n_chars counts code points.
+    Null or empty html, and pages without content: the empty text. n_chars counts code points. Pages of any length are read whole; rows
+    with one page_id are pages of their own; other columns are not read. An empty table gives an empty result.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -308,4 +331,4 @@ def extract(pages: DataFrame, model: Model) -> DataFrame:
                 texts = [model.extract(x) for x in batch.column(2).to_pylist()]
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(x) for x in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
-    return small_batches(pages).select(F.col("page_id").cast("long"), "url", "html").mapInArrow(run, "page_id long, url string, text string, n_chars long")
+    return small_batches(pages).select(F.col("page_id").cast("long"), "url", "html").mapInArrow(releasing(run), "page_id long, url string, text string, n_chars long")

@@ -131,9 +131,33 @@ def test_layout_words_and_missing_end_tags_lose_no_page():
 
 
 def test_form_with_less_than_half_of_the_text_is_outside():
-    told = {b.text: b.outside for b in html.blocks("<p>Much more text than the form holds.<form><div>Sign <form>up</form></form><p>And a last one.")}
+    told = {b.text: "form" in b.markup for b in html.blocks("<p>Much more text than the form holds.<form><div>Sign <form>up</form></form><p>And a last one.")}
     assert told == {"Much more text than the form holds.": False, "Sign": True, "up": True, "And a last one.": False}
-    assert not any(b.outside for b in html.blocks("<form><p>Most of the page is here.</form><p>Little."))
+    assert not any("form" in b.markup for b in html.blocks("<form><p>Most of the page is here.</form><p>Little."))
+
+
+@pytest.fixture(scope="module")
+def page_model(spark):
+    return html.fit(spark.read.parquet(f"{SF}/pages.parquet"))
+
+
+def test_the_cut_changes_labels():
+    prose = "A sentence long enough to be taken for prose by its words alone, with an end to it."
+    found = html.blocks(f"<div><p>{prose * 3}<p>{prose * 2}<p>So it is<p>{prose * 2}<p>{prose * 3}</div><ul><li><a>One</a><li><a>Two</a></ul>")
+    model = html.DEFAULT
+    alone = (model.odds(found) > 0).tolist()
+    assert alone == [True, True, False, True, True, False, False]
+    assert model.labels(found) == [True, True, True, True, True, False, False]
+    # an advert inside the same element has markup of its own, weak ties, and stays out
+    found = html.blocks(f"<div><p>{prose * 3}<div class=ad>So it is</div><p>{prose * 3}</div>")
+    assert model.labels(found) == [True, False, True]
+
+
+def test_nothing_of_an_article_is_dropped(page_model):
+    prose = "A sentence long enough to be taken for prose by its words alone, with an end to it. "
+    page = f"<nav><ul><li><a>One</a></ul></nav><article><h1>On sums</h1><p>{prose}The formula <math><mi>a</mi><mo>+</mo><mi>b</mi></math> follows.</p><div class='legal'><p>{prose * 2}</p></div><p>{prose}<object>Shown</object><noscript>too</noscript></p><div class='ad'>Buy now</div></article><footer>me</footer>"
+    for model in (html.DEFAULT, page_model):
+        assert model.extract(page).split("\n") == ["On sums", f"{prose}The formula a+b follows.", (prose * 2).strip(), f"{prose}Showntoo"]
 
 
 def test_cut_is_minimal():

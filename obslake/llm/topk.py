@@ -3,10 +3,13 @@
 A vector is cut into equal segments at several resolutions. Within a segment of length n, with means m and deviations s,
 the squared distance of two vectors is at least n((m-m')^2 + (s-s')^2); with the squared norms kept exactly this
 bounds their inner product from above by the sum over segments of n(mm' + ss'). The bounds are computed from coarse to
-fine; only rows whose bound reaches the query's k-th best score so far go on, and the survivors are scored exactly.
+fine: the coarsest for every row of a chunk, each finer one only for rows whose bound so far reaches the query's k-th best score,
+and the survivors are scored exactly. The k-th best score is carried from chunk to chunk, and a chunk none of whose
+rows can reach it (by the least and greatest of its rows' means and its greatest deviations) is skipped whole.
 
 Queries and rows are dealt into blocks of bounded size and meet block by block; each meeting returns k rows for a query,
-which are reduced to k by rank. Nothing is broadcast, and no pair of rows is ever materialised.
+which are reduced to k by rank. Nothing is broadcast, and no pair of rows is ever materialised. There are few query blocks, since
+each of them has all rows sent to it.
 """
 
 from __future__ import annotations
@@ -19,14 +22,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-QUERY_BLOCK, ROW_BLOCK = 2048, 4096
+#: Numbers that a block of queries, and of rows, holds (about); rows of a chunk.
+QUERY_VALUES, ROW_VALUES, CHUNK = 1 << 21, 1 << 20, 1024
+#: Rows that a task should get at least before there are more tasks.
+LEAST_ROWS = 1024
 SEGMENTS = (1, 4, 16)
 SCALE = 256
-_EXACT = float(1 << 24)
-
-
-def _blocks(rows: DataFrame, size: int) -> int:
-    return max(1, -(-rows.count() // size))
+#: Sums of whole numbers below this are exact in doubles.
+_EXACT = float(1 << 53)
 
 
 def _features(x: np.ndarray, segments: int) -> np.ndarray:
@@ -43,20 +46,44 @@ def _scaled(vectors: list[list[float]]) -> np.ndarray:
     return np.floor(np.array(vectors, np.float64) * SCALE)
 
 
-def _search(k: int):
-    def one(ids: np.ndarray, rows: np.ndarray, query_id: int, query: np.ndarray, bounds: list[np.ndarray]) -> list[tuple[int, int]]:
-        """(score, id) of the k best rows but the query's own, best first."""
-        alive = np.flatnonzero(ids != query_id)
-        if len(alive) > k:
-            # the rows with the best bounds give a score that k rows reach
-            lead = alive[np.argpartition(-bounds[-1][alive], k - 1)[:k]]
-            floor = (rows[lead] @ query).min()
-            for bound in bounds:
-                alive = alive[bound[alive] >= floor - 1e-6 * (1 + abs(floor))]
-        scores = rows[alive] @ query
-        order = np.lexsort((ids[alive], -scores))[:k]
-        return [(int(scores[i]), int(ids[alive[i]])) for i in order]
+class Searcher:
+    """The k best rows of a block for each query. `seen` counts pairs bounded at each level, and scored exactly."""
+
+    def __init__(self, ids: np.ndarray, rows: np.ndarray, k: int) -> None:
+        # rows with near means stand together, so that chunks have tight bounds
+        order = np.lexsort((ids, rows.mean(axis=1)))
+        self.ids, self.rows, self.k = ids[order], rows[order], k
+        self.levels = [_features(self.rows, n) for n in SEGMENTS]
+        self.chunks = [slice(a, a + CHUNK) for a in range(0, len(ids), CHUNK)]
+        coarse = [self.levels[0][c] for c in self.chunks]
+        self.low, self.high = (np.array([f(x, axis=0) for x in coarse]) for f in (np.min, np.max))
+        self.longest = float(np.sqrt((self.rows * self.rows).sum(axis=1).max()))
+        self.seen = [0] * (len(SEGMENTS) + 1)
+
+    def best(self, query_id: int, query: np.ndarray) -> list[tuple[int, int]]:
+        """(score, id) of the k best rows but the query's own, best first; ties to the smaller id."""
+        marks = [_features(query[None, :], n)[0] for n in SEGMENTS]
+        reach = np.maximum(self.low * marks[0], self.high * marks[0]).sum(axis=1)
+        scores, ids, floor = np.empty(0), np.empty(0, np.int64), -np.inf
+        slack = 1e-9 * (1 + self.longest * float(np.sqrt(query @ query)))  # far above what rounding adds to a bound
+        for c in np.argsort(-reach, kind="stable"):
+            if reach[c] < floor - slack:
+                break  # the chunks after it reach no further
+            at = np.arange(len(self.ids))[self.chunks[c]]
+            at = at[self.ids[at] != query_id]
+            for n, (level, mark) in enumerate(zip(self.levels, marks)):
+                self.seen[n] += len(at)
+                at = at[level[at] @ mark >= floor - slack]
+            self.seen[-1] += len(at)
+            scores, ids = np.r_[scores, self.rows[at] @ query], np.r_[ids, self.ids[at]]
+            order = np.lexsort((ids, -scores))[: self.k]
+            scores, ids = scores[order], ids[order]
+            if len(ids) == self.k:
+                floor = scores[-1]
+        return [(int(s), int(i)) for s, i in zip(scores, ids)]
 
+
+def _search(k: int):
     def big(ids: np.ndarray, rows: list[list[int]], query_id: int, query: list[int]) -> list[tuple[int, int]]:
         """The same over whole numbers too large for doubles."""
         scored = ((-sum(a * b for a, b in zip(x, query)), int(i)) for i, x in zip(ids, rows) if i != query_id)
@@ -67,10 +94,10 @@ def _search(k: int):
         if queries.num_rows and table.num_rows:
             (q_ids, q_raw), (ids, raw) = _matrix(queries), _matrix(table, "row_")
             q, rows = _scaled(q_raw), _scaled(raw)
-            if max(np.abs(q).max(initial=0), np.abs(rows).max(initial=0)) < _EXACT:
-                bounds = [_features(q, s) @ _features(rows, s).T for s in SEGMENTS]
+            if np.abs(q).max(initial=0) * np.abs(rows).max(initial=0) * q.shape[1] < _EXACT:
+                searcher = Searcher(ids, rows, k)
                 for i in range(len(q)):
-                    out += [(int(q_ids[i]), s, j) for s, j in one(ids, rows, q_ids[i], q[i], [b[i] for b in bounds])]
+                    out += [(int(q_ids[i]), s, j) for s, j in searcher.best(int(q_ids[i]), q[i])]
             else:
                 whole = [[math.floor(x * SCALE) for x in v] for v in raw]
                 for i, v in enumerate(q_raw):
@@ -94,7 +121,9 @@ def top_k(vectors: DataFrame, queries: Column, k: int = 5, vec_id: str = "vec_id
     rows = vectors.select(F.col(vec_id).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("vector"), queries.alias("asked"))
     rows = rows.filter(F.col("id").isNotNull() & x.isNotNull() & (F.size(x) > 0) & ~bad).withColumn("size", F.size(x))
     asked = rows.filter("asked").dropDuplicates(["id"])
-    n_q, n_r = _blocks(asked, QUERY_BLOCK), _blocks(rows, ROW_BLOCK)
+    of_queries, of_rows = (x.agg(F.coalesce(F.sum(F.col("size").cast("long")), F.lit(0)), F.count("*")).first() for x in (asked, rows))
+    n_q = max(1, -(-of_queries[0] // QUERY_VALUES))
+    n_r = max(1, -(-of_rows[0] // ROW_VALUES), min(of_rows[1] // LEAST_ROWS, vectors.sparkSession.sparkContext.defaultParallelism))
 
     def every(n: int) -> Column:
         return F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))

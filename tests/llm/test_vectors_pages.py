@@ -34,8 +34,8 @@ def _good(v) -> bool:
 @pytest.mark.parametrize("blocks", [4096, 16])
 def test_top_k_is_that_of_all_rows(spark, frame, monkeypatch, blocks):
     spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", str(blocks > 1000).lower())
-    monkeypatch.setattr(topk, "ROW_BLOCK", blocks)
-    monkeypatch.setattr(topk, "QUERY_BLOCK", 4)
+    monkeypatch.setattr(topk, "ROW_VALUES", 64 * blocks)
+    monkeypatch.setattr(topk, "QUERY_VALUES", 64 * 4)
     from pyspark.sql import functions as F
 
     rows = [(i, np.floor(256 * np.array(v, np.float64))) for i, v, _ in _rows() if _good(v)]
@@ -48,6 +48,18 @@ def test_top_k_is_that_of_all_rows(spark, frame, monkeypatch, blocks):
     assert topk.top_k(frame.limit(0), F.lit(True)).count() == 0
 
 
+def test_top_k_prunes_from_coarse_to_fine():
+    r = np.random.default_rng(8)
+    rows = np.floor(r.normal(0, 40, (6000, 64)) + r.normal(0, 120, (6000, 1)))
+    rows[17] = rows[4000]  # a tie
+    s, whole = topk.Searcher(np.arange(6000), rows, 5), rows @ rows.T
+    for q in range(0, 6000, 300):
+        scores = [(int(x), k) for k, x in enumerate(whole[q]) if k != q]
+        assert s.best(q, rows[q]) == sorted(scores, key=lambda x: (-x[0], x[1]))[:5]
+    coarse, finer, finest, exact = s.seen
+    assert 20 * 6000 * 0.6 > coarse > finer > finest > exact
+
+
 def test_top_k_of_huge_numbers(spark):
     from pyspark.sql import functions as F
 

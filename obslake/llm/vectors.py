@@ -3,8 +3,9 @@
 Unit vectors are turned by a seeded random rotation and reduced to the signs of their coordinates, with a stored
 correction factor f = <code, vector>. For two vectors the product of one's code with the other's coordinates, held in
 4 bits a coordinate, over f, is an unbiased estimate of their inner product, and its error is bounded with the
-confidence that EPSILON sets. Only candidates whose upper bound reaches the threshold are recomputed exactly, from the
-whole vectors in double precision.
+confidence that EPSILON sets. Codes and factors are computed and stored once for each class of equal vectors; candidates meet as codes
+alone. Only of rows with a pair whose upper bound reaches the threshold the whole vectors are fetched, and such pairs are recomputed
+exactly, in double precision.
 
 Candidates share a band: BANDS groups of BITS signs, each from a rotation of its own, under the same label. At the threshold
 cosine of 0.98 one sign differs with probability 0.064, so a linked pair misses all bands with probability below 2e-5.
@@ -15,7 +16,7 @@ a bucket returns links a vector and a spanning forest, never its pairs.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -23,8 +24,9 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import connected_components, contract, stored
+from .common import connected_components, contract, releasing, stored
 
 BANDS, BITS = 48, 24
 #: Rows of a bucket that one task compares at a time with as many others.
@@ -55,22 +57,34 @@ def band_codes(unit: np.ndarray) -> np.ndarray:
 class Codes:
     """Binary codes of unit vectors and what the estimate needs."""
 
-    def __init__(self, unit: np.ndarray) -> None:
+    def __init__(self, dim: int, code: np.ndarray, planes: list[np.ndarray], factor: np.ndarray, low: np.ndarray, width: np.ndarray) -> None:
+        self.dim, self.code, self.planes, self.factor, self.low, self.width = dim, code, planes, factor, low, width
+        count = lambda x: np.bitwise_count(x).sum(axis=1, dtype=np.int64)
+        self.ones, self.level_sum = count(code), sum(count(p) << k for k, p in enumerate(planes))
+
+    @staticmethod
+    def made(unit: np.ndarray) -> Codes:
         dim = unit.shape[1]
         turned = unit @ rotation(dim, SEED)
-        self.dim = dim
-        self.bits = turned > 0
-        self.factor = np.abs(turned).sum(axis=1) / np.sqrt(dim)
         low, high = turned.min(axis=1), turned.max(axis=1)
-        self.low, self.width = low, np.maximum((high - low) / ((1 << _QUERY_BITS) - 1), 1e-300)
+        width = np.maximum((high - low) / ((1 << _QUERY_BITS) - 1), 1e-300)
         noise = np.random.default_rng(SEED).random(turned.shape)
-        level = np.clip(np.floor((turned - low[:, None]) / self.width[:, None] + noise), 0, (1 << _QUERY_BITS) - 1).astype(np.uint8)
-        pad = -dim % 64
-        packed = lambda b: np.packbits(np.pad(b, ((0, 0), (0, pad))), axis=1).view(np.uint64)
-        self.code = packed(self.bits)
-        self.planes = [packed((level >> k & 1).astype(bool)) for k in range(_QUERY_BITS)]
-        self.ones = self.bits.sum(axis=1)
-        self.level_sum = level.sum(axis=1, dtype=np.int64)
+        level = np.clip(np.floor((turned - low[:, None]) / width[:, None] + noise), 0, (1 << _QUERY_BITS) - 1).astype(np.uint8)
+        packed = lambda b: np.packbits(np.pad(b, ((0, 0), (0, -dim % 64))), axis=1).view(np.uint64)
+        return Codes(dim, packed(turned > 0), [packed((level >> k & 1).astype(bool)) for k in range(_QUERY_BITS)], np.abs(turned).sum(axis=1) / np.sqrt(dim), low, width)
+
+    def marks(self) -> list[bytes]:
+        """Code and coordinates of each row, as they are stored."""
+        return [x.tobytes() for x in np.concatenate([self.code, *self.planes], axis=1)]
+
+    @staticmethod
+    def stored(rows: pa.Table) -> Codes:
+        """From columns size (one for all), marks, factor, low, width."""
+        dim = int(rows.column("size")[0].as_py())
+        words = -(-dim // 64)
+        marks = np.frombuffer(b"".join(rows.column("marks").to_pylist()), np.uint64).reshape(rows.num_rows, -1)
+        parts = [marks[:, k * words : (k + 1) * words] for k in range(1 + _QUERY_BITS)]
+        return Codes(dim, parts[0], parts[1:], *(rows.column(n).to_numpy() for n in ("factor", "low", "width")))
 
     def upper(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
         """Upper confidence bounds of the inner products of rows i (codes) and j (coordinates)."""
@@ -85,15 +99,20 @@ class Codes:
         return total / root / f + EPSILON * (spread + rounding / 2)
 
 
-def _prepared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+_CODED = {"size": pa.int32(), "bands": pa.list_(pa.int32()), "marks": pa.binary(), "factor": pa.float64(), "low": pa.float64(), "width": pa.float64()}
+
+
+def _coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows with `vector`, and the columns of _CODED behind them."""
     for batch in batches:
-        vectors = batch.column("vector")
-        sizes = pc.list_value_length(vectors).to_numpy(zero_copy_only=False)
+        sizes = pc.list_value_length(batch.column("vector")).to_numpy(zero_copy_only=False)
         for dim in np.unique(sizes):
-            at = pa.array(np.flatnonzero(sizes == dim))
-            codes = band_codes(_unit(_matrix(vectors.take(at), dim)))
-            bands = pa.ListArray.from_arrays(pa.array(np.arange(0, codes.size + 1, BANDS, dtype=np.int32)), pa.array(codes.ravel()))
-            yield pa.RecordBatch.from_arrays([batch.column("id").take(at), bands], ["id", "bands"])
+            rows = batch.take(pa.array(np.flatnonzero(sizes == dim)))
+            unit = _unit(_matrix(rows.column("vector"), dim))
+            codes, bands = Codes.made(unit), band_codes(unit)
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(0, bands.size + 1, BANDS, dtype=np.int32)), pa.array(bands.ravel()))
+            made = [pa.array(np.full(rows.num_rows, dim, np.int32)), lists, pa.array(codes.marks(), pa.binary()), *map(pa.array, (codes.factor, codes.low, codes.width))]
+            yield pa.RecordBatch.from_arrays([*rows.columns, *made], [*rows.schema.names, *_CODED])
 
 
 def _matrix(lists: pa.Array | pa.ChunkedArray, dim: int) -> np.ndarray:
@@ -121,17 +140,29 @@ def _pairs(group: np.ndarray, first: np.ndarray, second: np.ndarray, block: np.n
         yield i[ok], j[ok]
 
 
-def _links(rows: pa.Table, threshold: float) -> pa.RecordBatch:
+def _open_pairs(rows: pa.Table, threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of some whole groups whose bound reaches the threshold."""
+    number = lambda name: rows.column(name).to_numpy()
+    codes = Codes.stored(rows)
+    for i, j in _pairs(number("group"), number("first"), number("second"), number("block")):
+        near = codes.upper(i, j) >= threshold
+        yield i[near], j[near]
+
+
+def _open_rows(rows: pa.Table, threshold: float) -> list[pa.RecordBatch]:
+    """The rows with a pair that the bounds leave open."""
+    some = np.unique(np.concatenate([np.empty(0, np.int64), *(x for pair in _open_pairs(rows, threshold) for x in pair)]))
+    return rows.select(_MET).take(pa.array(some)).combine_chunks().to_batches()
+
+
+def _links(rows: pa.Table, threshold: float) -> list[pa.RecordBatch]:
     """Links that each row of some whole groups has, and a forest of them."""
     number = lambda name: rows.column(name).to_numpy()
     ids, copies, band = number("id"), number("copies"), number("band")
-    dim = int(number("size")[0])
-    raw = _matrix(rows.column("vector"), dim)
+    raw = _matrix(rows.column("vector"), int(number("size")[0]))
     raw = raw / np.abs(raw).max(axis=1, keepdims=True)
-    bands, codes, a, b = _matrix(rows.column("bands"), BANDS), Codes(_unit(raw)), [], []
-    for i, j in _pairs(number("group"), number("first"), number("second"), number("block")):
-        near = codes.upper(i, j) >= threshold
-        i, j = i[near], j[near]
+    bands, a, b = _matrix(rows.column("bands"), BANDS), [], []
+    for i, j in _open_pairs(rows, threshold):
         near = _cosine(raw[i], raw[j]) >= threshold
         i, j = i[near], j[near]
         # counted in the first band that the two share
@@ -142,13 +173,14 @@ def _links(rows: pa.Table, threshold: float) -> pa.RecordBatch:
     n = (np.bincount(i, copies[j], len(ids)) + np.bincount(j, copies[i], len(ids))).astype(np.int64)
     node, root = contract(ids[i], ids[j]) if len(i) else (ids[:0], ids[:0])
     some = np.flatnonzero(n)
-    return pa.RecordBatch.from_arrays([pa.array(np.r_[ids[some], node]), pa.array(np.r_[n[some], np.zeros(len(node), np.int64)]), pa.array([None] * len(some) + root.tolist(), pa.int64())], ["id", "n", "root"])
+    return [pa.RecordBatch.from_arrays([pa.array(np.r_[ids[some], node]), pa.array(np.r_[n[some], np.zeros(len(node), np.int64)]), pa.array([None] * len(some) + root.tolist(), pa.int64())], ["id", "n", "root"])]
 
 
 _KEY = ("size", "label", "band", "code", "first", "second")
+_MET = [*_KEY, "id", "block"]
 
 
-def _linked(threshold: float):
+def _grouped(work: Callable[[pa.Table, float], list[pa.RecordBatch]], threshold: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows come sorted by _KEY; whole groups of one size are worked on, about STEP rows at a time."""
         held: list[pa.Table] = []
@@ -167,7 +199,7 @@ def _linked(threshold: float):
             held[:] = [table.slice(end).drop_columns(["group"])] if end < len(group) else []
             for at in np.split(np.arange(end), np.flatnonzero(np.diff(size[:end])) + 1):
                 if len(at):
-                    yield _links(table.slice(at[0], len(at)), threshold)
+                    yield from work(table.slice(at[0], len(at)), threshold)
 
         for batch in batches:
             held.append(pa.Table.from_batches([batch]))
@@ -176,7 +208,11 @@ def _linked(threshold: float):
         if held:
             yield from cut(pa.concat_tables(held), True)
 
-    return run
+    return releasing(run)
+
+
+def _dealt(rows: DataFrame) -> DataFrame:
+    return rows.repartition(*_KEY).sortWithinPartitions(*_KEY)
 
 
 def near_duplicates(vectors: DataFrame, threshold: float = 0.98, vec_id: str = "vec_id", vector: str = "embedding", label: str = "label") -> DataFrame:
@@ -194,18 +230,20 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.98, vec_id: str = "
     # -0.0 and 0.0 are the same number
     every = every.select("vec_id", "label", F.when(usable, F.transform(x, lambda v: v + F.lit(0.0))).alias("vector"))
     keyed = every.withColumn("key", F.when(x.isNotNull(), F.sha2(F.to_json(F.struct("label", "vector")), 256)))
-    classes = stored(keyed.filter("key is not null").groupBy("key").agg(F.min("vec_id").alias("id"), F.count("*").alias("copies"), F.first("vector").alias("vector"), F.first("label").alias("label")), "classes")
-    coded = classes.select("id", "vector").mapInArrow(_prepared, "id long, bands array<int>")
-    rows = classes.join(coded, "id").withColumn("size", F.size("vector"))
-    bucket = ["size", "label", "band", "code"]
-    banded = rows.select("id", "size", "label", F.posexplode("bands").alias("band", "code"))
+    one = keyed.filter("key is not null").groupBy("key").agg(F.min("vec_id").alias("id"), F.count("*").alias("copies"), F.first("vector").alias("vector"), F.first("label").alias("label"))
+    made = T.StructType([*one.schema.fields]).add("size", T.IntegerType()).add("bands", T.ArrayType(T.IntegerType())).add("marks", "binary").add("factor", "double").add("low", "double").add("width", "double")
+    classes = stored(one.mapInArrow(releasing(_coded), made), "classes")
+    bucket, marks = ["size", "label", "band", "code"], ["marks", "factor", "low", "width"]
+    banded = classes.select("id", "size", "label", F.posexplode("bands").alias("band", "code"))
     sizes = banded.groupBy(*bucket).agg(F.count("*").alias("members")).filter("members > 1").withColumn("blocks", F.ceil(F.col("members") / F.lit(BLOCK)))
     dealt = banded.join(sizes, bucket).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")))
     # every two blocks of a bucket meet in a group of their own
     meets = F.transform(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda o: F.struct(F.least(o, F.col("block")).alias("first"), F.greatest(o, F.col("block")).alias("second")))
     met = dealt.select("id", "block", *bucket, F.explode(meets).alias("meet")).select("id", "block", *bucket, "meet.first", "meet.second")
-    full = met.join(rows.select("id", "copies", "vector", "bands"), "id").repartition(*_KEY).sortWithinPartitions(*_KEY)
-    found = stored(full.mapInArrow(_linked(threshold), "id long, n long, root long"), "links")
+    # codes meet first; vectors are fetched for what the bounds leave open
+    left = _dealt(met.join(classes.select("id", *marks), "id")).mapInArrow(_grouped(_open_rows, threshold), T.StructType([met.schema[c] for c in _MET]))
+    full = _dealt(left.join(classes.select("id", "copies", "vector", "bands", *marks), "id"))
+    found = stored(full.mapInArrow(_grouped(_links, threshold), "id long, n long, root long"), "links")
     n = found.groupBy("id").agg(F.sum("n").alias("n"))
     parts = connected_components(found.filter("root is not null").select(F.col("id").alias("u"), F.col("root").alias("v")))
     named = classes.select("key", "id", "copies").join(n, "id", "left").join(parts, F.col("id") == F.col("node"), "left")

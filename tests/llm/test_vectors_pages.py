@@ -102,7 +102,7 @@ def test_estimates_are_unbiased_and_bounded():
     r = np.random.default_rng(0)
     x = r.standard_normal((400, 64))
     x /= np.linalg.norm(x, axis=1)[:, None]
-    codes = vectors.Codes(x)
+    codes = vectors.Codes.made(x)
     i, j = r.integers(0, 400, 5000), r.integers(0, 400, 5000)
     true, upper = (x[i] * x[j]).sum(axis=1), codes.upper(i, j)
     assert (upper >= true).mean() > 0.9999
@@ -155,7 +155,7 @@ def page_model(spark):
 
 def test_the_cut_changes_labels():
     prose = "A sentence long enough to be taken for prose by its words alone, with an end to it."
-    found = html.blocks(f"<div><p>{prose * 3}<p>{prose * 2}<p>So it is<p>{prose * 2}<p>{prose * 3}</div><ul><li><a>One</a><li><a>Two</a></ul>")
+    found = html.blocks(f"<div><p>{prose * 3}<p>{prose * 2}<p><a>So it is</a><p>{prose * 2}<p>{prose * 3}</div><ul><li><a>One</a><li><a>Two</a></ul>")
     model = html.DEFAULT
     alone = (model.odds(found) > 0).tolist()
     assert alone == [True, True, False, True, True, False, False]

@@ -206,6 +206,40 @@ def test_licences(spark):
     assert licenses.licences(docs.limit(0), model).count() == 0
 
 
+def test_licences_wrapped_unlisted_and_under_one_id(spark):
+    corpus = spark.read.parquet(f"{SF}/documents.parquet")
+    model = licenses.fit(corpus)
+    wrapped = "Some file.\n\nPermission is hereby granted, free of charge, to any person\nobtaining a copy of this software and associated documentation\nfiles, to deal in the Software without restriction\n\nNothing else."
+    bsd = "Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions\nare met:"
+    rows = [(1, wrapped), (2, bsd), (3, "Released under the Boost Software License."), (4, "Licensed under the Foo Corporate License, Version 9."), (5, "All rights reserved."), (5, "Of nothing."), (None, wrapped), (None, None), (7, "Released under the MIT\nLicense.")]
+    docs = spark.createDataFrame([(*r, "k", "p") for r in rows], "doc_id long, text string, key string, pair string")
+    got = sorted(((r.doc_id, r.family) for r in licenses.licences(docs, model).collect()), key=str)
+    assert got == sorted([(1, "mit"), (2, "bsd"), (3, "unknown"), (4, "unknown"), (5, "proprietary"), (5, "unknown"), (None, "mit"), (None, "unknown"), (7, "mit")], key=str)
+
+
+def test_licences_are_those_of_a_plain_evaluation(spark):
+    """Scores, softmax and overlap of the model by Python loops over every paragraph."""
+    import math
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    model = licenses.fit(docs)
+    weights = {r.pair: r.w for r in model.weights.collect()}
+    templates = licenses._templates(spark).select("family", "licence", licenses.pair_hashes(licenses.words(licenses.F.col("text"))).alias("t")).collect()
+    parts = licenses.paragraphs(docs).select("doc_id", "paragraph", licenses.pair_hashes(licenses.words(licenses.F.col("text"))).alias("p")).collect()
+    want = set()
+    for r in parts:
+        own = set(r.p) & weights.keys()
+        s = [b + sum(weights[x][k] for x in own) for k, b in enumerate(model.intercepts)]
+        top = max(s)
+        p = [math.exp(x - top) / sum(math.exp(y - top) for y in s) for x in s]
+        k = max(range(1, len(p)), key=lambda i: p[i])
+        if own and p[k] > p[0] and p[k] >= model.least:
+            fits = [len(own & set(t.t)) / min(len(r.p), len(set(t.t))) for t in templates if t.family == model.families[k]]
+            if max(fits) >= licenses.OVERLAP:
+                want.add((r.doc_id, r.paragraph, model.families[k]))
+    assert {(r.doc_id, r.paragraph, r.family) for r in licenses.scan(docs, model).collect()} == want and want
+
+
 @pytest.mark.parametrize("name", list(sql.ORACLES))
 def test_queries_match_their_sql(spark, name):
     con = duckdb.connect()

@@ -58,23 +58,24 @@ def shared_out(children: DataFrame, parent: list[str], name: str, budget: str =
     return x.withColumn(out, got.cast("long")).drop("_ratio", "_left", "_weights", "_full")
 
 
-def leaf_quotas(leaves: DataFrame, budget: Column, epochs: int, weights: dict[str, dict[str, int]]) -> DataFrame:
-    """leaves (domain, lang, source, tokens) with quota; budget is an aggregate over the leaves' tokens."""
-    leaves = leaves.withColumn("capacity", F.col("tokens") * epochs)
-    level = leaves.agg(budget.cast("long").alias("budget"))
+def leaf_quotas(leaves: DataFrame, budget_share: float, epochs: int, weights: dict[str, dict[str, int]]) -> DataFrame:
+    """leaves (domain, lang, source, tokens) with quota; the budget is a share of all tokens, rounded down."""
+    leaves, level = leaves.withColumn("capacity", F.col("tokens") * epochs), None
+    whole = F.sum("tokens").over(Window.partitionBy(F.lit(0)))
     for depth in range(len(TREE)):
         keys = list(TREE[: depth + 1])
         nodes = leaves.groupBy(*keys).agg(F.sum("capacity").alias("capacity"), F.sum("tokens").alias("tokens"))
         nodes = nodes.withColumn("weight", _weight(F.col(TREE[depth]), weights.get(TREE[depth], {})).cast("long"))
-        nodes = nodes.withColumn("tree", F.lit(0)).join(level.withColumn("tree", F.lit(0)), ["tree", *keys[:-1]])
+        nodes = nodes.join(level, keys[:-1]) if level is not None else nodes.withColumn("budget", F.floor(whole * F.lit(budget_share)).cast("long"))
         level = shared_out(nodes, keys[:-1], TREE[depth]).select(*keys, "tokens", F.col("got").alias("budget"))
         level = level if depth == len(TREE) - 1 else level.drop("tokens")
     return level.withColumnRenamed("budget", "quota")
 
 
-def order_key(seed: int, epoch: Column, doc_id: Column | str) -> Column:
-    """A 60-bit number that orders a leaf's rows in an epoch."""
-    return F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), epoch.cast("string"), F.col(doc_id).cast("string"))), 1, 15), 16, 10).cast("long")
+def order_key(seed: int, epoch: Column, doc_id: Column | str, text: Column | str) -> Column:
+    """A 60-bit number that orders a leaf's rows in an epoch: of the doc_id, or of the text where that is null."""
+    own = F.coalesce(F.col(doc_id).cast("string"), F.concat(F.lit("text:"), F.sha2(F.coalesce(F.col(text), F.lit("")), 256)))
+    return F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), epoch.cast("string"), own)), 1, 15), 16, 10).cast("long")
 
 
 def mix(docs: DataFrame, budget_share: float, epochs: int = 2, seed: int = 17, weights: dict[str, dict[str, int]] | None = None, domain: Column | None = None) -> DataFrame:
@@ -83,15 +84,25 @@ def mix(docs: DataFrame, budget_share: float, epochs: int = 2, seed: int = 17, w
     Tokens are words. The budget is budget_share of all tokens, rounded down. copies is the number of epochs that take the
     row: a prefix holds the rows, in the epoch's order (ties by doc_id, then tokens), whose running total stays within what
     the quota leaves after whole epochs. Null domain, lang or source: "none", a name like any other; null text: no token.
-    Leaves without tokens give their rows only as parts of whole epochs, of which they have none. No rows: an empty result.
+    Leaves without tokens give their rows only as parts of whole epochs, of which they have none. Very long texts count whole, and may be
+    longer than what is left of a quota: then they aren't taken. Other columns are not read. No rows: an empty result.
     """
+    return _mixed(docs, [], budget_share, epochs, seed, weights, domain).select("doc_id", *TREE, "n_tokens", "copies")
+
+
+def _mixed(docs: DataFrame, carried: list[Column], budget_share: float, epochs: int, seed: int, weights: dict[str, dict[str, int]] | None, domain: Column | None) -> DataFrame:
+    """mix() with more columns carried along."""
     leaf = list(TREE)
     named = {"domain": domain if domain is not None else domain_of("source"), "lang": F.col("lang"), "source": F.col("source")}
-    base = docs.select(F.col("doc_id").cast("long"), *(F.coalesce(c, F.lit(NONE)).alias(n) for n, c in named.items()), F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("n_tokens"))
+    n_tokens = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
+    own = F.when(F.col("doc_id").isNull(), F.col("text"))  # only these rows are ordered by their text
+    base = docs.select(F.col("doc_id").cast("long"), *(F.coalesce(c, F.lit(NONE)).alias(n) for n, c in named.items()), n_tokens.alias("n_tokens"), own.alias("own_text"), *carried)
     base = stored(base, "tokens")
-    quotas = leaf_quotas(base.groupBy(*leaf).agg(F.sum("n_tokens").alias("tokens")), F.floor(F.sum("tokens") * F.lit(budget_share)), epochs, weights or {})
-    quotas = quotas.filter("tokens > 0").select(*leaf, F.expr("quota div tokens").alias("whole"), (F.col("quota") % F.col("tokens")).alias("rest"))
-    rows = base.join(quotas, leaf).withColumn("key", order_key(seed, F.col("whole"), "doc_id")).withColumn("range", F.shiftright("key", _RANGE_BITS))
+    # a handful of rows that the rest asks for several times
+    leaves = stored(base.groupBy(*leaf).agg(F.sum("n_tokens").alias("tokens")).coalesce(1), "leaves")
+    quotas = leaf_quotas(leaves, budget_share, epochs, weights or {})
+    quotas = stored(quotas.filter("tokens > 0").select(*leaf, F.expr("quota div tokens").alias("whole"), (F.col("quota") % F.col("tokens")).alias("rest")).coalesce(1), "quotas")
+    rows = base.join(quotas, leaf).withColumn("key", order_key(seed, F.col("whole"), "doc_id", "own_text")).withColumn("range", F.shiftright("key", _RANGE_BITS))
     ranges = rows.groupBy(*leaf, "range").agg(F.sum("n_tokens").alias("range_tokens"), F.first("rest").alias("rest"))
     running = Window.partitionBy(*leaf).orderBy("range").rowsBetween(Window.unboundedPreceding, 0)
     ranges = ranges.withColumn("ends", F.sum("range_tokens").over(running)).withColumn("starts", F.col("ends") - F.col("range_tokens"))
@@ -101,12 +112,15 @@ def mix(docs: DataFrame, budget_share: float, epochs: int = 2, seed: int = 17, w
     inside = Window.partitionBy(*leaf, "range").orderBy("key", "doc_id", "n_tokens").rowsBetween(Window.unboundedPreceding, 0)
     edge = placed.filter(cut).withColumn("taken", (F.col("starts") + F.sum("n_tokens").over(inside) <= F.col("rest")).cast("long"))
     out = sure.unionByName(edge).withColumn("copies", F.col("whole") + F.col("taken"))
-    return out.filter("copies > 0").select("doc_id", *leaf, "n_tokens", "copies")
+    return out.filter("copies > 0")
 
 
-def repeat(docs: DataFrame, mixed: DataFrame) -> DataFrame:
-    """The rows of docs that the mix takes, each as often as it says."""
-    picked = mixed.groupBy("doc_id").agg(F.max("copies").alias("copies"))
-    again = F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))
-    at = docs.alias("docs").join(picked.select(F.col("doc_id").alias("picked_id"), "copies"), F.col("docs.doc_id").eqNullSafe(F.col("picked_id")))
-    return at.withColumn("copy", again).select("docs.*")
+def mixed_rows(docs: DataFrame, budget_share: float, epochs: int = 2, seed: int = 17, weights: dict[str, dict[str, int]] | None = None, domain: Column | None = None) -> DataFrame:
+    """The rows of docs that mix() takes, each as often as it says, with all their columns whatever these are named.
+
+    A row is taken for itself: rows that share a doc_id, or have none, are told apart.
+    """
+    whole = F.struct(*(F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(docs.columns))).alias("row")
+    out = _mixed(docs, [whole], budget_share, epochs, seed, weights, domain)
+    again = F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))).alias("nth")
+    return out.select("row", again).select(*(F.col(f"row.c{k}").alias(c) for k, c in enumerate(docs.columns)))

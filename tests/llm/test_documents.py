@@ -212,8 +212,8 @@ def _mixed(rows, share, epochs, weights):
     for r in rows:
         number = "".join(c for c in (r[3] or "") if c.isdigit())
         leaf = (f"d{int(number) % 4}" if number else "none", r[2] or "none", r[3] or "none")
-        leaves.setdefault(leaf, []).append((r[0], len((r[1] or "").encode().split())))
-    tokens = {leaf: sum(n for _, n in docs) for leaf, docs in leaves.items()}
+        leaves.setdefault(leaf, []).append((r[0], len((r[1] or "").encode().split()), hashlib.sha256((r[1] or "").encode()).hexdigest()))
+    tokens = {leaf: sum(n for _, n, _ in docs) for leaf, docs in leaves.items()}
     budget = {(): int(sum(tokens.values()) * share)}
     for depth, level in enumerate(mixing.TREE):
         fresh = {}
@@ -239,9 +239,9 @@ def _mixed(rows, share, epochs, weights):
     for leaf, docs in leaves.items():
         if tokens[leaf]:
             whole, rest = divmod(budget[leaf], tokens[leaf])
-            key = lambda d: (int(hashlib.md5(f"17:{whole}:{d[0]}".encode() if d[0] is not None else f"17:{whole}".encode()).hexdigest()[:15], 16), d[0] or 0, d[1])  # noqa: B023, E731
+            key = lambda d: (int(hashlib.md5(f"17:{whole}:{d[0]}".encode() if d[0] is not None else f"17:{whole}:text:{d[2]}".encode()).hexdigest()[:15], 16), d[0] or 0, d[1])  # noqa: B023, E731
             used = 0
-            for doc, n in sorted(docs, key=key):
+            for doc, n, _ in sorted(docs, key=key):
                 used += n
                 if copies := whole + (used <= rest):
                     out.append((doc, *leaf, n, copies))
@@ -255,11 +255,17 @@ def test_mix_fills_the_tree(docs, none, share, epochs, weights):
     assert mixing.mix(none, share, epochs).count() == 0
 
 
-def test_repeat_gives_each_row_its_copies(docs):
-    some = docs.filter("doc_id < 12").dropDuplicates(["doc_id"])
-    mixed = mixing.mix(some, 1.7, 2)
-    want = sorted(r.doc_id for r in mixed.collect() for _ in range(r.copies))
-    assert sorted(r.doc_id for r in mixing.repeat(some, mixed).collect()) == want
+def test_mixed_rows_are_the_rows_taken(spark, docs):
+    want = sorted((r.doc_id for r in mixing.mix(docs, 1.7, 2).collect() for _ in range(r.copies)), key=str)
+    clash = docs.withColumn("copies", docs.doc_id).withColumn("copy", docs.text).withColumn("row", docs.lang).withColumn("Key 2", docs.source)
+    got = mixing.mixed_rows(clash, 1.7, 2)
+    assert got.columns == clash.columns and sorted((r.doc_id for r in got.collect()), key=str) == want
+    assert all((r.copies, r.copy, r.row) == (r.doc_id, r.text, r.lang) for r in got.collect())
+    # rows under one doc_id, or none, are taken one by one
+    rows = [(i, " ".join(["w"] * n), "en", "src0", 0) for i in (None, 3) for n in range(1, 40)]
+    some = mixing.mixed_rows(spark.createDataFrame(rows, DOCS), 0.5, 1).collect()
+    total = sum(len(r[1].split()) for r in rows)
+    assert total * 0.5 - 80 < sum(len(r.text.split()) for r in some) <= total * 0.5 and len({(r.doc_id, r.text) for r in some}) == len(some)
 
 
 def _labelled(spark):
@@ -284,6 +290,13 @@ def test_toxic_texts_are_told_by_learned_and_misspelled_terms(spark, none):
     assert toxicity.fit(none, labels.limit(0)).score(["you idiot moron"])[0] > toxicity.fit(none, labels.limit(0)).score(["w1 w2"])[0]
 
 
+@pytest.mark.parametrize(("word", "term"), [("id1ot", "idiot"), ("m0ron", "moron"), ("stup_id", "stupid"), ("sc*m", "scum"), ("idiot_moron", "idiot"), ("w0rd", None), ("scam", None)])
+def test_masked_terms_match(word, term):
+    model = toxicity.Model({t: 1.0 for t in toxicity.SEED_TERMS}, 0.0, [1.0] * 7, [0.0] * 7, [1.0] * 7)
+    exact, fuzzy, *_ = model.features(f"you {word} there")
+    assert (exact + fuzzy > 0) == (term is not None) and not exact == fuzzy == 1
+
+
 def test_automaton_finds_what_edit_distance_finds():
     def distance(a: str, b: str) -> int:
         row = list(range(len(b) + 1))

@@ -32,7 +32,7 @@ def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that a mix of four fifths of the tokens takes, in one epoch: no document comes twice."""
-    return mixing.repeat(docs, mixing.mix(docs, 0.8, epochs=1, seed=17, weights=MIX_WEIGHTS))
+    return mixing.mixed_rows(docs, 0.8, epochs=1, seed=17, weights=MIX_WEIGHTS)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

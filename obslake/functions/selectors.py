@@ -29,25 +29,35 @@ def is_json(body: Column) -> Column:
     return F.ltrim(body).startswith("{")
 
 
-def json_field(body: Column, path: str) -> Column:
-    """Scalar at a dotted path of a JSON body; objects, arrays and null give null."""
-    value = F.get_json_object(body, "$." + path)
-    return F.when(~value.rlike(r"^\s*[{\[]"), value)
+#: A key and its value in a logfmt line.
+_PAIR = r'(?:^|\s)([^\s="]+)=("(?:[^"\\]|\\.)*"|[^\s"]*)'
 
 
-def logfmt_pattern(key: str) -> str:
-    return rf'(?:^|\s){re.escape(key)}=("(?:[^"\\]|\\.)*"|[^\s"]*)'
+def parsed_line(body: Column) -> Column:
+    """A line understood once, for any number of field_of(): the members of a JSON body, else keys and values of a logfmt line, last first.
 
+    What begins as JSON but isn't has no fields. Of a repeated key in JSON the first counts.
+    """
+    plain = F.when(~is_json(body), body)
+    unquoted = lambda v: F.when(v.startswith('"'), F.regexp_replace(v.substr(F.lit(2), F.length(v) - 2), r"\\(.)", "$1")).otherwise(v)
+    part = lambda k: F.reverse(F.regexp_extract_all(plain, F.lit(_PAIR), F.lit(k)))
+    return F.struct(F.from_json(F.when(is_json(body), body), "map<string,string>").alias("json"), part(1).alias("keys"), F.transform(part(2), unquoted).alias("values"))
 
-def logfmt_field(body: Column, key: str) -> Column:
-    """Last value of a key in a logfmt line, quotes and escapes taken off; a bare key has none."""
-    raw = F.try_element_at(F.regexp_extract_all(body, F.lit(logfmt_pattern(key)), F.lit(1)), F.lit(-1))
-    return F.when(raw.startswith('"'), F.regexp_replace(F.regexp_replace(raw, r'^"|"$', ""), r"\\(.)", "$1")).otherwise(raw)
+
+def _scalar(value: Column) -> Column:
+    return F.when(~F.substring(value, 1, 1).isin("{", "["), value)
+
+
+def field_of(fields: Column, key: str, dotted: bool = True) -> Column:
+    """A field of a parsed_line(): JSON scalar at a dotted path (objects, arrays and null give null), or the last logfmt value; a bare key has none."""
+    first, dot, rest = key.partition(".")
+    member = F.get_json_object(fields["json"][first], "$." + rest) if dot and dotted else fields["json"][key]
+    return F.coalesce(_scalar(member), F.try_element_at(fields["values"], F.nullif(F.array_position(fields["keys"], key), F.lit(0)).cast("int")))
 
 
 def line_field(body: Column, key: str) -> Column:
-    """A field of the line: JSON by path, else logfmt."""
-    return F.when(is_json(body), json_field(body, key)).otherwise(logfmt_field(body, key))
+    """A field of one line: JSON by path, else logfmt."""
+    return field_of(parsed_line(body), key)
 
 
 @dataclass(frozen=True)
@@ -60,10 +70,12 @@ class Record:
     severity_text: Column
     severity_number: Column
     lifted: Column | None = None
+    #: parsed_line() of the body, where a column holds it already
+    fields: Column | None = None
 
     @staticmethod
-    def default() -> Record:
-        return Record(F.col("body"), F.col("attrs"), F.col("resource"), F.col("severity_text"), F.col("severity_number"))
+    def default(fields: str | None = None) -> Record:
+        return Record(F.col("body"), F.col("attrs"), F.col("resource"), F.col("severity_text"), F.col("severity_number"), fields=F.col(fields) if fields else None)
 
 
 def resolve(record: Record, key: str) -> Column:
@@ -73,7 +85,7 @@ def resolve(record: Record, key: str) -> Column:
     if key == SEVERITY:
         return record_severity(record.severity_text, record.severity_number)
     attribute = F.coalesce(record.attrs[key], *([record.lifted[key]] if record.lifted is not None else []), record.resource[key])
-    return F.coalesce(F.nullif(attribute, F.lit("")), line_field(record.body, key), F.lit(""))
+    return F.coalesce(F.nullif(attribute, F.lit("")), field_of(parsed_line(record.body) if record.fields is None else record.fields, key), F.lit(""))
 
 
 def resolve_number(record: Record, key: str) -> Column:

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from ..functions import maps
 from ..functions.scalars import bucket_index, cut_utf8
 from ..functions.selectors import SEVERITY, Record, match, resolve, resolve_number
+from .logs import FIELDS, with_fields
 
 #: Default histogram bounds.
 BOUNDS = (0.005, 0.01, 0.025, 0.05, 0.075, 0.1, 0.25, 0.5, 0.75, 1.0, 2.5, 5.0, 7.5, 10.0)
@@ -91,7 +92,9 @@ def validate(metrics: list[Metric]) -> None:
 def observations(logs: DataFrame, metrics: list[Metric], ts_us: str = "ts_us", keep: tuple[str, ...] = (), record: Record | None = None) -> DataFrame:
     """(metric, labels, resource_labels, ts_us, value) of every record and metric that match; labels are canonical keys. NaN and infinity don't count."""
     validate(metrics)
-    record = record or Record.default()
+    if record is None:
+        logs = with_fields(logs)
+        record = Record.default(FIELDS)
     rows = []
     for m in metrics:
         hit = match(record, list(m.exact), list(m.regex)) if m.exact or m.regex else F.lit(True)

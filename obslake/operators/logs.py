@@ -14,38 +14,46 @@ from pyspark.sql import functions as F
 
 from ..functions import maps
 from ..functions.scalars import glob_match, hex_id
-from ..functions.selectors import BANDS, Record, is_json, line_field, logfmt_field, match
+from ..functions.selectors import BANDS, Record, field_of, match, parsed_line
 
 REDACTED = "[REDACTED]"
-_SECRET = r"(?:password|passwd|pwd|secret|token|api[_-]?key|apikey|access[_-]?key|client[_-]?secret|private[_-]?key|auth[_-]?token)"
-
-
-def _fold(word: str) -> str:
-    """A pattern for an ASCII word in either case."""
-    return "".join(f"[{c.upper()}{c.lower()}]" if c.isalpha() else re.escape(c) for c in word)
+#: Parts of the names that secrets go by.
+_SECRET_NAMES = r"password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key|client[_-]?secret|private[_-]?key|auth[_-]?token"
 
 
 @dataclass(frozen=True)
 class Redaction:
-    """A pattern, its replacement, and a cheap test that holds wherever the pattern can match."""
+    """A pattern, its replacement, and lower-case words of which a line must hold one for the pattern to match (none: any line may match)."""
 
     name: str
     pattern: str
     replacement: str = REDACTED
-    likely: str = ""
+    words: tuple[str, ...] = ()
+
+
+def _credentials(scheme: str, token: str) -> str:
+    """Scheme and blanks in group 1, then what RFC 9110 calls token68, in the form that the scheme has."""
+    return rf"(?i)\b({scheme}[ \t]+){token}"
+
 
+def _card(*groups: str) -> str:
+    return r"\b" + "[ -]?".join(groups) + r"\b"
 
+
+#: By name (fixed values: configurations use them). The forms: RFC 6750 tokens, RFC 7617 base64 in fours, name and value pairs with JSON or
+#: shell quoting, access key ids (four letters, sixteen more), RFC 7468 envelopes, the password in RFC 3986 user information, RFC 5321 mailboxes
+#: with a dotted domain, ISO 7812 numbers as 13 to 19 digits in fours or as 4-6-5.
 BUILT_IN = {
     r.name: r
     for r in (
-        Redaction("bearer", rf"\b({_fold('bearer')}\s+)[A-Za-z0-9._~+/-]+=*", f"$1{REDACTED}", "bearer"),
-        Redaction("basic-auth", rf"\b({_fold('basic')}\s+)[A-Za-z0-9+/]{{8,}}=*", f"$1{REDACTED}", "basic"),
-        Redaction("secret-kv", "((?i:" + _SECRET + r")[\"']?\s*[:=]\s*)(?:\[REDACTED\]|(\")(?:[^\"\\]|\\.)+|(')(?:[^'\\]|\\.)+|[^\s\"'&,;})\]]+)", f"$1$2$3{REDACTED}", "[:=]"),
-        Redaction("aws-key", r"\b(?:AKIA|ASIA)[0-9A-Z]{16}\b", REDACTED, "akia|asia"),
-        Redaction("private-key", r"-----BEGIN [A-Z ]*PRIVATE KEY-----[\s\S]*?(?:-----END [A-Z ]*PRIVATE KEY-----|$)", REDACTED, "private key"),
-        Redaction("url-userinfo", r"([a-zA-Z][a-zA-Z0-9+.-]*://[^\s:/@]*:)[^\s\"'&,;}\])/]+(@)", f"$1{REDACTED}$2", "://"),
-        Redaction("email", r"\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}\b", REDACTED, "@"),
-        Redaction("credit-card", r"\b(?:\d[ -]?){12}\d{1,4}\b", REDACTED, "[0-9]"),
+        Redaction("bearer", _credentials("bearer", r"[\w+./~-]+={0,2}"), f"$1{REDACTED}", ("bearer",)),
+        Redaction("basic-auth", _credentials("basic", r"(?:[a-z\d+/]{4}){2,}(?:[a-z\d+/]{2}==|[a-z\d+/]{3}=|\b)"), f"$1{REDACTED}", ("basic",)),
+        Redaction("secret-kv", rf"(?i)((?:{_SECRET_NAMES})[\"']?\s*[:=]\s*)(?:\[REDACTED\]|(\")(?:\\.|[^\"\\])+|(')(?:\\.|[^'\\])+|[^\s\"'&,;}})\]]+)", f"$1$2$3{REDACTED}", ("pass", "pwd", "secret", "token", "key")),
+        Redaction("aws-key", r"\bA[KS]IA[A-Z\d]{16}\b", REDACTED, ("akia", "asia")),
+        Redaction("private-key", r"(?s)-{5}BEGIN (?:[A-Z\d]+ )*PRIVATE KEY-{5}.*?(?:-{5}END (?:[A-Z\d]+ )*PRIVATE KEY-{5}|\z)", REDACTED, ("private key",)),
+        Redaction("url-userinfo", r"([A-Za-z][\w+.-]*://[^\s/?#:@\"'<>]*:)[^\s/?#\"'<>,;]+@", f"$1{REDACTED}@", ("://",)),
+        Redaction("email", r"\b[\w.%+'-]+@(?:[A-Za-z\d-]+\.)+[A-Za-z]{2,}\b", REDACTED, ("@",)),
+        Redaction("credit-card", rf"{_card(r'3[47][0-9]{2}', '[0-9]{6}', '[0-9]{5}')}|{_card('[0-9]{4}', '[0-9]{4}', '[0-9]{4}', '[0-9]{1,4}(?:[ -]?[0-9]{1,3})?')}"),
     )
 }
 DEFAULTS = ("bearer", "basic-auth", "secret-kv", "aws-key", "private-key", "url-userinfo")
@@ -65,13 +73,16 @@ def redactions(names: list[str], own: list[Redaction] = ()) -> list[Redaction]:
 
 
 def scrub(text: Column, steps: list[Redaction]) -> Column:
-    """text after all redactions in order; they run only where one of their cheap tests holds."""
+    """text after all redactions in order; they run only on lines that hold a word which one of them needs."""
     done = text
     for s in steps:
         done = F.regexp_replace(done, s.pattern, s.replacement)
-    if not steps or not all(s.likely for s in steps):
+    if not steps or not all(s.words for s in steps):
         return done
-    return F.when(F.lower(text).rlike("|".join(s.likely for s in steps)), done).otherwise(text)
+    low, some = F.lower(text), F.lit(False)
+    for w in dict.fromkeys(w for s in steps for w in s.words):
+        some = some | low.contains(w)
+    return F.when(some, done).otherwise(text)
 
 
 def scrub_counts(logs: DataFrame, steps: list[Redaction]) -> DataFrame:
@@ -103,18 +114,42 @@ class Lift:
     target: str = "log"
 
 
-def lifted(body: Column, rules: list[Lift], target: str) -> Column:
+def lifted(body: Column, rules: list[Lift], target: str, fields: Column | None = None) -> Column:
     """Map of the attributes that the rules for a target find; nothing and null are left out."""
     own = [r for r in rules if r.target == target]
     if not own:
         return maps.empty()
-    return F.map_filter(F.create_map(*(x for r in own for x in (F.lit(r.attribute), line_field(F.col("body") if body is None else body, r.field)))), lambda k, v: v.isNotNull())
+    fields = parsed_line(body) if fields is None else fields
+    return F.map_filter(F.create_map(*(x for r in own for x in (F.lit(r.attribute), field_of(fields, r.field)))), lambda k, v: v.isNotNull())
 
 
 def lift_attributes(logs: DataFrame, rules: list[Lift]) -> DataFrame:
     """logs with the lifted fields in attrs, scope_attrs (if asked for) and resource; the line's values win."""
-    out = logs.withColumn("attrs", maps.merged(F.col("attrs"), lifted(F.col("body"), rules, "log"))).withColumn("resource", maps.merged(F.col("resource"), lifted(F.col("body"), rules, "resource")))
-    return out.withColumn("scope_attrs", lifted(F.col("body"), rules, "scope")) if any(r.target == "scope" for r in rules) else out
+    staged = with_fields(logs)
+    fields = F.col(FIELDS)
+    targets, out = {r.target for r in rules}, {}
+    for name, target in (("attrs", "log"), ("resource", "resource")):
+        if target in targets:
+            out[name] = maps.merged(F.col(name), lifted(F.col("body"), rules, target, fields))
+    if "scope" in targets:
+        out["scope_attrs"] = lifted(F.col("body"), rules, "scope", fields)
+    out = staged.withColumns(out)
+    return out if FIELDS in logs.columns else out.drop(FIELDS)
+
+
+#: Column that holds parsed_line() of the body inside the chain.
+FIELDS = "_fields"
+
+
+def with_fields(logs: DataFrame) -> DataFrame:
+    """logs with the body parsed once, unless it is already."""
+    return logs if FIELDS in logs.columns else settled(logs.withColumn(FIELDS, parsed_line(F.col("body"))))
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """df behind a generator of one row: the optimizer moves neither projections nor predicates across, so what a column
+    cost is paid once, however often later steps use it."""
+    return df.select(F.inline(F.array(F.struct(*(F.col(f"`{c}`") for c in df.columns)))))
 
 
 #: Spellings of the fields that enrichment looks for.
@@ -133,17 +168,26 @@ SPELLINGS = {
 SEVERITIES = {"trace": ("trace", "verbose", "v"), "debug": ("debug", "dbg", "d"), "info": ("info", "information", "i", "notice"), "warn": ("warn", "warning", "w", "wrn"), "error": ("error", "err", "e"), "fatal": ("fatal", "critical", "crit", "panic", "f")}
 
 
-def enriched_format(body: Column) -> Column:
+def enriched_format(body: Column, fields: Column | None = None) -> Column:
     """How a line is understood: json, logfmt, pattern or none."""
-    return F.when(is_json(body) & F.get_json_object(body, "$").isNotNull(), "json").when(body.rlike(r"(?:^|\s)(?:level|severity|lvl|msg|ts|time)="), "logfmt").when(body.rlike(_PATTERN), "pattern").otherwise("none")
+    fields = parsed_line(body) if fields is None else fields
+    known = F.arrays_overlap(fields["keys"], F.array(*map(F.lit, ("level", "severity", "lvl", "msg", "ts", "time"))))
+    return F.when(fields["json"].isNotNull(), "json").when(known, "logfmt").when(body.rlike(_PATTERN), "pattern").otherwise("none")
 
 
 _PATTERN = r"^(?:([IWEF])\d{4} \d\d:\d\d:\d\d\.\d+|\[?(?i:(trace|debug|info|warn(?:ing)?|error|fatal))\]?[:\s])"
 
 
-def _named(body: Column, name: str) -> Column:
+def _named(fields: Column, name: str) -> Column:
     """The first spelling that the line has."""
-    return F.coalesce(*(F.nullif(F.when(is_json(body), F.get_json_object(body, f"$['{s}']")).otherwise(logfmt_field(body, s)), F.lit("")) for s in SPELLINGS[name]))
+    return F.coalesce(*(F.nullif(field_of(fields, s, dotted=False), F.lit("")) for s in SPELLINGS[name]))
+
+
+def line_time(text: Column) -> Column:
+    """Struct ts_us, zoned of an ISO 8601 time; one without zone is read as UTC."""
+    zoned = text.rlike(r"(?:Z|[+-]\d\d:?\d\d)$")
+    ts = F.unix_micros(F.when(zoned, text).otherwise(F.concat(text, F.lit("Z"))).try_cast("timestamp"))
+    return F.struct(F.when(text.rlike(r"^\d{4}-\d\d-\d\d[T ]"), ts).alias("ts_us"), zoned.alias("zoned"))
 
 
 def _band(word: Column) -> Column:
@@ -159,31 +203,39 @@ def may_replace_timestamp(parsed: Column, has_zone: Column, ts: Column) -> Colum
 
 
 def enrich_lines(logs: DataFrame, overwrite: bool = False) -> DataFrame:
-    """logs with severity, trace and span id and the known attributes that the line tells; without overwrite only what is unset.
+    """logs with severity, time, trace and span id and the known attributes that the line tells; without overwrite only what is unset.
 
-    A template gets log.template_hash besides. Adds column format.
+    A template gets log.template_hash besides. Adds column format, and time_rejected where there is a ts_us: the line's time was
+    not taken because it doesn't say its zone.
     """
-    body = F.col("body")
+    body, fields = F.col("body"), F.col(FIELDS)
     short = F.regexp_extract(body, _PATTERN, 1)
-    word = F.coalesce(_named(body, "severity"), F.nullif(F.coalesce(F.nullif(short, F.lit("")), F.regexp_extract(body, _PATTERN, 2)), F.lit("")))
+    word = F.coalesce(_named(fields, "severity"), F.nullif(F.coalesce(F.nullif(short, F.lit("")), F.regexp_extract(body, _PATTERN, 2)), F.lit("")))
     pick = lambda new, old: F.coalesce(new, old) if overwrite else F.coalesce(F.nullif(old, F.lit("")), new, old)
     # in steps, so that no expression stands in several others
     names = [n for n in SPELLINGS if "." in n]
-    staged = logs.withColumns({"_word": word} | {f"_{k}": _named(body, n) for k, n in enumerate(names)}).withColumn("_band", _band(F.col("_word")))
+    staged = with_fields(logs).withColumns({"_word": word, "_said": _named(fields, "time")} | {f"_{k}": _named(fields, n) for k, n in enumerate(names)})
+    staged = settled(settled(staged).withColumns({"_band": _band(F.col("_word")), "_time": line_time(F.col("_said"))}))
     number = F.coalesce(*(F.when(F.col("_band") == b, 4 * k + 1) for k, b in enumerate(BANDS)))
     hashed = F.substring(F.md5(F.col(f"_{names.index('log.template')}")), 1, 16)
     found = maps.non_empty(F.create_map(F.lit("log.template_hash"), hashed, *(x for k, n in enumerate(names) for x in (F.lit(n), F.col(f"_{k}")))))
     unset = F.coalesce("severity_text", F.lit("")) == ""
     out = {
-        "format": enriched_format(body),
+        "format": enriched_format(body, fields),
         "severity_number": F.when(number.isNotNull() & (F.lit(overwrite) | unset), number).otherwise(F.col("severity_number")),
         "severity_text": pick(F.col("_band"), F.col("severity_text")),
         "attrs": maps.merged(F.col("attrs"), found) if overwrite else maps.merged(found, F.col("attrs")),
     }
+    if "ts_us" in logs.columns:
+        ts, said = F.col("ts_us"), F.col("_time")["ts_us"]
+        open_ = F.lit(True) if overwrite else ts.isNull()
+        out["time_rejected"] = F.coalesce(open_ & said.isNotNull() & ~F.col("_time")["zoned"] & ts.isNotNull(), F.lit(False))
+        out["ts_us"] = F.when(open_, may_replace_timestamp(said, F.col("_time")["zoned"], ts)).otherwise(ts)
     for name, length in (("trace_id", 32), ("span_id", 16)):
-        new = hex_id(_named(body, name), length)
+        new = hex_id(_named(fields, name), length)
         out[name] = pick(new, F.col(name)) if name in logs.columns else new
-    return staged.withColumns(out).drop("_word", "_band", *(f"_{k}" for k in range(len(names))))
+    done = settled(staged.withColumns(out).drop("_word", "_said", "_band", "_time", *(f"_{k}" for k in range(len(names)))))
+    return done if FIELDS in logs.columns else done.drop(FIELDS)
 
 
 @dataclass(frozen=True)
@@ -211,24 +263,27 @@ def rule_index(rules: list[Rule], record: Record | None = None) -> Column:
 def line_rules(logs: DataFrame, rules: list[Rule], order: list[str], source: list[str] = ()) -> DataFrame:
     """The records that the first matching rule keeps; what no rule matches stays.
 
-    A sampling rule keeps the first of each N that it matches, in the given order for each source; use stable_line_rules()
-    on streams.
+    A sampling rule keeps the first of each N that it matches, in the given order for each source. Only the records that
+    such a rule matches are ordered; without one there is no shuffle. Use stable_line_rules() on streams.
     """
-    w = Window.partitionBy("_rule", *source).orderBy(*order)
-    hit = logs.withColumn("_rule", rule_index(rules))
-    if any(r.share < 1 for r in rules):
-        hit = hit.withColumn("_nth", F.row_number().over(w) - 1)
-    keep = F.lit(True)
-    for k, r in enumerate(rules):
-        own = F.lit(False) if r.action == "drop" else F.col("_nth") % round(1 / r.share) == 0 if r.share < 1 else F.lit(True)
-        keep = F.when(F.col("_rule") == k, own).otherwise(keep)
-    return hit.filter(keep).drop("_rule", "_nth")
+    fields = FIELDS if FIELDS in logs.columns else None
+    hit = logs.withColumn("_rule", rule_index(rules, Record.default(fields)))
+    steps = {k: round(1 / r.share) for k, r in enumerate(rules) if r.action == "keep" and r.share < 1}
+    dropped = [k for k, r in enumerate(rules) if r.action == "drop"]
+    keep = F.coalesce(~F.col("_rule").isin(dropped + list(steps)), F.lit(True)) if dropped or steps else F.lit(True)
+    out = hit.filter(keep).drop("_rule")
+    if steps:
+        w = Window.partitionBy("_rule", *source).orderBy(*order)
+        every = F.coalesce(*(F.when(F.col("_rule") == k, n) for k, n in steps.items()))
+        some = hit.filter(F.col("_rule").isin(list(steps))).withColumn("_nth", F.row_number().over(w) - 1)
+        out = out.unionByName(some.filter(F.col("_nth") % every == 0).drop("_rule", "_nth"))
+    return out
 
 
 def stable_line_rules(logs: DataFrame, rules: list[Rule], identity: list[str]) -> DataFrame:
     """line_rules() without order: one in N by a hash of the record's identity. Works on streams."""
     keep = F.lit(True)
-    index = rule_index(rules)
+    index = rule_index(rules, Record.default(FIELDS if FIELDS in logs.columns else None))
     for k, r in enumerate(rules):
         own = F.lit(False) if r.action == "drop" else F.pmod(F.xxhash64(*identity), F.lit(round(1 / r.share))) == 0
         keep = F.when(index == k, own).otherwise(keep)
@@ -344,17 +399,21 @@ class ChainConfig:
 
 def before_rules(logs: DataFrame, config: ChainConfig) -> DataFrame:
     """Scrubbed, lifted, enriched: what log metrics see."""
-    out = logs.withColumn("body", scrub(F.col("body"), config.scrub))
+    return _before_rules(logs, config).drop(FIELDS)
+
+
+def _before_rules(logs: DataFrame, config: ChainConfig) -> DataFrame:
+    out = with_fields(logs.withColumn("body", scrub(F.col("body"), config.scrub)))
     out = lift_attributes(out, config.lifts) if config.lifts else out
     return enrich_lines(out, config.overwrite) if config.enrich else out
 
 
-def run_log_chain(logs: DataFrame, config: ChainConfig, order: list[str], pods: DataFrame | None = None) -> DataFrame:
-    """scrub, lift, enrich, (log metrics read the result,) workload rules, global rules, route."""
-    out = before_rules(logs, config)
+def run_log_chain(logs: DataFrame, config: ChainConfig, order: list[str], pods: DataFrame | None = None, source: list[str] = ()) -> DataFrame:
+    """scrub, lift, enrich, (log metrics read the result,) workload rules, global rules, route. Sampling rules count in `order` for each source."""
+    out = _before_rules(logs, config)
     out = workload_rules(out, pods) if pods is not None else out
-    out = line_rules(out, config.rules, order) if config.rules else out
-    return route(out, config.routes) if config.routes else out
+    out = line_rules(out, config.rules, order, source) if config.rules else out
+    return (route(out, config.routes) if config.routes else out).drop(FIELDS)
 
 
 def check_config(spark, config: ChainConfig, cases: list[dict]) -> list[str]:

@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 HASH_BITS = 60
@@ -38,12 +38,17 @@ def head_sample(spans: DataFrame, share: float, keep_errors: bool = True, keep_s
 
 
 def rate_budget(rows: DataFrame, rate: float, second: Column, order: list[str], size: Column | None = None, keys: tuple[str, ...] = ()) -> DataFrame:
-    """rows with `admitted`: within each second (and key) as long as the running size stays within the rate.
+    """rows with `admitted`: within each second (and key), in order, for as long as the rate isn't used up.
 
-    A row is charged whether or not it is admitted, so what comes after an oversized one waits for the next second.
+    The row that uses it up may go beyond: a debt that ends with the second, so a row larger than the rate isn't shut out
+    for ever. Refused rows are charged nothing.
     """
-    w = Window.partitionBy(*keys, second).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return rows.withColumn("admitted", F.sum(size if size is not None else F.lit(1)).over(w) <= rate)
+    return rows.withColumn("admitted", _spent(Window.partitionBy(*keys, second).orderBy(*order), size if size is not None else F.lit(1)) < rate)
+
+
+def _spent(w: WindowSpec, size: Column) -> Column:
+    """What the rows before this one sum up to."""
+    return F.coalesce(F.sum(size).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
 
 
 @dataclass(frozen=True)
@@ -147,20 +152,28 @@ def kept_spans(spans: DataFrame, decisions: DataFrame) -> DataFrame:
     return spans.join(decisions.filter("verdict = 'sample'").select("trace_id"), "trace_id", "left_semi")
 
 
-def composite(decisions: DataFrame, shares: dict[str, float], total_rate: float) -> DataFrame:
-    """decisions with a rate for each policy: its share (percent) of the total, what no policy claims being split evenly among all.
+def composite(traces: DataFrame, policies: list[Policy], shares: dict[str, float], total_rate: float) -> DataFrame:
+    """(trace_id, n_spans, first_ms, policy, verdict) of summaries() under policies with a rate each.
 
-    Traces are charged with all their spans, second by second of their first arrival; those beyond the budget are dropped.
+    A policy's rate is its share (percent) of the total; what the shares leave is split evenly among the policies without one. The
+    policies are asked in order: the first that samples the trace and has budget left in the second of its first arrival decides, charged with
+    all its spans (rate_budget()'s rule). One without budget leaves the trace to the next; a veto decides at once; nobody: 'drop'.
     """
-    if sum(shares.values()) > 100:
-        raise ValueError("shares exceed 100 percent")
-    spare = (100 - sum(shares.values())) / len(shares)
-    rate = F.lit(0.0)
-    for name, share in shares.items():
-        rate = F.when(F.col("policy") == name, total_rate * (share + spare) / 100).otherwise(rate)
-    w = Window.partitionBy("policy", F.floor(F.col("first_ms") / 1000)).orderBy("first_ms", "trace_id").rowsBetween(Window.unboundedPreceding, 0)
-    charged = decisions.withColumn("_spent", F.when(F.col("verdict") == "sample", F.sum("n_spans").over(w)))
-    return charged.withColumn("verdict", F.when((F.col("verdict") == "sample") & (F.col("_spent") > rate), "drop").otherwise(F.col("verdict"))).drop("_spent")
+    names = [p.name for p in policies]
+    rest = [n for n in names if n not in shares]
+    left = 100 - sum(shares.values())
+    if left < 0 or set(shares) - set(names) or rest and left == 0:
+        raise ValueError("shares exceed 100 percent, leave nothing for a policy without one, or name none")
+    second = Window.partitionBy(F.floor(F.col("first_ms") / 1000)).orderBy("first_ms", "trace_id")
+    out = traces.withColumns({f"_v{k}": p.verdict(f"p{k}_") for k, p in enumerate(policies)})
+    out = out.select("trace_id", "n_spans", "first_ms", *(f"_v{k}" for k in range(len(names)))).withColumn("_by", F.lit(None).cast("int"))
+    for k, name in enumerate(names):
+        verdict, rate = F.col(f"_v{k}"), total_rate * shares.get(name, left / max(1, len(rest))) / 100
+        out = out.withColumn("_wants", F.col("_by").isNull() & F.coalesce(verdict == "sample", F.lit(False)))
+        fits = F.col("_wants") & (_spent(second, F.when(F.col("_wants"), F.col("n_spans"))) < rate)
+        out = out.withColumn("_by", F.coalesce("_by", F.when(fits | (verdict == "veto"), k)))
+    by = F.col("_by")
+    return out.select("trace_id", "n_spans", "first_ms", F.coalesce(F.get(F.array(*map(F.lit, names)), by), F.lit("")).alias("policy"), F.coalesce(F.get(F.array(*(f"_v{k}" for k in range(len(names)))), by), F.lit("drop")).alias("verdict"))
 
 
 def late_spans(spans: DataFrame, decisions: DataFrame, wait_ms: int, ttl_ms: int) -> DataFrame:

@@ -44,10 +44,10 @@ SQL["log_scrub"] = f"SELECT log_id, {_scrubbed(_STEPS)} AS body FROM v_logs"
 
 def log_scrub_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.coalesce("text", F.lit("")).alias("body"))
-    return docs.select("doc_id", F.md5(logs.scrub(F.col("body"), _STEPS[2:5])).alias("scrubbed_md5"))
+    return docs.select("doc_id", F.md5(logs.scrub(F.col("body"), _STEPS)).alias("scrubbed_md5"))
 
 
-SQL["log_scrub_documents"] = f"SELECT doc_id, md5({_scrubbed(_STEPS[2:5], "coalesce(text, '')")}) AS scrubbed_md5 FROM documents"
+SQL["log_scrub_documents"] = f"SELECT doc_id, md5({_scrubbed(_STEPS, "coalesce(text, '')")}) AS scrubbed_md5 FROM documents"
 
 
 def log_scrub_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -263,7 +263,7 @@ _CHAIN = logs.ChainConfig(lifts=[Lift("took_ms", "took")], rules=_RULES, routes=
 
 
 def log_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = logs.run_log_chain(log_table(spark, sf_dir), _CHAIN, ["ts_us", "log_id"])
+    out = logs.run_log_chain(log_table(spark, sf_dir), _CHAIN, ["ts_us", "log_id"], source=["pod"])
     return out.select("log_id", "body", F.coalesce("severity_text", F.lit("")).alias("severity_text"), F.coalesce(F.col("attrs")["took"], F.lit("")).alias("took"), "route")
 
 
@@ -273,7 +273,7 @@ _CHAIN_RULE = _RULE.replace(_SEVERITY, f"coalesce({_BETTER}, {_SEVERITY})")
 SQL["log_chain"] = f"""
 WITH {_DONE},
 hit AS (SELECT *, {_CHAIN_RULE} AS rule FROM done),
-nth AS (SELECT *, row_number() OVER (PARTITION BY rule ORDER BY ts_us, log_id) - 1 AS n FROM hit)
+nth AS (SELECT *, row_number() OVER (PARTITION BY rule, pod ORDER BY ts_us, log_id) - 1 AS n FROM hit)
 SELECT log_id, body, coalesce({_BETTER}, '') AS severity_text, coalesce({_TOOK}, '') AS took, CASE WHEN namespace = 'team-0' THEN 'first' ELSE 'rest' END AS route
 FROM nth WHERE rule IN (-1, 1) OR (rule = 3 AND n % 4 = 0)
 """

@@ -122,8 +122,9 @@ def size_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 SQL["size_chunks"] = """
-WITH x AS (SELECT pod, strlen(body) AS b, coalesce(sum(strlen(body)) OVER (PARTITION BY pod ORDER BY ts_us, log_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) // 2000 AS chunk FROM v_logs)
-SELECT pod, chunk::BIGINT AS chunk, count(*) AS n, sum(b)::BIGINT AS bytes FROM x GROUP BY ALL
+WITH x AS (SELECT pod, strlen(body) AS b, sum(strlen(body)) OVER (PARTITION BY pod ORDER BY ts_us, log_id ROWS UNBOUNDED PRECEDING) AS upto FROM v_logs),
+cut AS (SELECT pod, b, (upto - b) // 2000 AS first, upto > ((upto - b) // 2000 + 1) * 2000 AS crosses FROM x)
+SELECT pod, (2 * first + crosses::INTEGER)::BIGINT AS chunk, count(*) AS n, sum(b)::BIGINT AS bytes FROM cut GROUP BY ALL
 """
 
 

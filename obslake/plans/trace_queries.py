@@ -243,16 +243,27 @@ FROM v_spans JOIN decided USING (trace_id) WHERE arrival_ms >= first_ms + 12000
 
 
 def tail_composite(spark: SparkSession, sf_dir: str) -> DataFrame:
-    decided = sampling.decide(span_table(spark, sf_dir), _policies(), wait_ms=12_000)
-    daily = decided.withColumn("first_ms", F.expr("first_ms div 86400"))  # a day counts as a second here
-    return sampling.policy_counts(sampling.composite(daily, {"slow-db": 30, "errors": 40, "marked-slow": 10}, 60))
+    policies = [p for p in _policies() if p.name in ("no-peer-2", "slow-db", "errors", "marked-slow")]
+    traces = sampling.summaries(span_table(spark, sf_dir), policies, wait_ms=12_000)
+    daily = traces.withColumn("first_ms", F.expr("first_ms div 86400"))  # a day counts as a second here
+    return sampling.composite(daily, policies, {"slow-db": 30, "errors": 40}, 60).select("trace_id", "policy", "verdict", "n_spans")
+
+
+def _asked(k: int, condition: str, rate: int) -> str:
+    """Traces that an earlier policy didn't take, asked whether the next one does."""
+    open_ = f"NOT p2 AND taken IS NULL AND coalesce({condition}, false)"
+    before = f"coalesce(sum(CASE WHEN {open_} THEN n_spans END) OVER (PARTITION BY day ORDER BY first_ms // 86400, trace_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)"
+    return f"a{k} AS (SELECT * EXCLUDE (taken), CASE WHEN taken IS NOT NULL THEN taken WHEN {open_} AND {before} < {rate} THEN {k} END AS taken FROM a{k - 1})"
 
 
 SQL["tail_composite"] = f"""
 WITH {_DECIDED},
-spent AS (SELECT *, sum(n_spans) OVER (PARTITION BY policy, (first_ms // 86400) // 1000 ORDER BY first_ms // 86400, trace_id ROWS UNBOUNDED PRECEDING) AS spent FROM decided),
-final AS (SELECT *, CASE WHEN verdict = 'sample' AND spent > CASE policy WHEN 'slow-db' THEN 22 WHEN 'errors' THEN 28 WHEN 'marked-slow' THEN 10 ELSE 0 END THEN 'drop' ELSE verdict END AS v FROM spent)
-SELECT policy, v AS verdict, count(*) AS traces, sum(n_spans)::BIGINT AS spans FROM final GROUP BY ALL
+a0 AS (SELECT *, (first_ms // 86400) // 1000 AS day, NULL::INTEGER AS taken FROM trace),
+{_asked(1, 'took >= 3000000000 AND db', 18)},
+{_asked(2, 'err', 24)},
+{_asked(3, 'slow', 9)}
+SELECT trace_id, CASE WHEN p2 THEN 'no-peer-2' WHEN taken IS NULL THEN '' ELSE ['slow-db', 'errors', 'marked-slow'][taken] END AS policy,
+  CASE WHEN p2 THEN 'veto' WHEN taken IS NULL THEN 'drop' ELSE 'sample' END AS verdict, n_spans FROM a3
 """
 
 
@@ -265,6 +276,7 @@ def tail_rate_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 SQL["tail_rate_limit"] = f"""
 WITH {_DECIDED}
-SELECT trace_id, n_spans FROM decided QUALIFY sum(n_spans) OVER (PARTITION BY first_ms // 86400000 ORDER BY first_ms, trace_id ROWS UNBOUNDED PRECEDING) <= 100
+SELECT trace_id, n_spans FROM decided
+QUALIFY coalesce(sum(n_spans) OVER (PARTITION BY first_ms // 86400000 ORDER BY first_ms, trace_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) < 100
 """
 QUERIES = {name: globals()[name] for name in SQL}

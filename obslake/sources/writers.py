@@ -23,13 +23,15 @@ def routed_batches(path: str):
 
 
 def assign_size_chunks(df: DataFrame, keys: list[str], size: Column, order: list[str], max_bytes: int) -> DataFrame:
-    """df with chunk: rows of a key in order, cut where the running size passes a multiple of max_bytes.
+    """df with chunk: rows of a key in order, in chunks of at most max_bytes; a row over that is alone in its chunk.
 
-    A chunk holds at most max_bytes besides its first row; a row over the limit starts a chunk of its own.
+    A row within two multiples of max_bytes of the running size goes with the others there; one across a multiple is a chunk of
+    its own. So chunks need no row-by-row state and keep their order.
     """
     w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     before = F.coalesce(F.sum(size).over(w), F.lit(0))
-    return df.withColumn("chunk", F.floor(before / F.lit(max_bytes)))
+    room = (F.floor(before / F.lit(max_bytes)) + 1) * max_bytes - before
+    return df.withColumn("chunk", 2 * F.floor(before / F.lit(max_bytes)) + (size > room).cast("long"))
 
 
 def tap(df: DataFrame, globs: list[tuple[str, str]], percent: float = 100, identity: list[str] = ()) -> DataFrame:

@@ -19,11 +19,17 @@ def transformed(df: DataFrame, *transforms: Callable[[DataFrame], DataFrame]) ->
 
 
 def mapped(df: DataFrame, fn: Callable[[pd.DataFrame], pd.DataFrame], schema: str | None = None) -> DataFrame:
-    """df through a function over batches of rows; rows that it leaves out are dropped."""
+    """df through a function over batches of rows; rows that it leaves out are dropped. Where it fails, a batch stays as it was, unless a schema of its own is given."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            yield fn(batch)
+            try:
+                out = fn(batch.copy())
+            except Exception:  # noqa: BLE001  a user's function
+                if schema:
+                    raise
+                out = batch
+            yield out
 
     return df.mapInPandas(run, schema or df.schema)
 

@@ -26,39 +26,51 @@ def validity(changes: DataFrame, key: list[str], ts: str, deleted: str) -> DataF
 def as_of(facts: DataFrame, intervals: DataFrame, key: str, ts: str, ttl: int = 0) -> DataFrame:
     """facts with the columns of the newest interval of their key that holds at their time, or ended no more than ttl before; none: nulls.
 
-    The join is on the key alone with the time as a residual condition; the newest is picked by an aggregation over the fact's own row
-    number, so facts may repeat.
+    The join is on the key alone with the time as a residual condition; the newest is picked by an aggregation over the fact's own
+    digest, the same whenever a task runs again. Facts may repeat: equal ones are counted, looked up once and returned as often.
     """
-    numbered = facts.withColumn("_row", F.monotonically_increasing_id())
+    digest = F.md5(F.to_json(F.struct(*facts.columns), {"ignoreNullFields": "false"}))
+    numbered = facts.withColumn("_row", digest).groupBy("_row").agg(*(F.first(c).alias(c) for c in facts.columns), F.count("*").alias("_n"))
     extra = [c for c in intervals.columns if c != key]
     right = intervals.select(F.col(key).alias("_key"), F.struct(*extra).alias("_v"))
     hit = (F.col(key) == F.col("_key")) & (F.col(ts) >= F.col("_v.valid_from")) & (F.col("_v.valid_to").isNull() | (F.col(ts) < F.col("_v.valid_to") + ttl))
-    own = [F.first(c).alias(c) for c in facts.columns]
+    own = [F.first(c).alias(c) for c in (*facts.columns, "_n")]
     met = numbered.join(right, hit, "left").groupBy("_row").agg(*own, F.max_by("_v", "_v.valid_from").alias("_v"))
-    return met.select(*facts.columns, "_v.*")
+    return met.withColumn("_n", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_n")))).select(*facts.columns, "_v.*")
 
 
 def pod_ip_owners(pods: DataFrame) -> DataFrame:
     """(ip, uid) of the pod that an address belongs to: never host-network or finished pods; a live one before a terminating, then the latest claim, then uid."""
     own = pods.filter("ip <> '' and not host_network and phase not in ('Succeeded', 'Failed')")
-    rank = F.struct(~F.col("terminating"), "claim_seq", "uid")
-    return own.groupBy("ip").agg(F.max_by("uid", rank).alias("uid"))
+    return own.groupBy("ip").agg(F.max_by("uid", _rank()).alias("uid"))
+
+
+def _rank() -> Column:
+    """Of several pods: a live one before a terminating, then the latest claim, then uid."""
+    return F.struct(~F.col("terminating"), "claim_seq", "uid")
+
+
+def _spread(key: str, *others: str) -> Column:
+    """A join key in which nulls, which match nothing, are dealt over many values instead of one."""
+    return F.coalesce(key, F.concat(F.lit("\0"), F.pmod(F.xxhash64(*others), F.lit(4096)).cast("string")))
 
 
 def attribute_to_pods(rows: DataFrame, pods: DataFrame) -> DataFrame:
     """rows (container_id, namespace, pod, peer_ip) with pod_uid and how it was found: container, name, ip or none.
 
-    A container id is looked up first, then the name in its namespace, then the address.
+    A container id is looked up first, then the name in its namespace, then the address. Of several pods under one id or name
+    (incarnations) a live one counts, then the latest.
     """
-    normal = rows.withColumn("_cid", normalize_container_id("container_id"))
-    by_container = pods.select(F.col("container_id").alias("_cid"), F.col("uid").alias("_c")).dropDuplicates(["_cid"])
-    by_name = pods.select(F.col("namespace").alias("_ns"), F.col("name").alias("_pod"), F.col("uid").alias("_n")).dropDuplicates(["_ns", "_pod"])
+    normal = rows.withColumn("_cid", normalize_container_id("container_id")).withColumn("_cid", _spread("_cid", "pod", "peer_ip"))
+    normal = normal.withColumn("namespace_key", _spread("namespace", "pod", "peer_ip")).withColumn("ip_key", _spread("peer_ip", "pod", "_cid"))
+    by_container = pods.groupBy(F.col("container_id").alias("_cid")).agg(F.max_by("uid", _rank()).alias("_c"))
+    by_name = pods.groupBy(F.col("namespace").alias("_ns"), F.col("name").alias("_pod")).agg(F.max_by("uid", _rank()).alias("_n"))
     by_ip = pod_ip_owners(pods).select(F.col("ip").alias("_ip"), F.col("uid").alias("_i"))
     out = normal.join(by_container, "_cid", "left")
-    out = out.join(by_name, (F.col("namespace") == F.col("_ns")) & (F.col("pod") == F.col("_pod")), "left")
-    out = out.join(by_ip, F.col("peer_ip") == F.col("_ip"), "left")
+    out = out.join(by_name, (F.col("namespace_key") == F.col("_ns")) & (F.col("pod") == F.col("_pod")), "left")
+    out = out.join(by_ip, F.col("ip_key") == F.col("_ip"), "left")
     how = F.when(F.col("_c").isNotNull(), "container").when(F.col("_n").isNotNull(), "name").when(F.col("_i").isNotNull(), "ip").otherwise("none")
-    return out.withColumn("pod_uid", F.coalesce("_c", "_n", "_i")).withColumn("found_by", how).drop("_cid", "_c", "_ns", "_pod", "_n", "_ip", "_i")
+    return out.withColumn("pod_uid", F.coalesce("_c", "_n", "_i")).withColumn("found_by", how).drop("_cid", "namespace_key", "ip_key", "_c", "_ns", "_pod", "_n", "_ip", "_i")
 
 
 def merge_resolved(rows: DataFrame, resolved: str = "resolved", identity: tuple[str, ...] = IDENTITY) -> DataFrame:

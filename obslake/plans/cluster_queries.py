@@ -26,12 +26,12 @@ def _services(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _changes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    orders = spark.read.parquet(f"{sf_dir}/orders.parquet").filter("o_custkey % 3 = 0")
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
     day = F.datediff("o_orderdate", F.lit("1970-01-01")).cast("long")
     return orders.groupBy(F.col("o_custkey").alias("pod_no"), day.alias("day")).agg(F.max("o_orderkey").alias("version"), (F.max(F.col("o_orderkey") % 4) == 0).alias("deleted"))
 
 
-_CHANGES = "changes AS (SELECT o_custkey AS pod_no, datediff('day', DATE '1970-01-01', o_orderdate::DATE) AS day, max(o_orderkey) AS version, max(o_orderkey % 4) = 0 AS deleted FROM orders WHERE o_custkey % 3 = 0 GROUP BY ALL)"
+_CHANGES = "changes AS (SELECT o_custkey AS pod_no, datediff('day', DATE '1970-01-01', o_orderdate::DATE) AS day, max(o_orderkey) AS version, max(o_orderkey % 4) = 0 AS deleted FROM orders GROUP BY ALL)"
 _INTERVALS = f"{_CHANGES}, intervals AS (SELECT * FROM (SELECT *, day AS valid_from, lead(day) OVER (PARTITION BY pod_no ORDER BY day) AS valid_to FROM changes) WHERE NOT deleted)"
 
 

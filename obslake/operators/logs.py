@@ -267,7 +267,7 @@ def line_rules(logs: DataFrame, rules: list[Rule], order: list[str], source: lis
     such a rule matches are ordered; without one there is no shuffle. Use stable_line_rules() on streams.
     """
     fields = FIELDS if FIELDS in logs.columns else None
-    hit = logs.withColumn("_rule", rule_index(rules, Record.default(fields)))
+    hit = settled(logs.withColumn("_rule", rule_index(rules, Record.default(fields))))
     steps = {k: round(1 / r.share) for k, r in enumerate(rules) if r.action == "keep" and r.share < 1}
     dropped = [k for k, r in enumerate(rules) if r.action == "drop"]
     keep = F.coalesce(~F.col("_rule").isin(dropped + list(steps)), F.lit(True)) if dropped or steps else F.lit(True)

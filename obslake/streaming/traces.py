@@ -1,13 +1,18 @@
-"""Traces on streams: the batch operators' own expressions over session windows of arrival.
+"""Traces on streams.
 
-A trace (or call) is a session that closes when nothing has arrived for the wait; the watermark, not a timer, closes it, so results don't
-depend on when a batch runs. State is one aggregated row for each open session.
+Calls are paired under keyed state: the half that comes first sets a timer, which nothing that follows moves; the watermark fires it, so
+results don't depend on when a batch runs. Tail decisions are the batch operators' own expressions over session windows of arrival: a trace
+is a session that closes when nothing has arrived for the wait, with one aggregated row of state.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators import sampling, service_graph
 
@@ -16,19 +21,54 @@ def _timed(spans: DataFrame, lateness: str) -> DataFrame:
     return spans.withColumn("arrival_ts", F.timestamp_millis("arrival_ms")).withWatermark("arrival_ts", lateness)
 
 
-def calls(spans: DataFrame, wait: str = "10 seconds", lateness: str = "10 seconds") -> DataFrame:
-    """(trace_id, key, client, server, failed, client_ns, server_ns, outcome) of calls, each when its session closes.
+_CALL = ["trace_id", "key", "client", "server", "failed", "client_ns", "server_ns", "outcome"]
+_CALL_SCHEMA = "trace_id string, key string, client string, server string, failed boolean, client_ns long, server_ns long, outcome string"
+
 
-    Halves that come within the wait of one another are one call, of duplicates the last counts; a side that never came is null.
+def calls(spans: DataFrame, wait_ms: int = 10_000, lateness: str = "10 seconds") -> DataFrame:
+    """(trace_id, key, client, server, failed, client_ns, server_ns, outcome) of calls: at once when both halves are there, else when the wait is over.
+
+    The wait runs from the arrival of the first half; duplicates of a half replace it and don't prolong it. A half that comes when its
+    call is over begins another. A side that never came is null.
     """
+
+    def step(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        done: list[tuple] = []
+        # arrival of the first half, then its side, service, failure and duration
+        held = state.get if state.exists else None
+
+        def over() -> None:
+            _, side, service, failed, ns = held
+            done.append((*k, service, None, failed, ns, None, "unpaired") if side == "client" else (*k, None, service, failed, None, ns, "unpaired"))
+
+        if state.hasTimedOut:
+            over()
+            held = None
+        else:
+            rows = pd.concat(list(batches)).sort_values(["arrival_ms", "span_id"])
+            for at, side, service, failed, ns in zip(*(rows[c].tolist() for c in ("arrival_ms", "side", "service", "failed", "ns"))):
+                if held and at >= held[0] + wait_ms:
+                    over()
+                    held = None
+                if held and side != held[1]:
+                    c, s = ((service, ns), held[2::2]) if side == "client" else (held[2::2], (service, ns))
+                    done.append((*k, c[0], s[0], bool(failed or held[3]), c[1], s[1], "completed"))
+                    held = None
+                else:
+                    held = (held[0] if held else int(at), side, service, bool(failed), int(ns))
+            if held and held[0] + wait_ms <= state.getCurrentWatermarkMs():
+                over()
+                held = None
+        if held:
+            state.update(held)
+            state.setTimeoutTimestamp(held[0] + wait_ms)
+        elif state.exists:
+            state.remove()
+        yield pd.DataFrame(done, columns=_CALL).astype({"client_ns": "Int64", "server_ns": "Int64"})
+
     known = service_graph.halves(_timed(spans, lateness)).filter("side is not null and not unkeyable")
-    half = F.struct(F.col("service").alias("service"), (F.col("status") == "ERROR").alias("failed"), service_graph.span_nanos("start_ns", "end_ns").alias("ns"))
-    last = lambda side: F.max_by(F.when(F.col("side") == side, half), F.when(F.col("side") == side, F.struct("arrival_ms", "span_id", "service", "end_ns")))
-    met = known.groupBy(F.session_window("arrival_ts", wait), "trace_id", "key").agg(last("client").alias("c"), last("server").alias("s"))
-    return met.select(
-        "trace_id", "key", F.col("c.service").alias("client"), F.col("s.service").alias("server"), (F.coalesce("c.failed", F.lit(False)) | F.coalesce("s.failed", F.lit(False))).alias("failed"),
-        F.col("c.ns").alias("client_ns"), F.col("s.ns").alias("server_ns"), F.when(F.col("c").isNotNull() & F.col("s").isNotNull(), "completed").otherwise("unpaired").alias("outcome"),
-    )
+    half = known.select("trace_id", "key", "side", "service", F.coalesce(F.col("status") == "ERROR", F.lit(False)).alias("failed"), service_graph.span_nanos("start_ns", "end_ns").alias("ns"), "arrival_ms", "span_id", "arrival_ts")
+    return half.groupBy("trace_id", "key").applyInPandasWithState(step, _CALL_SCHEMA, "first long, side string, service string, failed boolean, ns long", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def decisions(spans: DataFrame, policies: list[sampling.Policy], wait: str = "5 seconds", lateness: str = "10 seconds") -> DataFrame:

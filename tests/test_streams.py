@@ -65,6 +65,15 @@ def test_calls_conserve_halves(spark, some_spans, tmp_path):
     assert all((r.client is None) != (r.server is None) for r in got if r.outcome == "unpaired")
 
 
+def test_a_call_waits_from_its_first_half(spark, tmp_path):
+    schema = "trace_id string, span_id string, parent_span_id string, service string, kind string, status string, start_ns long, end_ns long, arrival_ms long, attrs map<string,string>, resource map<string,string>"
+    half = lambda t, kind, at, status="UNSET": (t, "c" if kind == "CLIENT" else "s", "" if kind == "CLIENT" else "c", kind.lower(), kind, status, 1, 5, at, {}, {})
+    # each duplicate comes within the wait of the one before; the server comes within the wait of the last, not of the first
+    rows = [half("late", "CLIENT", k * 6_000) for k in (1, 2)] + [half("late", "SERVER", 17_000)] + [half("met", "SERVER", 9_000, "ERROR"), half("met", "CLIENT", 18_999)] + [half("alone", "CLIENT", 3_000), half("end", "CLIENT", 10**9)]
+    got = _run(spark, traces.calls(_stream(spark, spark.createDataFrame(rows, schema), tmp_path, "arrival_ms")), "first_half").collect()
+    assert sorted((r.trace_id, str(r.client), str(r.server), r.failed, r.outcome) for r in got) == [("alone", "client", "None", False, "unpaired"), ("late", "None", "server", False, "unpaired"), ("late", "client", "None", False, "unpaired"), ("met", "client", "server", True, "completed")]
+
+
 def test_lines_join_under_state(spark, tmp_path):
     rows = [("a", k, line) for k, line in enumerate(["x", "  at 1", "  at 2", "y", "z", "\tat 3", "end"])] + [("b", k, line) for k, line in enumerate(["p", "q", " r", "s"])]
     df = spark.createDataFrame(rows, "file string, pos long, line string")

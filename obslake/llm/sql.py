@@ -101,3 +101,37 @@ summed AS (SELECT *, sum(n_tokens) OVER (PARTITION BY domain, lang, source ORDER
 SELECT doc_id, domain, lang, source, n_tokens, whole + (total <= rest)::BIGINT AS copies
 FROM summed WHERE whole + (total <= rest)::BIGINT > 0
 """
+
+
+def _code_rounds(rounds: int) -> str:
+    """Assignments a0.. and codebooks b1.. of op11, one after the other."""
+    assign = """
+a{n} AS MATERIALIZED (
+  SELECT vec_id, p, k, d FROM (
+    SELECT x.vec_id, x.p, b.k, x.n2 - 2 * list_inner_product(x.v, b.v) + list_inner_product(b.v, b.v) AS d FROM x JOIN b{n} b USING (p))
+  QUALIFY row_number() OVER (PARTITION BY vec_id, p ORDER BY d, k) = 1)"""
+    update = """
+m{n} AS (
+  SELECT p, k, list(m ORDER BY i) AS v FROM (
+    SELECT p, k, i, floor(sum(v[i]) / count(*)) AS m FROM a{m} JOIN x USING (vec_id, p), range(1, (SELECT max(len(v)) FROM x) + 1) t(i) GROUP BY p, k, i)
+  GROUP BY p, k),
+b{n} AS MATERIALIZED (SELECT b.p, b.k, coalesce(m.v, b.v) AS v FROM b{m} b LEFT JOIN m{n} m USING (p, k))"""
+    return ",".join(assign.format(n=n) + ("," + update.format(n=n + 1, m=n) if n < rounds else "") for n in range(rounds + 1))
+
+
+ORACLES["op11_code_compression"] = f"""
+WITH kept AS MATERIALIZED (
+  SELECT vec_id, label, [floor(4096 * e::DOUBLE) for e in embedding] AS e, len(embedding) // 8 AS l FROM embeddings
+  WHERE embedding IS NOT NULL
+    AND len([e for e in embedding if e IS NULL OR isnan(e) OR isinf(e)]) = 0),
+x AS MATERIALIZED (
+  SELECT vec_id, p, v, list_inner_product(v, v) AS n2
+  FROM (SELECT vec_id, p, e[(p * l + 1):(p * l + l)] AS v FROM kept, range(8) t(p))),
+b0 AS MATERIALIZED (
+  SELECT p, row_number() OVER (PARTITION BY p ORDER BY vec_id) - 1 AS k, v
+  FROM x WHERE vec_id IN (SELECT vec_id FROM kept ORDER BY vec_id LIMIT 16)),{_code_rounds(6)},
+coded AS (SELECT vec_id, string_agg(printf('%02x', k), '' ORDER BY p) AS code, sum(d)::BIGINT AS error FROM a6 GROUP BY vec_id),
+books AS (SELECT sha256(string_agg(array_to_string([y::BIGINT for y in v], ','), ',' ORDER BY p, k)) AS codebooks_sha256 FROM b6)
+SELECT vec_id, code, error, sum(error) OVER (PARTITION BY label)::BIGINT AS label_error, codebooks_sha256
+FROM coded JOIN kept USING (vec_id), books
+"""

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import codes, html, language, licenses, mixing, pieces, simhash, substring, topk, toxicity, vectors
+from . import codes, dialogue, html, language, licenses, mixing, pieces, simhash, substring, topk, toxicity, vectors
 from .common import table
 
 
@@ -75,5 +75,10 @@ def op11_code_compression(spark: SparkSession, sf_dir: str) -> DataFrame:
     return codes.compress(table(spark, sf_dir, "embeddings")).drop("label")
 
 
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations")
+    return dialogue.report(dialogue.damage(rows), rows)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}

@@ -135,3 +135,68 @@ books AS (SELECT sha256(string_agg(array_to_string([y::BIGINT for y in v], ','),
 SELECT vec_id, code, error, sum(error) OVER (PARTITION BY label)::BIGINT AS label_error, codebooks_sha256
 FROM coded JOIN kept USING (vec_id), books
 """
+
+
+def _edit_options() -> str:
+    """op13: the cheapest (cost, audit, text) of the four states after one more row x, from those in s0 to s3 before it."""
+    put_in = {0: 2, 1: 2, 2: 3, 3: 2}
+    names = {2: "user", 3: "assistant"}
+    kept = {(0, "s"): 1, (0, "u"): 2, (1, "u"): 2, (3, "u"): 2, (2, "a"): 3}
+    options: dict[int, list[str]] = {e: [] for e in range(4)}
+    for start in range(4):
+        now, lines = start, ""
+        for n in range(3):
+            def option(end, letter, cost, line, when):
+                options[end].append(f"CASE WHEN {when} THEN {{'c': s{start}.c + {cost}, 'a': s{start}.a || '{'I' * n + letter}', 't': s{start}.t || '{lines}' || {line}}} END")
+
+            option(now, "D", f"{3 + 2 * n}", "''", "true")
+            option(put_in[now], "R", f"{2 + 2 * n} + x.late", f"chr(10) || '{names[put_in[now]]}:' || x.text", "NOT x.gone")
+            for (state, initial), end in kept.items():
+                if state == now:
+                    option(end, "K", f"{2 * n} + x.late", "chr(10) || x.role || ':' || x.text", f"NOT x.gone AND left(x.role, 1) = '{initial}'")
+            now = put_in[now]
+            lines += f"\n{names[now]}:"
+    return ", ".join(f"list_min([{', '.join(options[e])}]) AS s{e}" for e in range(4))
+
+
+ORACLES["op13_conversation_repair"] = rf"""
+WITH RECURSIVE bits AS (
+  SELECT i, 0 AS k, i AS c FROM range(256) t(i)
+  UNION ALL
+  SELECT i, k + 1, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END FROM bits WHERE k < 8),
+crc AS (SELECT list(c ORDER BY i) AS tab FROM bits WHERE k = 8),
+kinds AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+    xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' '), ''), lambda ch: ascii(ch)::BIGINT)),
+      lambda c, b: xor(c >> 8, tab[1 + (xor(c, b) & 255)])), 4294967295) % 20 AS kind
+  FROM conversations, crc),
+damaged AS (
+  SELECT conv_id, dense_rank() OVER (ORDER BY conv_id) AS g, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role,
+    CASE kind WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text
+  FROM kinds, range(CASE kind WHEN 3 THEN 2 ELSE 1 END) WHERE kind <> 0),
+placed AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY turn NULLS FIRST, role, text) AS i FROM damaged),
+seen AS (
+  SELECT *, NOT regexp_matches(text, '[^\x20\x09-\x0D]') AS blank, row_number() OVER (PARTITION BY g, role, text ORDER BY i) > 1 AS again,
+    NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*$') AS cut, lag(left(role, 1)) OVER (PARTITION BY g ORDER BY i) || left(role, 1) AS pair
+  FROM placed),
+x AS MATERIALIZED (SELECT g, i, role, text, blank OR again AS gone, cut::INT AS late FROM seen),
+faults AS (
+  SELECT g, any_value(conv_id) AS conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0)::BIGINT AS gaps,
+    count(*) FILTER (WHERE blank) AS blank, count(*) FILTER (WHERE again AND NOT blank) AS duplicate,
+    count(*) FILTER (WHERE cut AND NOT again AND NOT blank) AS truncated, count(*) FILTER (WHERE pair NOT IN ('su', 'ua', 'au')) AS illegal,
+    count(*) AS n
+  FROM seen GROUP BY g),
+fold AS (
+  SELECT DISTINCT g, 0::BIGINT AS i, {{'c': 0, 'a': '', 't': ''}} AS s0, {{'c': 1000000, 'a': '', 't': ''}} AS s1,
+    {{'c': 1000000, 'a': '', 't': ''}} AS s2, {{'c': 1000000, 'a': '', 't': ''}} AS s3 FROM x
+  UNION ALL
+  SELECT g, x.i, {_edit_options()} FROM fold JOIN x USING (g) WHERE x.i = fold.i + 1),
+done AS (
+  SELECT g, list_min([s0, {{'c': s1.c + 4, 'a': s1.a || 'II', 't': s1.t || chr(10) || 'user:' || chr(10) || 'assistant:'}},
+    {{'c': s2.c + 2, 'a': s2.a || 'I', 't': s2.t || chr(10) || 'assistant:'}}, s3]) AS best
+  FROM fold JOIN faults USING (g) WHERE i = n),
+found AS (SELECT * FROM faults JOIN done USING (g))
+SELECT c.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated,
+  coalesce(illegal, 0) AS illegal, coalesce(best.c, 0)::BIGINT AS cost, coalesce(best.a, '') AS audit, sha256(substr(coalesce(best.t, ''), 2)) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN found ON c.conv_id IS NOT DISTINCT FROM found.conv_id
+"""

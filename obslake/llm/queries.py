@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import codes, dialogue, html, language, licenses, mixing, pieces, simhash, substring, topk, toxicity, vectors
+from . import codes, dialogue, html, language, licenses, mixing, pieces, sharding, simhash, substring, topk, toxicity, vectors
 from .common import table
 
 
@@ -75,6 +75,11 @@ def op11_code_compression(spark: SparkSession, sf_dir: str) -> DataFrame:
     return codes.compress(table(spark, sf_dir, "embeddings")).drop("label")
 
 
+def op12_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed = sharding.assign(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
 def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations")
     return dialogue.report(dialogue.damage(rows), rows)

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from .common import drop_stored, stored
 
-SHARDS, ROUNDS = 16, 12
+SHARDS, ROUNDS = 16, 24
 #: Buckets of a prefix sum; columns that unlinked documents are dealt into by size.
 BUCKETS, STRIDE = 1024, 1024
 
@@ -62,10 +62,13 @@ def _quotas(asked: dict[tuple[int, int], int], room: list[int]) -> dict[tuple[in
     return {k: n for k, n in out.items() if n > 0}
 
 
-def _requests(state: DataFrame, room: list[int]) -> DataFrame:
-    """(g1, g2, s, t, n, gain): sets of a group's documents that ask to go from s to t, where gain of their group are."""
+def _requests(state: DataFrame, room: list[int], turn: int) -> DataFrame:
+    """(g1, g2, s, t, n, gain): sets of a group's documents that ask to go from s to t, where gain of their group are.
+
+    Which of two equal places asks depends on the turn, so that what couldn't be exchanged in one may be in another.
+    """
     has_room = F.array(*[F.lit(int(r > 0)) for r in room])
-    places = F.transform("places", lambda c: F.struct(c.n.alias("n"), F.element_at(has_room, c.shard + 1).alias("room"), F.xxhash64("g1", c.shard).alias("tie"), c.shard.alias("shard")))
+    places = F.transform("places", lambda c: F.struct(c.n.alias("n"), F.element_at(has_room, c.shard + 1).alias("room"), F.xxhash64("g1", c.shard, F.lit(turn)).alias("tie"), c.shard.alias("shard")))
     rows = state.select("g1", "g2", F.sort_array(places, asc=False).alias("places"))
     at = F.array_position(F.transform("places", lambda c: c.room), 1).cast("int")  # from 1; 0: none has room
     rows = rows.withColumn("at", F.when(at > 0, at - 1).otherwise(F.size("places")))
@@ -88,16 +91,20 @@ def _together(cells: DataFrame) -> DataFrame:
 def propagate(state: DataFrame, quota: list[int], rounds: int = ROUNDS) -> tuple[DataFrame, list[int]]:
     """State (g1, g2, places) after rounds of moves, stored, and the number of linked documents in each shard. quota: the most a shard may hold."""
     spark = state.sparkSession
+    idle = 0
     for left in range(rounds, -1, -1):
         held = defaultdict(int, {r.shard: r.n for r in state.select(F.explode("places").alias("c")).groupBy("c.shard").agg(F.sum("c.n").alias("n")).collect()})
         loads = [held[k] for k in range(len(quota))]
         if not left:
             break
-        requests = _requests(state, [q - n for q, n in zip(quota, loads)])
+        requests = _requests(state, [q - n for q, n in zip(quota, loads)], rounds - left)
         asked = {(r.s, r.t): r.n for r in requests.groupBy("s", "t").agg(F.sum("n").alias("n")).collect()}  # shards x shards
         allowed = _quotas(asked, [q - n for q, n in zip(quota, loads)])
-        if not allowed:
+        idle = 0 if allowed else idle + 1
+        if not asked or idle > 1:
             break
+        if not allowed:
+            continue
         limits = spark.createDataFrame([(s, t, n) for (s, t), n in allowed.items()], "s int, t int, allowed long")
         rows = requests.join(F.broadcast(limits), ["s", "t"])
         rows = _running(rows, "n", ["s", "t"], [-F.floor(F.log2("gain"))], F.pmod("g1", F.lit(BUCKETS)), ["g1", "g2"])
@@ -143,15 +150,22 @@ def assign(docs: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS, link: Co
 
 def _fill(alone: DataFrame, n: int, room: list[int], loads: list[int]) -> DataFrame:
     """Shards and slots of the n unlinked documents, numbered by size in `place`: each shard takes as many as it has room for, of all sizes."""
-    stride = max(1, min(STRIDE, int(n**0.5)))
-    line, column = F.floor(F.col("place") / stride), F.col("place") % stride
-    # to and fro, so that no column has the largest of every line; the last line may be short
-    column = F.when((line % 2 == 1) & (line < n // stride), stride - 1 - column).otherwise(column)
-    at = column * (n // stride) + F.least(column, F.lit(n % stride)) + line
+    k = len(room)
+    wide = max(1, min(STRIDE, int(n**0.5)) // k)
+    lines = n // (k * wide)
+    line, column = F.floor(F.col("place") / (k * wide)), F.col("place") % (k * wide)
+    # to and fro over the lines, and over the shards within a line, so that none has the largest of every turn; the short last line goes to the end
+    column = F.when(line % 2 == 1, k * wide - 1 - column).otherwise(column)
+    turn, of = F.floor(column / k), column % k
+    block = F.when(turn % 2 == 1, k - 1 - of).otherwise(of)
+    # the largest of a block in its middle: what falls to the neighbour where blocks and room differ is small
+    nth, half = line * wide + turn, (wide * lines - 1) // 2
+    inside = F.when(nth % 2 == 0, half - nth / 2).otherwise(half + (nth + 1) / 2).cast("long")
+    at = F.when(line < lines, block * (wide * lines) + inside).otherwise(F.col("place"))
     begins = [sum(room[:k]) for k in range(len(room))]
     shard = F.lit(0)
-    for k in range(1, len(room)):
-        shard = shard + (at >= begins[k]).cast("int")
+    for s in range(1, len(room)):
+        shard = shard + (at >= begins[s]).cast("int")
     out = alone.withColumn("at", at).withColumn("shard", shard)
     before, held = (F.element_at(F.array(*[F.lit(x).cast("long") for x in xs]), F.col("shard") + 1) for xs in (begins, loads))
     return out.withColumn("slot", held + F.col("at") - before).drop("at", "place")

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from ..functions import maps
 from ..functions.scalars import glob_match, hex_id
 from ..functions.selectors import BANDS, Record, field_of, match, parsed_line
+from .folds import token_bucket
 
 REDACTED = "[REDACTED]"
 #: Parts of the names that secrets go by.
@@ -338,8 +339,13 @@ def rate_limit(logs: DataFrame, keys: list[str], rate: int, ts_us: str, order: l
     return logs.withColumn("_nth", F.row_number().over(w)).filter(F.col("_nth") <= rate).drop("_nth")
 
 
+def bucket_limit(logs: DataFrame, keys: list[str], rate: float, burst: float, ts_us: str, order: list[str]) -> DataFrame:
+    """Records that a bucket of each key lets through: `burst` at once, `rate` a second in the long run (folds.token_bucket())."""
+    return token_bucket(logs, rate, ts_us, order, keys=tuple(keys), burst=burst, debt=False).filter("admitted").drop("admitted")
+
+
 def throttle(rows: DataFrame, keys: list[str], window_us: int, ts_us: str, order: list[str]) -> DataFrame:
-    """The first row of each key and tumbling window."""
+    """The first row of each key and tumbling window; folds.throttle() has windows that begin with the row, and tables of bounded keys."""
     w = Window.partitionBy(*keys, F.expr(f"{ts_us} div {window_us}")).orderBy(ts_us, *order)
     return rows.withColumn("_nth", F.row_number().over(w)).filter("_nth = 1").drop("_nth")
 

@@ -12,6 +12,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
+from .folds import token_bucket
+
 HASH_BITS = 60
 
 
@@ -51,6 +53,21 @@ def _spent(w: WindowSpec, size: Column) -> Column:
     return F.coalesce(F.sum(size).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
 
 
+def rate_limiting(traces: DataFrame, rate: float, keys: tuple[str, ...] = (), at_ms: str = "first_ms") -> DataFrame:
+    """traces (trace_id, n_spans, and when they are decided) with `admitted` by a bucket of `rate` spans a second, exactly: see folds.token_bucket().
+
+    keys: what has a bucket of its own, such as the collector that decides. A trace larger than the bucket is admitted by a full one and leaves a debt.
+    """
+    own = traces.columns
+    out = token_bucket(traces.withColumn("_us", F.col(at_ms) * 1000), rate, "_us", ["trace_id"], F.col("n_spans"), keys)
+    return out.select(*own, "admitted")
+
+
+def span_rate_limit(spans: DataFrame, rate: float, at_us: str, order: list[str], keys: tuple[str, ...] = ()) -> DataFrame:
+    """Spans that a bucket of `rate` a second lets through, one by one."""
+    return token_bucket(spans, rate, at_us, order, keys=keys).filter("admitted").drop("admitted")
+
+
 @dataclass(frozen=True)
 class Policy:
     """A named policy: aggregates over a trace's spans, and the verdict from their columns."""

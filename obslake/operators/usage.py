@@ -5,12 +5,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .folds import accepted_readings
 
-def cpu_rates(readings: DataFrame, key: str = "container", ts_us: str = "ts_us") -> DataFrame:
+
+def cpu_rates(readings: DataFrame, key: str = "container", ts_us: str = "ts_us", least_us: int = 0) -> DataFrame:
     """readings (key, ts_us, usage_usec, memory_bytes, inactive_bytes) with cores and working_set.
 
-    cores is the growth of usage over the time since the reading before; a fall of the counter starts anew without a value.
+    cores is the growth of usage over the time since the reading before; a fall of the counter starts anew without a value. least_us: a reading
+    that follows its base more closely gives no value and doesn't become the next one's base, so its growth counts in the next interval.
     """
+    if least_us > 0:
+        out = accepted_readings(readings, [key], ts_us, "usage_usec", least_us)
+        grown, took = F.col("usage_usec") - F.col("base_counter"), F.col(ts_us) - F.col("base_at")
+        out = out.withColumn("cores", F.when(F.col("accepted") & (grown >= 0) & (took > 0), grown / took)).drop("base_at", "base_counter", "accepted")
+        return out.withColumn("working_set", F.greatest(F.col("memory_bytes") - F.col("inactive_bytes"), F.lit(0).cast("long")))
     w = Window.partitionBy(key).orderBy(ts_us, "usage_usec")
     used, passed = F.col("usage_usec") - F.lag("usage_usec").over(w), F.col(ts_us) - F.lag(ts_us).over(w)
     return readings.withColumn("cores", F.when((used >= 0) & (passed > 0), used / passed)).withColumn("working_set", F.greatest(F.col("memory_bytes") - F.col("inactive_bytes"), F.lit(0).cast("long")))

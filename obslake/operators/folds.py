@@ -23,7 +23,7 @@ _FILLS = 16
 
 def _folded(df: DataFrame, unit: str, order: list[str], inputs: list[str], outputs: list[tuple[str, T.DataType]], begin: Callable[[], Callable]) -> DataFrame:
     """df with further columns: for each unit, in order, what the function that begin() returns says of the inputs."""
-    arrow = {T.BooleanType(): pa.bool_(), T.LongType(): pa.int64()}
+    arrow = {T.BooleanType(): pa.bool_(), T.LongType(): pa.int64(), T.StringType(): pa.string()}
     names = df.columns
     schema = T.StructType([*df.schema.fields, *(T.StructField(n, t) for n, t in outputs)])
     types = [arrow[t] for _, t in outputs]

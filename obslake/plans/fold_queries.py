@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import folds, logs, sampling, usage
+from ..operators import folds, late, logs, sampling, usage
 from .views import log_table, span_table, view
 
 SQL: dict[str, str] = {}
@@ -100,6 +100,28 @@ SELECT log_id, namespace FROM f WHERE n = 1 QUALIFY row_number() OVER (PARTITION
 """
 
 
+def tail_settled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sessions of a day's silence, and those whose trace was decided in the forty days before them."""
+    spans = span_table(spark, sf_dir).withColumn("arrival_ts", F.timestamp_millis("arrival_ms"))
+    out = late.settled_sessions(late.trace_sessions(spans, [sampling.status_code("errors", ["ERROR"])], "1 day"), 40 * _DAY // 1000)
+    return out.drop("spans")
+
+
+SQL["tail_settled"] = f"""
+WITH RECURSIVE
+marked AS (SELECT trace_id, arrival_ms, status, coalesce(arrival_ms - lag(arrival_ms) OVER (PARTITION BY trace_id ORDER BY arrival_ms) > {_DAY // 1000}, true) AS begins FROM v_spans),
+numbered AS (SELECT *, sum(begins::INT) OVER (PARTITION BY trace_id ORDER BY arrival_ms) AS g FROM marked),
+sessions AS (SELECT trace_id, g::BIGINT AS i, min(arrival_ms) AS start_ms, max(arrival_ms) + {_DAY // 1000} AS end_ms, count(*) AS n_spans, bool_or(status = 'ERROR') AS failed FROM numbered GROUP BY trace_id, g),
+fold AS (
+  SELECT trace_id, i, end_ms + {40 * _DAY // 1000} AS until, failed, false AS late FROM sessions WHERE i = 1
+  UNION ALL
+  SELECT s.trace_id, s.i, CASE WHEN s.start_ms < f.until THEN f.until ELSE s.end_ms + {40 * _DAY // 1000} END, CASE WHEN s.start_ms < f.until THEN f.failed ELSE s.failed END, s.start_ms < f.until
+  FROM fold f JOIN sessions s ON s.trace_id = f.trace_id AND s.i = f.i + 1)
+SELECT trace_id, start_ms, end_ms, n_spans, CASE WHEN fold.failed THEN 'errors' ELSE '' END AS policy, CASE WHEN fold.failed THEN 'sample' ELSE 'drop' END AS verdict, late
+FROM fold JOIN sessions USING (trace_id, i)
+"""
+
+
 def cpu_rates_apart(spark: SparkSession, sf_dir: str) -> DataFrame:
     """CPU rates over six hours at least."""
     out = usage.cpu_rates(view(spark, sf_dir, "v_readings"), "user_id", "ts_us", 6 * _HOUR)

@@ -13,8 +13,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, StatefulProcessor, StatefulProcessorHandle, TimerValues
 
-from ..operators import sampling, service_graph
+from ..operators import late, sampling, service_graph
 
 
 def _timed(spans: DataFrame, lateness: str) -> DataFrame:
@@ -78,3 +79,52 @@ def decisions(spans: DataFrame, policies: list[sampling.Policy], wait: str = "5
     opinions = [F.when(p.verdict(f"p{k}_").isNotNull(), F.struct(F.lit(p.name).alias("policy"), p.verdict(f"p{k}_").alias("verdict"))) for k, p in enumerate(policies)]
     first = F.coalesce(*opinions, F.struct(F.lit("").alias("policy"), F.lit("drop").alias("verdict")))
     return traces.select("trace_id", "n_spans", first.alias("d")).select("trace_id", "n_spans", "d.policy", "d.verdict")
+
+
+_SETTLED = ["trace_id", "start_ms", "end_ms", "n_spans", "policy", "verdict", "late", "spans"]
+_SETTLED_SCHEMA = "trace_id string, start_ms long, end_ms long, n_spans long, policy string, verdict string, late boolean, spans array<string>"
+
+
+class _Verdicts(StatefulProcessor):
+    """A trace's remembered verdict, and a timer that forgets it."""
+
+    def __init__(self, ttl_ms: int, longest_ms: int) -> None:
+        self.ttl_ms, self.longest_ms = ttl_ms, longest_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.memory = handle.getValueState("memory", "until long, policy string, verdict string")
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
+        came = pd.concat(list(rows)).sort_values("start_ms")
+        was = memory = tuple(self.memory.get()) if self.memory.exists() else None
+        done: list[tuple] = []
+        for start, end, n, policy, verdict, held in zip(*(came[c].tolist() for c in ("start_ms", "end_ms", "n_spans", "policy", "verdict", "spans"))):
+            memory, policy, verdict, is_late = late.settle(memory, int(start), int(end), policy, verdict, self.ttl_ms)
+            done.append((*key, int(start), int(end), int(n), policy, verdict, is_late, list(held)))
+        if memory != was:
+            for t in list(self.handle.listTimers()):
+                self.handle.deleteTimer(t)
+            self.memory.update(memory)
+            # one that is due already fires with the next batch
+            self.handle.registerTimer(max(memory[0] + self.longest_ms, timerValues.getCurrentWatermarkInMs() + 1))
+        yield pd.DataFrame(done, columns=_SETTLED)
+
+    def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.memory.clear()
+        yield pd.DataFrame([], columns=_SETTLED)
+
+    def close(self) -> None:
+        pass
+
+
+def settled(spans: DataFrame, policies: list[sampling.Policy], wait: str = "5 seconds", ttl_ms: int = 30_000, lateness: str = "10 seconds", carry: tuple[str, ...] = (), longest_ms: int = 600_000) -> DataFrame:
+    """The sessions of late.settled_sessions() on a stream: each trace's first session is decided, later ones within ttl_ms of that share its verdict.
+
+    A verdict is one row of state under its trace, removed by a timer. The timer runs longest_ms beyond the time to live, since a session that began in time is only
+    known when it ends; sessions longer than that count as fresh. late.kept() gives the spans. The session needs the RocksDB state store
+    (spark.sql.streaming.stateStore.providerClass), the only one under which a stateful processor may follow an aggregation.
+    """
+    # dealt out by another key in between: two operators of one task would share the thread's state store
+    sessions = late.trace_sessions(_timed(spans, lateness), policies, wait, carry).repartition("end_ms")
+    return sessions.groupBy("trace_id").transformWithStateInPandas(_Verdicts(ttl_ms, longest_ms), _SETTLED_SCHEMA, "Append", "EventTime")

@@ -1,6 +1,7 @@
 """Toxicity by fuzzy lexicon matching and context windows.
 
-The lexicon is a short fixed list and the terms that labelled rows show to be telling. It is a trie, intersected with the
+The lexicon is what labelled rows show to be telling: whole terms, and beginnings of which a toxic text holds several different words (compounds
+of an insult). Only where there are no labels of both classes does a short fixed list stand in. The terms are a trie, intersected with the
 Levenshtein automata of its terms: a state is the set of (trie node, edits so far) that a word's characters can reach, and
 states are built as words ask for them, so a known word start costs one look-up a character. A hit counts as abuse
 or as quotation by a window around it: quotation marks that enclose it, or words of reporting near it, against words of
@@ -20,12 +21,16 @@ from pyspark.sql import functions as F
 
 from .common import releasing, sample, small_batches
 
-#: Labelled rows that the fit uses at most: those with the smallest hash of doc_id. All terms that pass the bound below are learned from them.
+#: Label ids, and labelled rows that differ, that the fit uses at most: those with the smallest hash. All terms that pass the bounds below are learned from them.
 SAMPLE_ROWS = 20_000
 #: A learned term stands after at least so many different words in toxic rows (copies of one row teach nothing new), and the
 #: lower 99 % confidence bound of its log-odds is at least so high.
 MIN_NEIGHBOURS, MIN_LOG_ODDS, Z = 4, 1.0, 2.58
-#: Insults known without labels.
+#: A beginning of so many letters is learned if rows that hold at least two different words with it are toxic more often than others by this much evidence: the
+#: exponent of Chernoff's bound on the chance of that many.
+BEGINNING, MIN_EVIDENCE = (4, 8), 5.5
+FEATURES = 9
+#: Insults known without labels, used only where there are none.
 SEED_TERMS = ("idiot", "moron", "stupid", "scum", "trash", "loser", "clown", "pathetic", "worthless", "disgusting", "imbecile", "dumbass", "bastard", "arschloch", "dummkopf", "connard", "salaud", "cabrón", "gilipollas")
 #: Words of reporting and of address.
 REPORTING = frozenset("said says wrote called quote quoted cited word term reported sagte schrieb zitat wort dit écrit cité mot dijo escribió cita palabra".split())
@@ -123,6 +128,7 @@ class Model:
     slopes: list[float]
     mean: list[float]
     scale: list[float]
+    beginnings: dict[str, float] = field(default_factory=dict)
     _lexicon: FuzzyLexicon | None = field(default=None, repr=False, compare=False)
     _seen: dict = field(default_factory=dict, repr=False, compare=False)
 
@@ -136,8 +142,12 @@ class Model:
             return found if plain else (found[0], max(1, found[1]))
         return next((m for m in map(self._lexicon.match, _LETTERS.findall(word)) if m), None)
 
+    def _begins(self, word: str) -> str | None:
+        """The shortest learned beginning of a word."""
+        return next((word[:n] for n in range(BEGINNING[0], min(BEGINNING[1], len(word)) + 1) if word[:n] in self.beginnings), None)
+
     def features(self, text: str | None) -> list[float]:
-        """Evidence in a whole text: exact, fuzzy and quoted hits, different terms, hits a hundred words, address near a hit."""
+        """Evidence in a whole text: exact, fuzzy and quoted hits, different terms, hits a hundred words, address near a hit, all hits; weight and number of different words of learned beginnings, from the second on."""
         if self._lexicon is None:
             self._lexicon = FuzzyLexicon(self.weights)
         elif len(self._lexicon.sets) > STATES:
@@ -149,11 +159,11 @@ class Model:
         hits = []
         for w in set(words):
             if w not in seen:
-                seen[w] = self._match(w)
-            if seen[w]:
+                seen[w] = (self._match(w), self._begins(w) if self.beginnings else None)
+            if seen[w] != (None, None):
                 hits.append(w)
         exact = fuzzy = quoted = address = total = 0.0
-        terms = set()
+        terms, under = set(), {}
         if hits:
             marks = [m.start() for m in _QUOTES.finditer(low)]
             wanted = set(hits)
@@ -161,9 +171,14 @@ class Model:
             for k, (w, start) in enumerate(spans):
                 if w not in wanted:
                     continue
-                term, edits = seen[w]
+                found, begins = seen[w]
                 near = {x for x, _ in spans[max(0, k - WINDOW) : k + WINDOW + 1]}
                 is_quoted = _enclosed(marks, start) or bool(near & REPORTING)
+                if begins and not is_quoted:
+                    under.setdefault(begins, set()).add(w)
+                if not found:
+                    continue
+                term, edits = found
                 weight = self.weights[term]
                 total += 1
                 if is_quoted:
@@ -174,7 +189,9 @@ class Model:
                     exact += weight
                     terms.add(term)
                 address += bool(near & ADDRESS)
-        return [np.log1p(exact), np.log1p(fuzzy), np.log1p(quoted), np.log1p(len(terms)), np.log1p(100 * exact / max(1, len(words))), np.log1p(address), np.log1p(total)]
+        several = {b: len(ws) - 1 for b, ws in under.items()}
+        compounds = sum(self.beginnings[b] * n for b, n in several.items())
+        return [np.log1p(exact), np.log1p(fuzzy), np.log1p(quoted), np.log1p(len(terms)), np.log1p(100 * exact / max(1, len(words))), np.log1p(address), np.log1p(total), np.log1p(compounds), np.log1p(sum(several.values()))]
 
     def score(self, texts: list[str | None]) -> np.ndarray:
         x = (np.array([self.features(t) for t in texts], np.float64).reshape(-1, len(self.slopes)) - self.mean) / self.scale
@@ -204,42 +221,63 @@ def held_out(doc_id: Column | str) -> Column:
 def _training_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
     known = labels.filter("doc_id is not null and toxic is not null and " + "crc32(cast(doc_id as string)) % 5 <> 0").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     known = sample(known, "doc_id", n=SAMPLE_ROWS)
-    rows = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id")  # at most SAMPLE_ROWS ids
-    return rows.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), (F.col("toxic") > 0).cast("int").alias("toxic"))
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(known), "doc_id")  # at most SAMPLE_ROWS ids
+    # an id may have any number of rows: copies teach nothing, and of others no more are taken
+    different = rows.groupBy("doc_id", F.xxhash64("text").alias("row")).agg(F.first("text").alias("text"), F.max((F.col("toxic") > 0).cast("int")).alias("toxic"))
+    return sample(different, "doc_id", "row", n=SAMPLE_ROWS)
+
+
+def _terms(rows: DataFrame, n: dict[int, int]) -> dict[str, float]:
+    """Telling words and the lower bounds of their log-odds; n: rows of each class."""
+    words = F.regexp_extract_all(F.lower("text"), F.lit(r"([\p{L}]+)"))
+    pairs = rows.select("doc_id", "row", "toxic", F.explode(F.arrays_zip(words.alias("w"), F.concat(F.array(F.lit("")), words).alias("before"))).alias("p")).select(F.struct("doc_id", "row").alias("of"), "toxic", "p.w", "p.before").filter("w is not null")
+    by_word = pairs.groupBy("w").agg(
+        F.count_distinct(F.when(F.col("toxic") == 1, F.col("of"))).alias("p"),
+        F.count_distinct(F.when(F.col("toxic") == 0, F.col("of"))).alias("n"),
+        F.count_distinct(F.when(F.col("toxic") == 1, F.col("before"))).alias("neighbours"),
+    )
+    odds = F.log((F.col("p") + 0.5) / (n[1] + 1.0)) - F.log((F.col("n") + 0.5) / (n[0] + 1.0))
+    best = by_word.filter((F.col("neighbours") >= MIN_NEIGHBOURS) & (F.length("w") >= 3)).withColumn("odds", odds - Z * F.sqrt(1 / (F.col("p") + 0.5) + 1 / (F.col("n") + 0.5))).filter(F.col("odds") >= MIN_LOG_ODDS)
+    return {r.w: round(r.odds, 6) for r in best.select("w", "odds").collect()}  # words of the sample: bounded by it
+
+
+def _beginnings(rows: DataFrame, n: dict[int, int]) -> dict[str, float]:
+    """Telling beginnings of words and the evidence for each; n: rows of each class."""
+    low, high = BEGINNING
+    words = rows.select("doc_id", "row", "toxic", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"([\p{L}]+)")))).alias("w")).filter(F.length("w") >= low)
+    starts = words.select("doc_id", "row", "toxic", F.explode(F.transform(F.sequence(F.lit(low), F.least(F.lit(high), F.length("w"))), lambda k: F.substring("w", F.lit(1), k))).alias("b"))
+    several = starts.groupBy("b", "doc_id", "row", "toxic").agg(F.count("*").alias("n")).filter("n >= 2")
+    rate = n[1] / (n[0] + n[1])
+    held = several.groupBy("b").agg(F.sum("toxic").cast("double").alias("p"), F.count("*").cast("double").alias("m")).withColumn("x", F.col("p") / F.col("m"))
+    clean = F.when(F.col("x") < 1, (1 - F.col("x")) * F.log((1 - F.col("x")) / (1 - rate))).otherwise(0.0)
+    told = held.filter((F.col("p") >= 3) & (F.col("x") > max(rate, 0.6))).withColumn("evidence", F.col("m") * (F.col("x") * F.log(F.col("x") / rate) + clean))
+    return {r.b: round(r.evidence, 6) for r in told.filter(F.col("evidence") >= MIN_EVIDENCE).select("b", "evidence").collect()}  # as above
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> Model:
     """The lexicon and regression from labelled rows outside the held-out fifth; with one class only, the fixed list and prior weights."""
     rows = _training_rows(docs, labels).persist()
     n = {r.toxic: r.n for r in rows.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
-    weights = {t: SEED_WEIGHT for t in SEED_TERMS}
-    if n.get(1) and n.get(0):
-        words = F.regexp_extract_all(F.lower("text"), F.lit(r"([\p{L}]+)"))
-        pairs = rows.select("doc_id", "toxic", F.explode(F.arrays_zip(words.alias("w"), F.concat(F.array(F.lit("")), words).alias("before"))).alias("p")).select("doc_id", "toxic", "p.w", "p.before").filter("w is not null")
-        by_word = pairs.groupBy("w").agg(
-            F.count_distinct(F.when(F.col("toxic") == 1, F.col("doc_id"))).alias("p"),
-            F.count_distinct(F.when(F.col("toxic") == 0, F.col("doc_id"))).alias("n"),
-            F.count_distinct(F.when(F.col("toxic") == 1, F.col("before"))).alias("neighbours"),
-        )
-        odds = F.log((F.col("p") + 0.5) / (n[1] + 1.0)) - F.log((F.col("n") + 0.5) / (n[0] + 1.0))
-        best = by_word.filter((F.col("neighbours") >= MIN_NEIGHBOURS) & (F.length("w") >= 3)).withColumn("odds", odds - Z * F.sqrt(1 / (F.col("p") + 0.5) + 1 / (F.col("n") + 0.5))).filter(F.col("odds") >= MIN_LOG_ODDS)
-        weights |= {r.w: round(r.odds, 6) for r in best.select("w", "odds").collect()}  # words of the sample: bounded by it
-    start = Model(weights, -3.0, [3.0, 0.5, 0.1, 1.0, 1.0, 0.2, 0.0], [0.0] * 7, [1.0] * 7)
-    if not (n.get(1) and n.get(0)):
+    taught = bool(n.get(1) and n.get(0))
+    weights = _terms(rows, n) if taught else {t: SEED_WEIGHT for t in SEED_TERMS}
+    flat = [0.0] * FEATURES, [1.0] * FEATURES
+    start = Model(weights, -3.0, [3.0, 0.5, 0.1, 1.0, 1.0, 0.2, 0.0, 1.0, 1.0], *flat, _beginnings(rows, n) if taught else {})
+    if not taught:
         rows.unpersist()
         return start
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = np.array([start.features(t) for t in batch.column(0).to_pylist()], np.float64).reshape(-1, 7)
-            yield pa.RecordBatch.from_arrays([batch.column(1), *(pa.array(c) for c in x.T)], ["toxic", *(f"f{k}" for k in range(7))])
+            x = np.array([start.features(t) for t in batch.column(0).to_pylist()], np.float64).reshape(-1, FEATURES)
+            yield pa.RecordBatch.from_arrays([batch.column(1), *(pa.array(c) for c in x.T)], ["toxic", *(f"f{k}" for k in range(FEATURES))])
 
-    table = rows.select("text", "toxic").mapInArrow(releasing(features), "toxic int, " + ", ".join(f"f{k} double" for k in range(7))).toArrow()
+    # SAMPLE_ROWS rows of a few numbers
+    table = small_batches(rows.select("text", "toxic")).mapInArrow(releasing(features), "toxic int, " + ", ".join(f"f{k} double" for k in range(FEATURES))).toArrow()
     rows.unpersist()
-    y, x = table.column("toxic").to_numpy(), np.stack([table.column(f"f{k}").to_numpy() for k in range(7)], axis=1)
+    y, x = table.column("toxic").to_numpy(), np.stack([table.column(f"f{k}").to_numpy() for k in range(FEATURES)], axis=1)
     mean, scale = x.mean(axis=0), np.maximum(x.std(axis=0), 1e-6)
     bias, slopes = logistic((x - mean) / scale, y)
-    return Model(weights, bias, slopes.tolist(), mean.tolist(), scale.tolist())
+    return Model(weights, bias, slopes.tolist(), mean.tolist(), scale.tolist(), start.beginnings)
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:

@@ -8,6 +8,7 @@ from functools import cache
 
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from obslake.llm import language, mixing, pieces, simhash, substring, toxicity
 from obslake.llm.queries import model_file
@@ -290,6 +291,32 @@ def test_toxic_texts_are_told_by_learned_and_misspelled_terms(spark, none):
     assert toxicity.fit(none, labels.limit(0)).score(["you idiot moron"])[0] > toxicity.fit(none, labels.limit(0)).score(["w1 w2"])[0]
 
 
+def test_several_words_with_a_telling_beginning(spark):
+    """Toxic texts hold different compounds of one beginning, clean ones at most one of them: neither words nor the beginning alone tell."""
+    r = random.Random(8)
+    ends = ["".join(r.choices("aeioulmnrst", k=5)) for _ in range(400)]
+    filler = [a + b for a in ("ba", "ko", "li", "mu") for b in ("na", "ti", "sor", "vel")]
+    bad = [" ".join(r.sample([*r.choices(filler, k=20), *(f"grombz{e}" for e in r.sample(ends, 3))], 23)) for _ in range(40)]
+    fine = [" ".join(r.sample([*r.choices(filler, k=20), *(f"grombz{e}" for e in r.sample(ends, k % 2))], 20 + k % 2)) for k in range(160)]
+    texts = [*((t, 1) for t in bad), *((t, 0) for t in fine)]
+    docs = spark.createDataFrame([(k, t, "en", "s", 1) for k, (t, _) in enumerate(texts)], DOCS)
+    model = toxicity.fit(docs, spark.createDataFrame([(k, 1, y) for k, (_, y) in enumerate(texts)], "doc_id long, quality int, toxic int"))
+    assert "grom" in model.beginnings and not [w for w in model.weights if w in toxicity.SEED_TERMS]
+    assert all(r.predicted == (r.doc_id < 40) for r in toxicity.score(docs, model).collect())
+    said = model.features('he wrote "grombzaa grombzbb grombzcc" there')
+    assert said[7] == 0 and model.features("grombzaa and grombzbb")[7] > 0 == model.features("grombzaa and grombzaa")[7]
+
+
+def test_training_rows_are_bounded_whatever_an_id_holds(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "SAMPLE_ROWS", 500)
+    label = spark.createDataFrame([(1, 1, 1), (2, 1, 0)], "doc_id long, quality int, toxic int")
+    many = spark.range(60_000).select(F.lit(1).cast("long").alias("doc_id"), F.concat(F.lit("text "), (F.col("id") % 30_000).cast("string")).alias("text"))
+    same = spark.range(60_000).select(F.lit(2).cast("long").alias("doc_id"), F.lit("same").alias("text"))
+    got = toxicity._training_rows(many.unionByName(same), label).groupBy("doc_id").count().collect()
+    counts = {r.doc_id: r["count"] for r in got}
+    assert sum(counts.values()) <= 500 and counts[1] > 300 and counts.get(2, 0) <= 1
+
+
 @pytest.mark.parametrize(("word", "term"), [("id1ot", "idiot"), ("m0ron", "moron"), ("stup_id", "stupid"), ("sc*m", "scum"), ("idiot_moron", "idiot"), ("w0rd", None), ("scam", None)])
 def test_masked_terms_match(word, term):
     model = toxicity.Model({t: 1.0 for t in toxicity.SEED_TERMS}, 0.0, [1.0] * 7, [0.0] * 7, [1.0] * 7)

@@ -7,6 +7,7 @@ projection over the input, in batch and on streams.
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, Window
@@ -24,12 +25,20 @@ _SECRET_NAMES = r"password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key|cl
 
 @dataclass(frozen=True)
 class Redaction:
-    """A pattern, its replacement, and lower-case words of which a line must hold one for the pattern to match (none: any line may match)."""
+    """A pattern, its replacement, and lower-case words of which a line must hold one for the pattern to match (none: any line may match).
+
+    more: further patterns and replacements, which follow in order.
+    """
 
     name: str
     pattern: str
     replacement: str = REDACTED
     words: tuple[str, ...] = ()
+    more: tuple[tuple[str, str], ...] = ()
+
+    @property
+    def forms(self) -> tuple[tuple[str, str], ...]:
+        return ((self.pattern, self.replacement), *self.more)
 
 
 def _credentials(scheme: str, token: str) -> str:
@@ -41,6 +50,28 @@ def _card(*groups: str) -> str:
     return r"\b" + "[ -]?".join(groups) + r"\b"
 
 
+def _assigned(value: str) -> str:
+    """A secret's name, quoted or not, and a colon, equals sign or arrow in group 1, then a value."""
+    return rf"(?i)((?:{_SECRET_NAMES})(?:\\?[\"'])?[ \t]*(?:=>|[:=])[ \t]*){value}"
+
+
+#: Values: a string of RFC 8259, perhaps cut off; a single-quoted word of a POSIX shell; and a bare one of RFC 3986's characters and letters, less what separates fields.
+_JSON_STRING, _SHELL_WORD, _BARE = r'"(?:[^"\\]|\\.)+("|$)', r"'[^']+('|$)", r"[\p{L}\p{N}._~%+/=!$*@:#?^|<>-]+"
+
+#: Labels of private keys in textual envelopes (RFC 7468, RFC 5915, PKCS #1, OpenSSH).
+_KEY_LABELS = ("PRIVATE KEY", "ENCRYPTED PRIVATE KEY", "EC PRIVATE KEY", "RSA PRIVATE KEY", "DSA PRIVATE KEY", "OPENSSH PRIVATE KEY")
+
+
+def _envelope(label: str) -> str:
+    """A begin line, any lines of base64 or of headers (what was redacted in them before, too), and the end line of that label if it follows.
+
+    Lines end as they are or as escapes, or are put on one line. Where the end is cut off, the envelope goes as far as such lines do.
+    """
+    gap = r"(?:[ \t\r\n]|\\[rn])+"
+    line = r"(?:[A-Za-z][A-Za-z-]*: [^\r\n\\]+|(?:[A-Za-z\d+/=]|\[REDACTED\])+)"
+    return f"-----BEGIN {label}-----(?:{gap}{line})*(?:{gap}-----END {label}-----)?"
+
+
 #: By name (fixed values: configurations use them). The forms: RFC 6750 tokens, RFC 7617 base64 in fours, name and value pairs with JSON or
 #: shell quoting, access key ids (four letters, sixteen more), RFC 7468 envelopes, the password in RFC 3986 user information, RFC 5321 mailboxes
 #: with a dotted domain, ISO 7812 numbers as 13 to 19 digits in fours or as 4-6-5.
@@ -49,9 +80,9 @@ BUILT_IN = {
     for r in (
         Redaction("bearer", _credentials("bearer", r"[\w+./~-]+={0,2}"), f"$1{REDACTED}", ("bearer",)),
         Redaction("basic-auth", _credentials("basic", r"(?:[a-z\d+/]{4}){2,}(?:[a-z\d+/]{2}==|[a-z\d+/]{3}=|\b)"), f"$1{REDACTED}", ("basic",)),
-        Redaction("secret-kv", rf"(?i)((?:{_SECRET_NAMES})[\"']?\s*[:=]\s*)(?:\[REDACTED\]|(\")(?:\\.|[^\"\\])+|(')(?:\\.|[^'\\])+|[^\s\"'&,;}})\]]+)", f"$1$2$3{REDACTED}", ("pass", "pwd", "secret", "token", "key")),
+        Redaction("secret-kv", _assigned(_JSON_STRING), f'$1"{REDACTED}$2', ("pass", "pwd", "secret", "token", "key"), ((_assigned(_SHELL_WORD), f"$1'{REDACTED}$2"), (_assigned(_BARE), f"$1{REDACTED}"))),
         Redaction("aws-key", r"\bA[KS]IA[A-Z\d]{16}\b", REDACTED, ("akia", "asia")),
-        Redaction("private-key", r"(?s)-{5}BEGIN (?:[A-Z\d]+ )*PRIVATE KEY-{5}.*?(?:-{5}END (?:[A-Z\d]+ )*PRIVATE KEY-{5}|\z)", REDACTED, ("private key",)),
+        Redaction("private-key", "|".join(_envelope(x) for x in _KEY_LABELS), REDACTED, ("private key",)),
         Redaction("url-userinfo", r"([A-Za-z][\w+.-]*://[^\s/?#:@\"'<>]*:)[^\s/?#\"'<>,;]+@", f"$1{REDACTED}@", ("://",)),
         Redaction("email", r"\b[\w.%+'-]+@(?:[A-Za-z\d-]+\.)+[A-Za-z]{2,}\b", REDACTED, ("@",)),
         Redaction("credit-card", rf"{_card(r'3[47][0-9]{2}', '[0-9]{6}', '[0-9]{5}')}|{_card('[0-9]{4}', '[0-9]{4}', '[0-9]{4}', '[0-9]{1,4}(?:[ -]?[0-9]{1,3})?')}"),
@@ -74,16 +105,33 @@ def redactions(names: list[str], own: list[Redaction] = ()) -> list[Redaction]:
 
 
 def scrub(text: Column, steps: list[Redaction]) -> Column:
-    """text after all redactions in order; they run only on lines that hold a word which one of them needs."""
-    done = text
-    for s in steps:
-        done = F.regexp_replace(done, s.pattern, s.replacement)
-    if not steps or not all(s.words for s in steps):
-        return done
-    low, some = F.lower(text), F.lit(False)
-    for w in dict.fromkeys(w for s in steps for w in s.words):
-        some = some | low.contains(w)
-    return F.when(some, done).otherwise(text)
+    """text after all redactions in order; each runs only on lines that hold one of its words."""
+
+    def redacted(line: Column, low: Column) -> Column:
+        # one-element arrays: what came out of a step is named once, so that steps don't multiply
+        now = F.array(line)
+        for s in steps:
+            some = F.lit(not s.words)
+            for w in s.words:
+                some = some | low.contains(w)
+
+            def step(x: Column, s: Redaction = s, some: Column = some) -> Column:
+                done = x
+                for pattern, replacement in s.forms:
+                    done = F.regexp_replace(done, pattern, replacement)
+                return F.when(some, done).otherwise(x)
+
+            now = F.transform(now, _one(step))
+        return now[0]
+
+    if not steps:
+        return text
+    return F.transform(F.array(text), lambda t: F.transform(F.array(F.lower(t)), lambda low: redacted(t, low))[0])[0]
+
+
+def _one(step: Callable[[Column], Column]) -> Callable[[Column], Column]:
+    """step as a function of one parameter."""
+    return lambda x: step(x)
 
 
 def scrub_counts(logs: DataFrame, steps: list[Redaction]) -> DataFrame:

@@ -29,9 +29,9 @@ _STEPS = logs.redactions(["defaults", "email"])
 
 
 def _scrubbed(steps: list[logs.Redaction], text: str = "body") -> str:
-    for s in steps:
-        quoted = s.pattern.replace("'", "''")
-        text = f"regexp_replace({text}, '{quoted}', '{s.replacement.replace('$', chr(92))}', 'g')"
+    for pattern, replacement in (f for s in steps for f in s.forms):
+        quoted, by = (x.replace("'", "''") for x in (pattern, replacement.replace("$", "\\")))
+        text = f"regexp_replace({text}, '{quoted}', '{by}', 'g')"
     return text
 
 

@@ -52,6 +52,14 @@ def test_line_times(spark):
     ("mongodb://u:p@ss@h:1/db?x=y@z", "mongodb://u:[REDACTED]@h:1/db?x=y@z"),
     ("-----BEGIN RSA PRIVATE KEY-----\nProc-Type: 4\n\nabc\n-----END RSA PRIVATE KEY----- rest", "[REDACTED] rest"),
     ("-----BEGIN PRIVATE KEY-----\nabc", "[REDACTED]"),
+    ("a -----BEGIN EC PRIVATE KEY-----\\nMHcC\\nAwE=\\n-----END EC PRIVATE KEY-----\\n b", "a [REDACTED]\\n b"),
+    ("-----BEGIN RSA PRIVATE KEY-----\nMHcC\n-----END EC PRIVATE KEY-----", "[REDACTED]\n-----END EC PRIVATE KEY-----"),
+    ("-----BEGIN OPENSSH PRIVATE KEY----- b3Bl bnNz -----END OPENSSH PRIVATE KEY----- {x}", "[REDACTED] {x}"),
+    ("-----BEGIN PUBLIC KEY-----\nabc\n-----END PUBLIC KEY-----", "-----BEGIN PUBLIC KEY-----\nabc\n-----END PUBLIC KEY-----"),
+    ("-----BEGIN PRIVATE KEY-----\nabc+/=\n{not: base64}", "[REDACTED]\n{not: base64}"),
+    ("token='a b' pwd=x&y=1 Secret => zé9; api-key:k", "token='[REDACTED]' pwd=[REDACTED]&y=1 Secret => [REDACTED]; api-key:[REDACTED]"),
+    ('{"password":"cut off', '{"password":"[REDACTED]'),
+    ("password=[REDACTED] token=", "password=[REDACTED] token="),
     ("from a.b+c@mail.example.org to us", "from [REDACTED] to us"),
     ("card 4111 1111 1111 1111 and 378282246310005, not 12345", "card [REDACTED] and [REDACTED], not 12345"),
 ])

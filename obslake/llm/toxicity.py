@@ -230,23 +230,24 @@ def _training_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
 def _terms(rows: DataFrame, n: dict[int, int]) -> dict[str, float]:
     """Telling words and the lower bounds of their log-odds; n: rows of each class."""
     words = F.regexp_extract_all(F.lower("text"), F.lit(r"([\p{L}]+)"))
-    pairs = rows.select("doc_id", "row", "toxic", F.explode(F.arrays_zip(words.alias("w"), F.concat(F.array(F.lit("")), words).alias("before"))).alias("p")).select(F.struct("doc_id", "row").alias("of"), "toxic", "p.w", "p.before").filter("w is not null")
-    by_word = pairs.groupBy("w").agg(
-        F.count_distinct(F.when(F.col("toxic") == 1, F.col("of"))).alias("p"),
-        F.count_distinct(F.when(F.col("toxic") == 0, F.col("of"))).alias("n"),
-        F.count_distinct(F.when(F.col("toxic") == 1, F.col("before"))).alias("neighbours"),
-    )
+    # a row's words once each, so that sums over rows are combined before they are shuffled
+    held = rows.select("toxic", F.explode(F.array_distinct(words)).alias("w")).filter(F.length("w") >= 3).groupBy("w").agg(F.sum("toxic").alias("p"), F.sum(1 - F.col("toxic")).alias("n"))
+    pairs = F.array_distinct(F.arrays_zip(words.alias("w"), F.concat(F.array(F.lit("")), words).alias("before")))
+    beside = rows.filter("toxic = 1").select(F.explode(pairs).alias("p")).select("p.w", "p.before").filter("w is not null").distinct().groupBy("w").agg(F.count("*").alias("neighbours"))
+    by_word = held.filter("p > 0").join(beside, "w")
     odds = F.log((F.col("p") + 0.5) / (n[1] + 1.0)) - F.log((F.col("n") + 0.5) / (n[0] + 1.0))
-    best = by_word.filter((F.col("neighbours") >= MIN_NEIGHBOURS) & (F.length("w") >= 3)).withColumn("odds", odds - Z * F.sqrt(1 / (F.col("p") + 0.5) + 1 / (F.col("n") + 0.5))).filter(F.col("odds") >= MIN_LOG_ODDS)
+    best = by_word.filter(F.col("neighbours") >= MIN_NEIGHBOURS).withColumn("odds", odds - Z * F.sqrt(1 / (F.col("p") + 0.5) + 1 / (F.col("n") + 0.5))).filter(F.col("odds") >= MIN_LOG_ODDS)
     return {r.w: round(r.odds, 6) for r in best.select("w", "odds").collect()}  # words of the sample: bounded by it
 
 
 def _beginnings(rows: DataFrame, n: dict[int, int]) -> dict[str, float]:
     """Telling beginnings of words and the evidence for each; n: rows of each class."""
     low, high = BEGINNING
-    words = rows.select("doc_id", "row", "toxic", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"([\p{L}]+)")))).alias("w")).filter(F.length("w") >= low)
-    starts = words.select("doc_id", "row", "toxic", F.explode(F.transform(F.sequence(F.lit(low), F.least(F.lit(high), F.length("w"))), lambda k: F.substring("w", F.lit(1), k))).alias("b"))
-    several = starts.groupBy("b", "doc_id", "row", "toxic").agg(F.count("*").alias("n")).filter("n >= 2")
+    words = F.filter(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"([\p{L}]+)"))), lambda w: F.length(w) >= low)
+    starts = F.flatten(F.transform(words, lambda w: F.transform(F.sequence(F.lit(low), F.least(F.lit(high), F.length(w))), lambda k: F.substring(w, F.lit(1), k))))
+    # within a row, what follows itself in order has two words at least
+    inside = rows.select("toxic", F.array_sort(starts).alias("b"))
+    several = inside.select("toxic", F.explode(F.array_distinct(F.filter("b", lambda x, i: (i > 0) & (x == F.get("b", i - 1))))).alias("b"))
     rate = n[1] / (n[0] + n[1])
     held = several.groupBy("b").agg(F.sum("toxic").cast("double").alias("p"), F.count("*").cast("double").alias("m")).withColumn("x", F.col("p") / F.col("m"))
     clean = F.when(F.col("x") < 1, (1 - F.col("x")) * F.log((1 - F.col("x")) / (1 - rate))).otherwise(0.0)

@@ -131,6 +131,7 @@ class Model:
     beginnings: dict[str, float] = field(default_factory=dict)
     _lexicon: FuzzyLexicon | None = field(default=None, repr=False, compare=False)
     _seen: dict = field(default_factory=dict, repr=False, compare=False)
+    _starts: frozenset = field(default=frozenset(), repr=False, compare=False)
 
     def __getstate__(self) -> dict:
         return self.__dict__ | {"_lexicon": None, "_seen": {}}
@@ -144,24 +145,32 @@ class Model:
 
     def _begins(self, word: str) -> str | None:
         """The shortest learned beginning of a word."""
+        if word[: BEGINNING[0]] not in self._starts:
+            return None
         return next((word[:n] for n in range(BEGINNING[0], min(BEGINNING[1], len(word)) + 1) if word[:n] in self.beginnings), None)
 
     def features(self, text: str | None) -> list[float]:
         """Evidence in a whole text: exact, fuzzy and quoted hits, different terms, hits a hundred words, address near a hit, all hits; weight and number of different words of learned beginnings, from the second on."""
         if self._lexicon is None:
             self._lexicon = FuzzyLexicon(self.weights)
+            self._starts = frozenset(b[: BEGINNING[0]] for b in self.beginnings)
         elif len(self._lexicon.sets) > STATES:
             self._lexicon = FuzzyLexicon(self.weights)
         seen, low = self._seen, (text or "").lower()
         if len(seen) > SEEN:
             seen.clear()
         words = _WORDS.findall(low)
-        hits = []
+        hits, begun = [], {}
         for w in set(words):
             if w not in seen:
-                seen[w] = (self._match(w), self._begins(w) if self.beginnings else None)
-            if seen[w] != (None, None):
+                seen[w] = (self._match(w), self._begins(w))
+            found, begins = seen[w]
+            if found:
                 hits.append(w)
+            if begins:
+                begun.setdefault(begins, []).append(w)
+        # one word of a beginning says nothing
+        hits += [w for ws in begun.values() if len(ws) > 1 for w in ws if not seen[w][0]]
         exact = fuzzy = quoted = address = total = 0.0
         terms, under = set(), {}
         if hits:
@@ -224,7 +233,8 @@ def _training_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(known), "doc_id")  # at most SAMPLE_ROWS ids
     # an id may have any number of rows: copies teach nothing, and of others no more are taken
     different = rows.groupBy("doc_id", F.xxhash64("text").alias("row")).agg(F.first("text").alias("text"), F.max((F.col("toxic") > 0).cast("int")).alias("toxic"))
-    return sample(different, "doc_id", "row", n=SAMPLE_ROWS)
+    # a limit leaves one partition
+    return sample(different, "doc_id", "row", n=SAMPLE_ROWS).repartition(32, "doc_id", "row")
 
 
 def _terms(rows: DataFrame, n: dict[int, int]) -> dict[str, float]:

@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import cluster_queries, fold_queries, incarnation_queries, log_queries, metric_queries, resource_queries, series_queries, source_queries, trace_queries
+from . import cluster_queries, fold_queries, incarnation_queries, log_queries, metric_queries, resource_queries, series_queries, source_queries, trace_queries, typed_queries
 from .views import with_views
 
-_MODULES = (trace_queries, log_queries, metric_queries, cluster_queries, source_queries, resource_queries, series_queries, fold_queries, incarnation_queries)
+_MODULES = (trace_queries, log_queries, metric_queries, cluster_queries, source_queries, resource_queries, series_queries, fold_queries, incarnation_queries, typed_queries)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

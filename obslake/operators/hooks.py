@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Iterator
+from itertools import groupby
+from typing import Any
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -64,26 +68,46 @@ def parsed_lines(logs: DataFrame, fn: Callable[[str], dict | None]) -> DataFrame
     return staged.withColumns({c: F.coalesce(f"_p.{c}", c) for c in ("body", "severity_text", "ts_us")}).drop("_p")
 
 
-def script_verdicts(spans: DataFrame, fn: Callable[[list[dict]], bool | None], most_spans: int = 10_000) -> DataFrame:
-    """(trace_id, verdict): fn over a trace's spans gives sample (True), veto (False) or null; an error is null.
+def _verdict(said: bool | None) -> str | None:
+    return None if said is None else "sample" if said else "veto"
 
-    A trace is one array, so its spans are counted first, and traces over most_spans have no verdict rather than a part of one.
-    """
-    counted = spans.groupBy("trace_id").agg(F.count("*").alias("_n"))
-    fit = spans.join(counted.filter(F.col("_n") <= most_spans).select("trace_id"), "trace_id", "left_semi")
-    traces = fit.groupBy("trace_id").agg(F.collect_list(F.to_json(F.struct(*(c for c in spans.columns if c != "trace_id")))).alias("spans"))
 
-    @F.pandas_udf("string")
-    def run(lists: pd.Series) -> pd.Series:
-        import json
+def script_folds(spans: DataFrame, begin: Callable[[], Any], step: Callable[[Any, dict], Any], end: Callable[[Any], bool | None]) -> DataFrame:
+    """(trace_id, verdict) of a script that reads a trace span by span: step(state, span) from begin(), then end(state) gives sample (True), veto (False) or null.
+
+    A task reads its spans in order of trace and holds one state, so a trace may have any number of spans. An error of the script makes its trace's verdict null.
+    """
+    rest = [c for c in spans.columns if c != "trace_id"]
+    texts = spans.select("trace_id", F.to_json(F.struct(*rest)).alias("span"))
 
-        def one(texts) -> str | None:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = (r for b in batches for r in zip(b.column(0).to_pylist(), b.column(1).to_pylist()))
+        done: list[tuple[str | None, str | None]] = []
+        for trace, own in groupby(rows, key=lambda r: r[0]):
             try:
-                said = fn([json.loads(t) for t in texts])
-            except Exception:  # noqa: BLE001  a user's function
-                return None
-            return None if said is None else "sample" if said else "veto"
+                state = begin()
+                for _, text in own:
+                    state = step(state, json.loads(text))
+                done.append((trace, _verdict(end(state))))
+            except Exception:  # noqa: BLE001  a user's function; groupby passes over the rest of its trace
+                done.append((trace, None))
+            if len(done) == 1000:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*done)], ["trace_id", "verdict"])
+                done = []
+        if done:
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*done)], ["trace_id", "verdict"])
 
-        return lists.map(one)
+    return texts.repartition("trace_id").sortWithinPartitions("trace_id").mapInArrow(run, "trace_id string, verdict string")
+
+
+def script_verdicts(spans: DataFrame, fn: Callable[[list[dict]], bool | None]) -> DataFrame:
+    """(trace_id, verdict): fn over all of a trace's spans gives sample (True), veto (False) or null; an error is null.
+
+    A worker holds one trace at a time. A script that needn't have the spans together is better given to script_folds().
+    """
+    
+    def add(held: list[dict], span: dict) -> list[dict]:
+        held.append(span)
+        return held
 
-    return traces.select("trace_id", run("spans").alias("verdict"))
+    return script_folds(spans, list, add, fn)

@@ -22,6 +22,14 @@ def test_scripts_decide_traces(spark):
     assert {r.trace_id: r.verdict for r in got.collect()} == {"a": "sample", "b": "veto", "c": None}
 
 
+def test_scripts_read_traces_of_any_length_span_by_span(spark):
+    spans = spark.range(60_000).select(F.lit("long").alias("trace_id"), F.col("id").alias("n")).unionByName(spark.createDataFrame([("b", 5), ("odd", None), (None, 1)], "trace_id string, n long"))
+    got = hooks.script_folds(spans, int, lambda total, s: total + s["n"], lambda total: total > 10 if total else None)
+    assert {r.trace_id: r.verdict for r in got.collect()} == {"long": "sample", "b": "veto", "odd": None, None: "veto"}
+    assert {r.trace_id: r.verdict for r in hooks.script_verdicts(spans, lambda s: len(s) == 60_000).collect()}["long"] == "sample"
+    assert hooks.script_folds(spans.limit(0), int, max, bool).count() == 0
+
+
 def test_emitted_metrics_are_declared(spark):
     seen = spark.createDataFrame([("m", "{}", "{}", 1, 2.0)], "metric string, labels string, resource_labels string, ts_us long, value double")
     assert hooks.with_emitted(seen, seen, [Metric("m")]).count() == 2

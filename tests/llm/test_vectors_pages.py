@@ -40,14 +40,25 @@ def test_top_k_is_that_of_all_rows(spark, frame, monkeypatch, blocks):
 
     rows = [(i, np.floor(256 * np.array(v, np.float64))) for i, v, _ in _rows() if _good(v)]
     want = []
-    for q, x in {i: v for i, v in rows if i % 7 == 0}.items():
-        scored = sorted((-int(x @ y), i) for i, y in rows if i != q and len(y) == len(x))[:5]
-        want += [(q, k, i, -s) for k, (s, i) in enumerate(scored, 1)]
+    # every row is a query of its own, and a candidate of all others, those with its id too
+    for own, (q, x) in enumerate(rows):
+        if q % 7 == 0:
+            scored = sorted((-int(x @ y), i) for other, (i, y) in enumerate(rows) if other != own and len(y) == len(x))[:5]
+            want += [(q, k, i, -s) for k, (s, i) in enumerate(scored, 1)]
     got = topk.top_k(frame, F.col("vec_id") % 7 == 0)
     assert sorted(tuple(r) for r in got.select("query_id", "rank", "vec_id", "score").collect()) == sorted(want)
     assert topk.top_k(frame.limit(0), F.lit(True)).count() == 0
 
 
+def test_rows_of_one_id_are_queries_and_candidates(spark):
+    from pyspark.sql import functions as F
+
+    rows = spark.createDataFrame([(0, [1.0, 0.0], 0), (0, [0.0, 1.0], 0), (1, [1.0, 1.0], 0), (0, [0.0, 1.0], 0)], VECTORS)
+    got = sorted((r.rank, r.vec_id, r.score) for r in topk.top_k(rows, F.col("vec_id") == 0, 2).collect())
+    # the first meets 1 and a 0 that is orthogonal; the two equal ones meet each other and 1
+    assert got == [(1, 0, 65536), (1, 0, 65536), (1, 1, 65536), (2, 0, 0), (2, 1, 65536), (2, 1, 65536)]
+
+
 def test_top_k_prunes_from_coarse_to_fine():
     r = np.random.default_rng(8)
     rows = np.floor(r.normal(0, 40, (6000, 64)) + r.normal(0, 120, (6000, 1)))

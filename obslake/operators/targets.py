@@ -105,3 +105,54 @@ def explain(pods: DataFrame, targets: DataFrame) -> DataFrame:
     out = reasons(pods).join(n, F.col("uid") == F.col("pod_uid"), "left")
     note = F.when(F.size("reasons") > 0, F.array_join("reasons", ", ")).when(F.coalesce("n_targets", F.lit(0)) > 0, "scraped").when(F.coalesce(F.col("annotations")[SCRAPE], F.lit("")) != "true", "not opted in").otherwise("no port")
     return out.select("uid", note.alias("note"), F.coalesce("n_targets", F.lit(0)).alias("n_targets"))
+
+
+#: Verdicts of explain_targets().
+TARGET, DUPLICATE, CEILING, NO_PORT, BAD_PORT, EMPTY_LIST, NOT_OPTED_IN = "target", "the same target as another", "over the ceiling", "no such port", "not a port number", "nothing listed", "not opted in"
+
+
+def _judged(wanted: Column, ports: Column) -> Column:
+    """Struct entry, port, verdict (null: a candidate) of a port's number or name."""
+    port = _resolved(wanted, ports)
+    bad = F.when(wanted.rlike(r"^\d+$") & ~F.coalesce(port.between(1, 65535), F.lit(False)), BAD_PORT).when(port.isNull(), NO_PORT)
+    return F.struct(wanted.alias("entry"), port.alias("port"), bad.alias("verdict"))
+
+
+def _pod_entries(pods: DataFrame) -> DataFrame:
+    """Each port that a pod's annotation lists, or that it declares where there is no annotation; one row without port for pods that have none or didn't opt in."""
+    listed = F.filter(F.transform(F.split(F.col("annotations")[PORT], ","), lambda t: F.trim(t)), lambda t: t != "")
+    declared = F.transform("ports", lambda p: F.struct(p["port"].cast("string").alias("entry"), p["port"].alias("port"), F.lit(None).cast("string").alias("verdict")))
+    annotated = F.trim(F.coalesce(F.col("annotations")[PORT], F.lit(""))) != ""
+    entries = F.when(annotated, F.transform(listed, lambda t: _judged(t, F.col("ports")))).otherwise(declared)
+    none = lambda why: F.array(F.struct(F.lit("").alias("entry"), F.lit(None).cast("int").alias("port"), F.lit(why).alias("verdict")))
+    said = F.when(~F.coalesce(F.col("annotations")[SCRAPE] == "true", F.lit(False)), none(NOT_OPTED_IN)).when(annotated & (F.size(listed) == 0), none(EMPTY_LIST)).when(F.size(entries) == 0, none(NO_PORT)).otherwise(entries)
+    return pods.select(F.col("uid").alias("pod_uid"), F.lit("pod").alias("source"), F.lit("").alias("subject"), "ip", "annotations", F.posexplode(said).alias("pos", "e"))
+
+
+def explain_targets(pods: DataFrame, services: DataFrame, selected: DataFrame, monitored: DataFrame, monitors: DataFrame, most: int = MOST_TARGETS) -> DataFrame:
+    """(pod_uid, source, subject, entry, port, url, verdict): what became of every port entry of a pod, of every service that selects it, and of every monitor.
+
+    verdict: target, or why it is none: the pod's own reasons, what is wrong with the entry, an earlier source with the same URL, or the ceiling of `most` targets a pod.
+    The targets are those of dedupe_targets(): of one URL the monitor's before the pod's before a service's, then the first by subject and place. Every pod has a
+    row at least, since it is asked for its own annotation. subject: the service's or monitor's name.
+    """
+    own = _pod_entries(pods)
+    places = pods.select(F.col("uid").alias("pod_uid"), "ip", "ports")
+    s = services.select(F.col("uid").alias("service_uid"), F.col("name").alias("subject"), "target_port", "annotations")
+    in_ = F.coalesce(F.col("annotations")[SCRAPE] == "true", F.lit(False))
+    refused = F.struct(F.col("target_port").alias("entry"), F.lit(None).cast("int").alias("port"), F.lit(NOT_OPTED_IN).alias("verdict"))
+    of_services = selected.join(s, "service_uid").join(places, "pod_uid").select("pod_uid", F.lit("service").alias("source"), "subject", "ip", "annotations", F.lit(0).alias("pos"), F.when(in_, _judged(F.col("target_port"), F.col("ports"))).otherwise(refused).alias("e"))
+    marks = F.create_map(F.lit(PATH), F.coalesce("path", F.lit("")), F.lit(SCHEME), F.coalesce("scheme", F.lit("http")))
+    watched = monitored.join(monitors, "monitor").join(places, F.col("uid") == F.col("pod_uid"))
+    of_monitors = watched.select("pod_uid", F.lit("monitor").alias("source"), F.col("monitor").alias("subject"), "ip", marks.alias("annotations"), F.lit(0).alias("pos"), _judged(F.col("port"), F.col("ports")).alias("e"))
+    rows = own.unionByName(of_services).unionByName(of_monitors)
+    why = reasons(pods).select(F.col("uid").alias("pod_uid"), F.array_join("reasons", ", ").alias("_why"))
+    rows = rows.join(why, "pod_uid").select("pod_uid", "source", "subject", "pos", "e.entry", "e.port", F.coalesce("e.verdict", F.nullif("_why", F.lit(""))).alias("verdict"), F.when(F.col("e.port").isNotNull() & F.col("e.verdict").isNull(), _url(F.col("ip"), F.col("e.port"), F.col("annotations"))).alias("url"))
+    open_ = F.col("verdict").isNull()
+    order = F.when(F.col("source") == "monitor", 0).when(F.col("source") == "pod", 1).otherwise(2)
+    first = F.row_number().over(Window.partitionBy("pod_uid", "url", open_).orderBy(order, "subject", "pos", "entry"))
+    ranked = rows.withColumn("_first", F.when(open_, first))
+    nth = F.sum(F.when(F.col("_first") == 1, 1).otherwise(0)).over(Window.partitionBy("pod_uid").orderBy("url").rangeBetween(Window.unboundedPreceding, Window.currentRow))
+    ranked = ranked.withColumn("_nth", nth)
+    verdict = F.coalesce("verdict", F.when(F.col("_first") > 1, DUPLICATE).when(F.col("_nth") > most, CEILING).otherwise(TARGET))
+    return ranked.select("pod_uid", "source", "subject", "entry", "port", "url", verdict.alias("verdict"))

@@ -261,6 +261,43 @@ SELECT CASE WHEN why <> '' THEN why WHEN n > 0 THEN 'scraped' WHEN coalesce(scra
 """
 
 
+def _monitor_table(spark: SparkSession) -> DataFrame:
+    rows = F.array(*(F.struct(F.lit(m).alias("monitor"), F.lit(p).alias("port"), F.lit("").alias("path"), F.lit(s).alias("scheme")) for m, p, s in (("apps", "metrics", "http"), ("some", "metrics", "https"), ("all", "9100", "http"))))
+    return spark.range(1).select(F.inline(rows))
+
+
+def target_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What became of every port entry, service and monitor of each pod."""
+    pods, services = _pods(spark, sf_dir), _services(spark, sf_dir)
+    odd = F.when(F.col("pod_no") % 17 == 0, F.map_concat(F.map_filter("annotations", lambda k, v: k != tg.PORT), F.create_map(F.lit(tg.PORT), F.lit("70000, gone ,,http,8080")))).otherwise(F.col("annotations"))
+    out = tg.explain_targets(pods.withColumn("annotations", odd), services, k8s.select_pods(services, pods), k8s.monitored(pods, _MONITORS), _monitor_table(spark), 2)
+    return out.select("pod_uid", "source", "subject", "entry", F.coalesce("port", F.lit(-1)).alias("port"), F.coalesce("url", F.lit("")).alias("url"), "verdict")
+
+
+SQL["target_verdicts"] = f"""
+WITH {_SELECTED}, {_MONITORED},
+p AS (SELECT *, concat_ws(', ', CASE WHEN ip = '' THEN 'no address' END, CASE WHEN terminating THEN 'terminating' END, CASE WHEN phase IN ('Succeeded', 'Failed') THEN 'phase ' || phase END) AS why FROM v_pods),
+entries AS (
+  SELECT uid AS pod_uid, 'pod' AS source, '' AS subject, 1 AS rank, i AS pos, CASE WHEN path_annotation = 'stats' THEN '/stats' ELSE coalesce(path_annotation, '/metrics') END AS path, 'http' AS scheme, l[i] AS entry,
+    CASE l[i] WHEN 'metrics' THEN {_METRICS} WHEN 'http' THEN CASE WHEN pod_no % 4 <> 0 THEN 80 END WHEN 'gone' THEN NULL ELSE try_cast(l[i] AS INT) END AS port, coalesce(scrape_annotation, '') <> 'true' AS out_
+  FROM (SELECT *, CASE WHEN coalesce(scrape_annotation, '') <> 'true' THEN [''] WHEN pod_no % 17 = 0 THEN ['70000', 'gone', 'http', '8080'] WHEN pod_no % 5 = 0 THEN ['8080', 'metrics'] WHEN pod_no % 5 = 1 THEN ['metrics']
+      WHEN pod_no % 5 = 2 THEN ['9090'] ELSE [x::VARCHAR for x in {_PORTS}] END AS l FROM p), range(1, 5) r(i) WHERE i <= len(l)
+  UNION ALL SELECT pod_uid, 'service', service, 2, 0, '/metrics', 'http', target_port, CASE WHEN svc_scrape = 'true' THEN CASE target_port WHEN '8080' THEN 8080 ELSE {_METRICS} END END, coalesce(svc_scrape, '') <> 'true'
+  FROM selected JOIN p ON p.uid = pod_uid
+  UNION ALL SELECT uid, 'monitor', monitor, 0, 0, '/metrics', CASE monitor WHEN 'some' THEN 'https' ELSE 'http' END, CASE monitor WHEN 'all' THEN '9100' ELSE 'metrics' END, CASE monitor WHEN 'all' THEN 9100 ELSE {_METRICS} END, false
+  FROM monitored JOIN p USING (uid)),
+said AS (
+  SELECT e.*, CASE WHEN out_ THEN 'not opted in' WHEN port NOT BETWEEN 1 AND 65535 THEN 'not a port number' WHEN port IS NULL THEN 'no such port' END AS base, nullif(why, '') AS why,
+    CASE WHEN port BETWEEN 1 AND 65535 AND NOT out_ THEN scheme || '://' || ip || ':' || port || path END AS url
+  FROM entries e JOIN p ON p.uid = e.pod_uid),
+firsts AS (SELECT *, base IS NULL AND why IS NULL AS candidate, row_number() OVER (PARTITION BY pod_uid, url, base IS NULL AND why IS NULL ORDER BY rank, subject, pos, entry) AS f FROM said),
+nths AS (SELECT pod_uid, url, row_number() OVER (PARTITION BY pod_uid ORDER BY url) AS nth FROM firsts WHERE candidate AND f = 1)
+SELECT pod_uid, source, subject, entry, coalesce(port, -1) AS port, coalesce(f.url, '') AS url,
+  CASE WHEN NOT candidate THEN coalesce(base, why) WHEN f > 1 THEN 'the same target as another' WHEN nth > 2 THEN 'over the ceiling' ELSE 'target' END AS verdict
+FROM firsts f LEFT JOIN nths USING (pod_uid, url)
+"""
+
+
 def merged_monitors(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _monitor_targets(spark, sf_dir).withColumn("url", F.replace("url", F.lit("https:"), F.lit("http:")))
     interval = F.when(F.col("monitor") == "apps", 30_000).when(F.col("monitor") == "some", 15_000)

@@ -100,6 +100,36 @@ UNION ALL SELECT 's' || (o_custkey % 5), 'in', 'SERVER', 'UNSET', 'a', 'true', c
 """
 
 
+_OTLP_POINTS = """concat('{"resourceMetrics":[{"resource":{"attributes":[{"key":"service.name","value":{"stringValue":"s', o_custkey % 5, '"}}]},"scopeMetrics":[{"scope":{"name":"sc"},"metrics":[',
+  '{"name":"price","unit":"1","gauge":{"dataPoints":[{"timeUnixNano":"', o_orderkey, '","asDouble":', o_custkey, '.5}]}},',
+  '{"name":"keys","sum":{"aggregationTemporality":2,"isMonotonic":true,"dataPoints":[{"timeUnixNano":"', o_orderkey, '","asInt":"', o_orderkey, '","flags":', o_orderkey % 2, '}]}},',
+  '{"name":"sizes","histogram":{"aggregationTemporality":"AGGREGATION_TEMPORALITY_DELTA","dataPoints":[{"timeUnixNano":"', o_orderkey, '","count":"3","sum":1.5,"bucketCounts":["1","2"],"explicitBounds":[', o_custkey, '],"attributes":[{"key":"c","value":{"intValue":"', o_custkey, '"}}]}]}},',
+  '{"name":"fine","exponentialHistogram":{"dataPoints":[{"timeUnixNano":"', o_orderkey, '","count":"', o_orderkey, '","scale":2,"positive":{"offset":-1,"bucketCounts":["', o_orderkey, '","0"]}}]}},',
+  '{"name":"parts","summary":{"dataPoints":[{"timeUnixNano":"', o_orderkey, '","count":"2","sum":4,"quantileValues":[{"quantile":0.5,"value":', o_custkey, '}]}]}}]}]}]}')"""
+
+
+def otlp_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Points of every shape from each order's export request."""
+    out = readers.otlp_points(_json(spark, sf_dir, "orders", _OTLP_POINTS))
+    listed = lambda c: F.coalesce(F.array_join(c, ","), F.lit(""))
+    return out.select(
+        F.col("ts_ns"), "name", "type", "is_monotonic", "temporality", "no_value", "value", "int_value", "count", "sum", listed(F.transform("bounds", lambda b: b.cast("long"))).alias("bounds"), listed("bucket_counts").alias("buckets"),
+        "scale", "zero_count", listed("positive_counts").alias("positive"), F.get("quantiles", F.lit(0))["v"].alias("median"), F.col("resource")["service.name"].alias("service"), F.coalesce(F.col("labels")["c"], F.lit("")).alias("c"),
+    )
+
+
+SQL["otlp_points"] = """
+WITH s AS (
+  SELECT *, 'price' AS name, 'gauge' AS type, 'unspecified' AS temporality FROM orders UNION ALL SELECT *, 'keys', 'sum', 'cumulative' FROM orders
+  UNION ALL SELECT *, 'sizes', 'histogram', 'delta' FROM orders UNION ALL SELECT *, 'fine', 'exponential', 'unspecified' FROM orders UNION ALL SELECT *, 'parts', 'summary', 'unspecified' FROM orders)
+SELECT o_orderkey AS ts_ns, name, type, type = 'sum' AS is_monotonic, temporality, type = 'sum' AND o_orderkey % 2 = 1 AS no_value, CASE type WHEN 'gauge' THEN o_custkey + 0.5::DOUBLE WHEN 'sum' THEN o_orderkey::DOUBLE END AS value,
+  CASE type WHEN 'sum' THEN o_orderkey END AS int_value, CASE type WHEN 'histogram' THEN 3 WHEN 'exponential' THEN o_orderkey WHEN 'summary' THEN 2 END AS count, CASE type WHEN 'histogram' THEN 1.5::DOUBLE WHEN 'summary' THEN 4::DOUBLE END AS sum,
+  CASE type WHEN 'histogram' THEN o_custkey::VARCHAR ELSE '' END AS bounds, CASE type WHEN 'histogram' THEN '1,2' ELSE '' END AS buckets, CASE type WHEN 'exponential' THEN 2 END AS scale, CASE type WHEN 'exponential' THEN 0 END AS zero_count,
+  CASE type WHEN 'exponential' THEN o_orderkey || ',0' ELSE '' END AS positive, CASE type WHEN 'summary' THEN o_custkey::DOUBLE END AS median, 's' || (o_custkey % 5) AS service, CASE type WHEN 'histogram' THEN o_custkey::VARCHAR ELSE '' END AS c
+FROM s
+"""
+
+
 def log_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     h = F.md5(F.col("o_orderkey").cast("string"))
     path = F.concat(F.lit("/var/log/"), F.when(F.col("o_orderkey") % 3 == 0, "pods/web-").otherwise("app/w-"), (F.col("o_custkey") % 5).cast("string"), F.lit("_team-"), (F.col("o_orderkey") % 4).cast("string"), F.lit("_main-"), h, h, F.lit(".log"))

@@ -219,3 +219,73 @@ def otlp_spans(raw: DataFrame, column: str = "value") -> DataFrame:
         F.col("e.traceId").alias("trace_id"), F.col("e.spanId").alias("span_id"), F.coalesce("e.parentSpanId", F.lit("")).alias("parent_span_id"), F.coalesce(F.col("resource")["service.name"], F.lit("")).alias("service"),
         F.col("e.name").alias("name"), named(KINDS, F.col("e.kind")).alias("kind"), named(CODES, F.col("e.status.code")).alias("status"), F.col("e.startTimeUnixNano").cast("long").alias("start_ns"), F.col("e.endTimeUnixNano").cast("long").alias("end_ns"), _kv_map(F.col("e.attributes")).alias("attrs"), "resource",
     )
+
+
+#: Aggregation temporalities by number; exporters write the number or the name.
+TEMPORALITIES = ("unspecified", "delta", "cumulative")
+
+_POINT = f"attributes:{_KVS},startTimeUnixNano:string,timeUnixNano:string,flags:int"
+_SIDE = "struct<offset:int,bucketCounts:array<string>>"
+#: Members of each shape's data points beside _POINT.
+_SHAPES = {
+    "gauge": "asDouble:double,asInt:string",
+    "sum": "asDouble:double,asInt:string",
+    "histogram": "count:string,sum:double,min:double,max:double,bucketCounts:array<string>,explicitBounds:array<double>",
+    "exponentialHistogram": f"count:string,sum:double,min:double,max:double,scale:int,zeroCount:string,positive:{_SIDE},negative:{_SIDE}",
+    "summary": "count:string,sum:double,quantileValues:array<struct<quantile:double,value:double>>",
+}
+#: Columns of a point besides what all have.
+_POINT_COLUMNS = {
+    "value": "double", "int_value": "long", "count": "long", "sum": "double", "min": "double", "max": "double", "bounds": "array<double>", "bucket_counts": "array<long>", "scale": "int",
+    "zero_count": "long", "positive_offset": "int", "positive_counts": "array<long>", "negative_offset": "int", "negative_counts": "array<long>", "quantiles": "array<struct<q:double,v:double>>",
+}
+
+
+def otlp_points(raw: DataFrame, column: str = "value") -> DataFrame:
+    """Data points of OTLP JSON export requests, one a row, in one shape for gauges, sums, histograms, exponential histograms and summaries.
+
+    resource, scope, name, description, unit, type, is_monotonic, temporality, start_ns, ts_ns, no_value (the flag for a point without a recorded value), labels, and what
+    the type has of value (also of whole numbers), int_value, count, sum, min, max, bounds, bucket_counts, scale, zero_count, positive and negative offsets and counts, and quantiles;
+    the rest is null. A temporality that isn't known is unspecified. What isn't JSON, and metrics without points, give no rows.
+    """
+    shapes = ",".join(f"{n}:struct<aggregationTemporality:string,isMonotonic:boolean,dataPoints:array<struct<{_POINT},{m}>>>" for n, m in _SHAPES.items())
+    schema = f"resourceMetrics array<struct<resource:struct<attributes:{_KVS}>,scopeMetrics:array<struct<scope:struct<name:string>,metrics:array<struct<name:string,description:string,unit:string,{shapes}>>>>>>"
+    r = raw.select(F.explode(F.from_json(column, schema)["resourceMetrics"]).alias("r"))
+    s = r.select(_kv_map(F.col("r.resource.attributes")).alias("resource"), F.explode("r.scopeMetrics").alias("s"))
+    m = s.select("resource", F.col("s.scope.name").alias("scope"), F.explode("s.metrics").alias("m"))
+    longs = lambda c: F.transform(c, lambda x: x.cast("long"))
+
+    def points(shape: str) -> Column:
+        own = F.col(f"m.{shape}")
+        has = _SHAPES[shape]
+
+        def one(p: Column) -> Column:
+            given: dict[str, Column] = {}
+            if "asInt" in has:
+                given |= {"value": F.coalesce(p["asDouble"], p["asInt"].cast("double")), "int_value": p["asInt"].cast("long")}
+            else:
+                given |= {"count": p["count"].cast("long"), "sum": p["sum"]}
+            if "min" in has:
+                given |= {"min": p["min"], "max": p["max"]}
+            if "explicitBounds" in has:
+                given |= {"bounds": p["explicitBounds"], "bucket_counts": longs(p["bucketCounts"])}
+            if "zeroCount" in has:
+                given |= {"scale": p["scale"], "zero_count": F.coalesce(p["zeroCount"].cast("long"), F.lit(0).cast("long"))}
+                for side in ("positive", "negative"):
+                    given |= {f"{side}_offset": p[side]["offset"], f"{side}_counts": longs(p[side]["bucketCounts"])}
+            if "quantile" in has:
+                given["quantiles"] = F.transform(p["quantileValues"], lambda q: F.struct(q["quantile"].alias("q"), q["value"].alias("v")))
+            named = own["aggregationTemporality"]
+            temporality = F.when(named.isin("1", "AGGREGATION_TEMPORALITY_DELTA"), TEMPORALITIES[1]).when(named.isin("2", "AGGREGATION_TEMPORALITY_CUMULATIVE"), TEMPORALITIES[2]).otherwise(TEMPORALITIES[0])
+            return F.struct(
+                F.lit({"exponentialHistogram": "exponential"}.get(shape, shape)).alias("type"), F.coalesce(own["isMonotonic"], F.lit(False)).alias("is_monotonic"),
+                (F.lit(TEMPORALITIES[0]) if shape in ("gauge", "summary") else temporality).alias("temporality"),
+                p["startTimeUnixNano"].cast("long").alias("start_ns"), p["timeUnixNano"].cast("long").alias("ts_ns"),
+                F.coalesce(p["flags"].bitwiseAND(1) == 1, F.lit(False)).alias("no_value"), _kv_map(p["attributes"]).alias("labels"),
+                *(given.get(c, F.lit(None)).cast(t).alias(c) for c, t in _POINT_COLUMNS.items()),
+            )
+
+        return F.transform(F.coalesce(own["dataPoints"], F.array().cast(f"array<struct<{_POINT},{has}>>")), one)
+
+    every = F.concat(*(points(n) for n in _SHAPES))
+    return m.select("resource", "scope", F.col("m.name").alias("name"), F.coalesce("m.description", F.lit("")).alias("description"), F.coalesce("m.unit", F.lit("")).alias("unit"), F.inline(every))

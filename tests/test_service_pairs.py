@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from obslake.operators import kubernetes as k8s
+from obslake.operators import targets as tg
 
 
 def _cluster(spark, n_services, n_pods):
@@ -32,3 +33,25 @@ def test_selectors_against_labels(spark):
     pods = spark.createDataFrame([("p", "n", {"x": "1"}), ("q", "n", {"y": "2", "x": "1"}), ("r", "n", {"x": None}), ("s", None, {"x": "1"}), ("t", "n", None), ("q", "n", {"x": "1"})], "uid string, namespace string, labels map<string,string>")
     got = sorted(tuple(r) for r in k8s.select_pods(services, pods).collect())
     assert got == sorted([(s, p) for s in ("a", "a2") for p in ("p", "q", "q")] + [("b", "q")])
+
+
+PODS = "uid string, name string, namespace string, ip string, phase string, terminating boolean, host_network boolean, annotations map<string,string>, ports array<struct<name:string,port:int>>, labels map<string,string>"
+SERVICES = "uid string, name string, namespace string, target_port string, annotations map<string,string>, selector map<string,string>"
+
+
+def _many(spark, n_services, n_pods):
+    yes = {tg.SCRAPE: "true"}
+    pods = [(f"p{i:04}", f"p{i:04}", "ns", f"1.1.{i // 200}.{i % 200}", "Running", i % 5 == 4, False, yes if i % 3 == 0 else {}, [("http", 80), ("metrics", 9100)], {"app": "web"}) for i in range(n_pods)]
+    services = [(f"u{i:04}", f"s{(i * 7) % n_services:04}", "ns", ("http", "9100", "gone")[i % 3], yes if i % 2 == 0 else {}, {"app": "web"}) for i in range(n_services)]
+    return spark.createDataFrame(services, SERVICES).coalesce(1), spark.createDataFrame(pods, PODS).coalesce(1)
+
+
+def test_targets_of_services_that_are_alike(spark, monkeypatch):
+    monkeypatch.setattr(k8s, "_BLOCK", 50)
+    services, pods = _many(spark, 1200, 700)
+    share, n = _largest_share(tg.all_service_targets(services, pods))
+    assert n == 2 * 200 * 560 and share < 0.7
+    services, pods = _many(spark, 24, 30)
+    want = tg.service_targets(services, pods, k8s.select_pods(services, pods))
+    got = tg.all_service_targets(services, pods)
+    assert want.columns == got.columns and sorted(map(tuple, got.drop("source").collect())) == sorted(map(tuple, want.drop("source").collect()))

@@ -55,3 +55,11 @@ def test_targets_of_services_that_are_alike(spark, monkeypatch):
     want = tg.service_targets(services, pods, k8s.select_pods(services, pods))
     got = tg.all_service_targets(services, pods)
     assert want.columns == got.columns and sorted(map(tuple, got.drop("source").collect())) == sorted(map(tuple, want.drop("source").collect()))
+
+
+def test_leads_give_the_targets_of_all(spark):
+    services, pods = _many(spark, 24, 30)
+    leads = tg.leading(tg.alike(services))
+    assert leads.count() == 6
+    one = lambda s: sorted(map(tuple, tg.dedupe_targets(tg.service_targets(s, pods, k8s.select_pods(s, pods))).collect()))
+    assert one(leads) == one(services) != []

@@ -63,3 +63,13 @@ def test_leads_give_the_targets_of_all(spark):
     assert leads.count() == 6
     one = lambda s: sorted(map(tuple, tg.dedupe_targets(tg.service_targets(s, pods, k8s.select_pods(s, pods))).collect()))
     assert one(leads) == one(services) != []
+
+
+def test_verdicts_of_services_that_are_alike(spark):
+    services, pods = _many(spark, 24, 30)
+    watched, monitors = pods.select("uid", F.lit("m").alias("monitor")).filter("uid < 'p0006'"), spark.createDataFrame([("m", "http", "", "http")], "monitor string, port string, path string, scheme string")
+    for most in (1, 16):
+        want = tg.explain_targets(pods, services, k8s.select_pods(services, pods), watched, monitors, most)
+        got = tg.explain_all_targets(pods, services, watched, monitors, most)
+        plain = lambda d: sorted(tuple(map(str, r)) for r in d.select(*want.columns).collect())
+        assert plain(got) == plain(want)

@@ -39,7 +39,8 @@ def _folded(df: DataFrame, unit: str, order: list[str], inputs: list[str], outpu
             columns = [pa.array(c, t) for c, t in zip(zip(*out), types)] if out else [pa.array([], t) for t in types]
             yield pa.RecordBatch.from_arrays([*batch.columns, *columns], [*names, *(n for n, _ in outputs)])
 
-    return df.repartition(unit).sortWithinPartitions(unit, *order).mapInArrow(run, schema)
+    # dealt by a hash of the unit: an exchange by the unit itself would be left out after a join on it, which may then read its own exchange in another order
+    return df.repartition(F.xxhash64(unit)).sortWithinPartitions(unit, *order).mapInArrow(run, schema)
 
 
 def token_bucket(rows: DataFrame, rate: float, at_us: str, order: list[str], size: Column | None = None, keys: tuple[str, ...] = (), burst: float | None = None, debt: bool = True) -> DataFrame:

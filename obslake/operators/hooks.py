@@ -97,7 +97,8 @@ def script_folds(spans: DataFrame, begin: Callable[[], Any], step: Callable[[Any
         if done:
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*done)], ["trace_id", "verdict"])
 
-    return texts.repartition("trace_id").sortWithinPartitions("trace_id").mapInArrow(run, "trace_id string, verdict string")
+    # by a hash, so that the exchange stays where the spans come from a join on trace_id
+    return texts.repartition(F.xxhash64("trace_id")).sortWithinPartitions("trace_id").mapInArrow(run, "trace_id string, verdict string")
 
 
 def script_verdicts(spans: DataFrame, fn: Callable[[list[dict]], bool | None]) -> DataFrame:

@@ -6,19 +6,22 @@ reads sorted rows one by one and holds a state of constant (a throttle: bounded)
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections import OrderedDict
 from collections.abc import Callable, Iterator
 from fractions import Fraction
 from math import lcm
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 _WIDE = "decimal(38,0)"
-#: Blocks of time that window functions see at once, in times that a bucket takes to fill.
-_FILLS = 16
+#: Ticks in the time that a bucket takes to fill; blocks of time that window functions see at once, in such times.
+_TICKS, _FILLS = 4, 16
 
 
 def _folded(df: DataFrame, unit: str, order: list[str], inputs: list[str], outputs: list[tuple[str, T.DataType]], begin: Callable[[], Callable]) -> DataFrame:
@@ -49,9 +52,9 @@ def token_bucket(rows: DataFrame, rate: float, at_us: str, order: list[str], siz
     A row of size n (default 1) is admitted if the bucket holds min(n, burst) tokens and is charged n, so one larger than the bucket leaves a debt that later
     rows wait for; without debt it has to hold all n. Refused rows are charged nothing. Rows are taken by time, then `order`; a null time is 0, a null or negative size 0.
 
-    A bucket that had been charged for every row offered is never fuller than the real one. Where that one is full, the real one is, and what follows is
-    a stretch of its own; where it would have admitted all rows of a stretch, so does the real one. Both are running sums and minima, computed in blocks of time
-    and over the blocks. Only stretches with a row in doubt are folded, each for itself.
+    A bucket that had been charged for every row offered is never fuller than the real one. Where that one is surely full at the first row of a tick (a part of the time that a
+    bucket takes to fill), the real one is, and what follows is a stretch that is folded for itself. What a key is offered is summed up tick by tick, in blocks of
+    ticks and over the blocks, so rows are moved only to be folded, and to find their stretch where blocks are too many to be broadcast.
     """
     rate_, burst_ = Fraction(rate).limit_denominator(10**6), Fraction(max(1, rate) if burst is None else burst).limit_denominator(10**6)
     if rate_ <= 0 or burst_ <= 0:
@@ -60,47 +63,57 @@ def token_bucket(rows: DataFrame, rate: float, at_us: str, order: list[str], siz
     # a token is `token` parts; `gain` parts come in a microsecond
     token, gain = per * 10**6, int(rate_ * per)
     full = int(burst_ * token)
-    span = max(1, full // gain) * _FILLS
+    tick = max(1, full // gain // _TICKS)
     own = rows.columns
     n = F.greatest(F.coalesce(F.lit(1) if size is None else size, F.lit(0)).cast("long"), F.lit(0))
     base = rows.withColumns({"_at": F.coalesce(F.col(at_us).cast("long"), F.lit(0)), "_n": n, "_key": F.struct(*(keys or (F.lit(0).alias("all"),)))})
-    base = base.withColumn("_block", F.floor(F.col("_at") / span))
-    inside = Window.partitionBy("_key", "_block").orderBy("_at", *order)
-    earlier = inside.rowsBetween(Window.unboundedPreceding, -1)
-    offered = F.coalesce(F.sum("_n").over(earlier), F.lit(0)).cast(_WIDE) * token
-    base = base.withColumn("_w", (offered - (F.col("_at") - F.col("_block") * span) * gain).cast(_WIDE))
-    base = base.withColumn("_low", F.min("_w").over(earlier))
-    sums = base.groupBy("_key", "_block").agg(F.sum("_n").cast(_WIDE).alias("_sum"), F.min("_w").alias("_least"))
+    base = base.withColumn("_tick", F.floor(F.col("_at") / tick)).withColumn("_block", F.floor(F.col("_tick") / (_TICKS * _FILLS)))
+    ticks = base.groupBy("_key", "_block", "_tick").agg(F.sum("_n").cast(_WIDE).alias("_sum"), F.min("_at").alias("_first"), F.max("_at").alias("_last"))
+    earlier = Window.partitionBy("_key", "_block").orderBy("_tick").rowsBetween(Window.unboundedPreceding, -1)
+    offered = (F.coalesce(F.sum("_sum").over(earlier), F.lit(0)) * token).cast(_WIDE)
+    # of the first row, and no more than that of any row of the tick
+    ticks = ticks.withColumn("_w", (offered - F.col("_first").cast(_WIDE) * gain).cast(_WIDE)).withColumn("_least", (F.col("_w") - (F.col("_last") - F.col("_first")).cast(_WIDE) * gain).cast(_WIDE))
+    ticks = ticks.withColumn("_low", F.min("_least").over(earlier))
+    # whether the bucket is full at the tick if it was at the block's begin, and what the blocks before may have left at most for that
+    full_at = F.when(F.col("_low").isNull() | (F.col("_w") <= F.col("_low")), F.struct("_tick", "_w"))
+    blocks = ticks.groupBy("_key", "_block").agg(F.sum("_sum").cast(_WIDE).alias("_sum"), F.min("_least").alias("_least"), F.collect_list(full_at).alias("_full"))
     before = Window.partitionBy("_key").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    sums = sums.withColumn("_base", (F.coalesce(F.sum("_sum").over(before), F.lit(0)) * token - F.col("_block").cast(_WIDE) * (span * gain)).cast(_WIDE))
-    sums = sums.withColumn("_lowest", F.min(F.col("_base") + F.col("_least")).over(before).cast(_WIDE)).drop("_sum", "_least")
-    met = base.join(sums, ["_key", "_block"])
-    w = (F.col("_base") + F.col("_w")).cast(_WIDE)
-    stretch = F.least(w, F.col("_lowest"), (F.col("_base") + F.col("_low")).cast(_WIDE))
-    need = F.col("_n").cast(_WIDE) * token
-    need = F.least(need, F.lit(full).cast(_WIDE)) if debt else need
-    met = met.withColumn("_unit", F.concat_ws("/", F.to_json("_key", {"ignoreNullFields": "false"}), stretch.cast("string"))).withColumn("_sure", F.lit(full).cast(_WIDE) - (w - stretch) >= need)
-    doubtful = met.filter(~F.col("_sure")).select("_unit").distinct().withColumn("_fold", F.lit(True))
-    split = met.join(doubtful, "_unit", "left")
-    clear = split.filter("_fold is null").select(*own, F.lit(True).alias("admitted"))
+    blocks = blocks.withColumn("_base", (F.coalesce(F.sum("_sum").over(before), F.lit(0)) * token).cast(_WIDE))
+    blocks = blocks.withColumn("_lowest", F.min((F.col("_base") + F.col("_least")).cast(_WIDE)).over(before))
+    cuts = F.filter("_full", lambda c: F.col("_lowest").isNull() | ((F.col("_base") + c["_w"]).cast(_WIDE) <= F.col("_lowest")))
+    blocks = blocks.withColumn("_cuts", F.transform(cuts, lambda c: c["_tick"]))
+    blocks = blocks.withColumn("_since", F.max(F.array_max("_cuts")).over(before)).select("_key", "_block", "_cuts", "_since")
+    cut = F.coalesce(F.array_max(F.filter("_cuts", lambda c: c <= F.col("_tick"))), F.col("_since"))
+    met = base.join(blocks, ["_key", "_block"]).withColumn("_unit", F.concat_ws("/", F.to_json("_key", {"ignoreNullFields": "false"}), cut.cast("string")))
+    schema = T.StructType([*rows.schema.fields, T.StructField("admitted", T.BooleanType())])
 
-    def begin() -> Callable:
-        tokens, last = full, None
-
-        def step(at: int, n: int) -> tuple[bool]:
-            nonlocal tokens, last
-            if last is not None and at > last:
-                tokens = min(full, tokens + gain * (at - last))
-            last = at
-            fits = tokens >= (min(n * token, full) if debt else n * token)
-            if fits:
-                tokens -= n * token
-            return (fits,)
-
-        return step
-
-    folded = _folded(split.filter("_fold").select(*own, "_at", "_n", "_unit"), "_unit", ["_at", *order], ["_at", "_n"], [("admitted", T.BooleanType())], begin)
-    return clear.unionByName(folded.select(*own, "admitted"))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, tokens, last = None, full, 0
+        for batch in batches:
+            unit, at, sizes = batch.column("_unit"), batch.column("_at").to_pylist(), batch.column("_n").to_pylist()
+            admitted = np.zeros(len(at), dtype=bool)
+            begins = [0, *(np.flatnonzero(pc.not_equal(unit[1:], unit[:-1]).to_numpy(zero_copy_only=False)) + 1).tolist(), len(at)]
+            for k, end in zip(begins, begins[1:]):
+                if k == end:
+                    continue
+                if (name := unit[k].as_py()) != now:
+                    now, tokens, last = name, full, at[k]
+                least = min(min(sizes[k:end]) * token, full) if debt else min(sizes[k:end]) * token
+                while k < end:
+                    tokens, last = min(full, tokens + gain * (at[k] - last)), at[k]
+                    charge = sizes[k] * token
+                    if tokens >= (min(charge, full) if debt else charge):
+                        tokens -= charge
+                        admitted[k] = True
+                        k += 1
+                    else:
+                        # the refused leave the bucket as it is: on to the first that comes when it holds enough for the smallest
+                        k = bisect_left(at, last - (tokens - least) // gain, k + 1, end)
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in own), pa.array(admitted)], [*own, "admitted"])
+
+    # dealt by a hash of the unit: see _folded()
+    dealt = met.select(*own, "_at", "_n", "_unit").repartition(F.xxhash64("_unit")).sortWithinPartitions("_unit", "_at", *order)
+    return dealt.mapInArrow(run, schema)
 
 
 def throttle(rows: DataFrame, keys: list[str], at_us: str, order: list[str], window_us: int, max_keys: int | None = None, scope: tuple[str, ...] = ()) -> DataFrame:

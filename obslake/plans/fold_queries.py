@@ -54,6 +54,7 @@ ev AS (SELECT trace_id AS id, left(trace_id, 2) AS collector, tm, n, row_number(
 def span_rate_bucket(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Spans of each service and trace prefix through a bucket of one span in six hours."""
     spans = view(spark, sf_dir, "v_spans").withColumns({"at_us": F.col("arrival_ms") * 1000, "part": F.substring("trace_id", 1, 2)})
+    spans = spans.select("part", "at_us", "arrival_ms", "span_id", "start_ns", "end_ns", "name")
     return sampling.span_rate_limit(spans, 1 / 21_600, "at_us", ["span_id", "start_ns", "end_ns", "name"], ("part",)).groupBy("part").agg(F.count("*").alias("n"), F.sum("arrival_ms").alias("at_ms"))
 
 

@@ -60,6 +60,14 @@ def test_only_stretches_in_doubt_are_folded(spark):
     assert folds.token_bucket(burst, 1, "at", ["id"]).filter("not admitted").count() >= 100
 
 
+def test_a_bucket_reads_its_rows_twice(spark):
+    """Once to sum them up by ticks, once to fold them, however many are refused."""
+    rows = spark.range(3000).select("id", (F.col("id") % 3).alias("k"), F.floor(F.col("id") * 7919 % 3000 * SECOND / 40).alias("at"))
+    out = folds.token_bucket(rows, 1 / 7, "at", ["id"], keys=("k",), burst=2)
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("Range (") == 2
+    assert sorted(r.id for r in out.filter("admitted").collect()) == _bucket([(r.id, r.k, r.at, 1) for r in rows.collect()], 1 / 7, 2, True)
+
+
 def test_records_through_a_bucket(spark):
     rows = [(k, "a", 0) for k in range(5)] + [(10 + k, "a", SECOND) for k in range(5)] + [(20, "b", 0)]
     frame = spark.createDataFrame(rows, "id long, k string, at long")

@@ -57,3 +57,16 @@ def test_lines_and_depth(spark):
     rows = [("password=x",), ('{"password":"x"',), (deep,), (shallow,), (None,), ("",)]
     got = [r[0] for r in spark.createDataFrame(rows, "b string").select(typed.scrub_json(F.col("b"), steps)).collect()]
     assert got == ["password=[REDACTED]", '{"password":"[REDACTED]"', deep, shallow.replace('"x"', '"[REDACTED]"'), None, ""]
+
+
+def _text(spark, column):
+    return spark.createDataFrame([("x",)], "b string").select(column.alias("c"))._jdf.queryExecution().analyzed().toString()
+
+
+def test_values_are_scrubbed_once_alone_and_once_by_name(spark):
+    steps = logs.redactions(["defaults"])
+    count = lambda c: _text(spark, c).count("regexp_replace(")
+    assert count(logs.scrub_structured(F.create_map(F.lit("k"), F.col("b")), steps)) == 2 * count(logs.scrub(F.col("b"), steps))
+    body = F.create_map(F.lit("password"), F.lit("x y"), F.lit("token"), F.lit(None), F.lit("note"), F.lit("pwd='a b' \"q\""), F.lit("s"), F.lit('secret: "a b"'))
+    got = spark.range(1).select(logs.scrub_structured(body, steps).alias("m")).first().m
+    assert got == {"password": "[REDACTED] y", "token": None, "note": "pwd='[REDACTED]' \"q\"", "s": 'secret: "[REDACTED]"'}

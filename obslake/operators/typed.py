@@ -10,7 +10,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..functions.selectors import field_of, is_json, parsed_line
-from .logs import Lift, Redaction, scrub
+from .logs import Lift, Redaction, scrub, scrub_named
 
 
 def _path(key: str) -> str:
@@ -81,8 +81,8 @@ def value_text(value: Column) -> Column:
     return F.when(kind == "DOUBLE", number_text(F.try_variant_get(value, "$", "double"))).otherwise(F.try_variant_get(value, "$", "string"))
 
 
-#: Tokens of JSON; levels of nesting below which nothing is looked at.
-_TOKEN, DEPTH = r'("(?:[^"\\]|\\.)*"|[{}\[\]:,]|[^\s{}\[\]:,"]+)', 8
+#: Tokens of JSON (names with their colon, strings, brackets, what is between them), white space, and levels of nesting below which nothing is looked at.
+_TOKEN, _BLANKS, DEPTH = r'("(?:[^"\\]|\\.)*"(?:\s*:)?|[{}\[\]]|[^{}\[\]"]+)', " \t\n\r", 8
 
 
 def scrub_json(body: Column, steps: list[Redaction]) -> Column:
@@ -91,32 +91,34 @@ def scrub_json(body: Column, steps: list[Redaction]) -> Column:
     A value is tried alone, and as key=value if that finds nothing; elements of an array have the key of what holds it. Values that hold no secret
     stay as they were written, and white space between tokens goes.
     """
-    unescaped = lambda t: F.get_json_object(F.concat(F.lit("["), t, F.lit("]")), "$[0]")
+    quoted = lambda t: F.get_json_object(F.concat(F.lit("["), t, F.lit("]")), "$[0]")
+    unescaped = lambda t: F.when(t.contains("\\"), quoted(t)).otherwise(F.substring(t, F.lit(2), F.length(t) - 2))
 
     def leaf(key: Column, token: Column) -> Column:
         def tried(v: Column) -> Column:
-            def judged(r: Column) -> Column:
-                prefix = F.concat(key, F.lit("="))
-                named = F.when(r["named"].startswith(prefix), F.substring(r["named"], F.length(prefix) + 1, F.length(r["named"]))).otherwise(r["named"])
-                new = F.when(r["alone"] != v, r["alone"]).when((key != "") & (r["named"] != F.concat(prefix, v)), named)
-                quoted = F.to_json(F.array(new))
-                return F.when(new.isNull(), token).otherwise(F.substring(quoted, F.lit(2), F.length(quoted) - 2))
+            def written(new: Column) -> Column:
+                text = F.to_json(F.array(new))
+                return F.when(new.isNull() | (new == v), token).otherwise(F.substring(text, F.lit(2), F.length(text) - 2))
 
-            return F.transform(F.array(F.struct(scrub(v, steps).alias("alone"), scrub(F.concat(key, F.lit("="), v), steps).alias("named"))), judged)[0]
+            def judged(alone: Column) -> Column:
+                return F.when((alone != v) | (key == ""), alone).otherwise(scrub_named(key, v, steps))
+
+            return F.transform(F.transform(F.array(scrub(v, steps)), judged), written)[0]
 
         return F.transform(F.array(unescaped(token)), tried)[0]
 
-    def step(acc: Column, p: Column) -> Column:
-        t, stack, key = p["t"], acc["stack"], acc["key"]
-        opens, closes = t.isin("{", "["), t.isin("}", "]")
-        top = F.coalesce(F.try_element_at(stack, F.lit(-1)), F.lit(""))
-        name = F.when(p["is_key"], unescaped(t)).when(t == ",", top).when(closes, top).otherwise(key)
-        held = F.when(opens, F.array_append(stack, key)).when(closes, F.slice(stack, F.lit(1), F.greatest(F.size(stack) - 1, F.lit(0)))).otherwise(stack)
-        value = t.startswith('"') & ~p["is_key"] & (F.size(stack) <= DEPTH)
-        return F.struct(held.alias("stack"), name.alias("key"), F.array_append(acc["out"], F.when(value, leaf(key, t)).otherwise(t)).alias("out"))
+    def step(acc: Column, t: Column) -> Column:
+        stack, key, out = acc["stack"], acc["key"], acc["out"]
+        then = lambda stack, key, text: F.struct(stack.alias("stack"), key.alias("key"), F.concat(out, text).alias("out"))
+        name = F.rtrim(F.left(t, F.length(t) - 1), F.lit(_BLANKS))
+        return (
+            F.when(t.startswith('"'), F.when(t.endswith(":"), then(stack, unescaped(name), F.concat(name, F.lit(":")))).otherwise(then(stack, key, F.when(F.size(stack) <= DEPTH, leaf(key, t)).otherwise(t))))
+            .when(t.isin("{", "["), then(F.array_append(stack, key), key, t))
+            .when(t.isin("}", "]"), then(F.slice(stack, F.lit(1), F.greatest(F.size(stack) - 1, F.lit(0))), F.coalesce(F.try_element_at(stack, F.lit(-1)), F.lit("")), t))
+            .otherwise(then(stack, key, F.translate(t, _BLANKS, "")))
+        )
 
+    # what is written so far is a text: an array of tokens would be copied, token by token, at each of them
     tokens = F.regexp_extract_all(body, F.lit(_TOKEN), F.lit(1))
-    marked = F.transform(F.array(tokens), lambda ts: F.transform(ts, lambda t, i: F.struct(t.alias("t"), F.coalesce(t.startswith('"') & (F.get(ts, i + 1) == ":"), F.lit(False)).alias("is_key"))))[0]
-    none = F.array().cast("array<string>")
-    walked = F.aggregate(marked, F.struct(none.alias("stack"), F.lit("").alias("key"), none.alias("out")), step)["out"]
-    return F.when(F.ltrim(body).rlike(r"^[{\[]") & F.try_parse_json(body).isNotNull(), F.array_join(walked, "")).otherwise(scrub(body, steps))
+    walked = F.aggregate(tokens, F.struct(F.array().cast("array<string>").alias("stack"), F.lit("").alias("key"), F.lit("").alias("out")), step)["out"]
+    return F.when(F.ltrim(body).rlike(r"^[{\[]") & F.try_parse_json(body).isNotNull(), walked).otherwise(scrub(body, steps))

@@ -34,7 +34,7 @@ UNION ALL SELECT log_id, 'took_ms', 'BIGINT', body ->> '$.took_ms' FROM j
 def log_nested_scrub(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every record inside a nested body: its text, a password, and the text again in a list."""
     line, secret = F.to_json(F.array("body")), F.md5(F.col("log_id").cast("string"))
-    rows = log_table(spark, sf_dir).withColumn("nested", F.concat(F.lit('{"n":1,"a":{"b":'), line, F.lit(',"password":"'), secret, F.lit('"},"note":"x","list":[['), line, F.lit("]]}")))
+    rows = log_table(spark, sf_dir, spread=True).withColumn("nested", F.concat(F.lit('{"n":1,"a":{"b":'), line, F.lit(',"password":"'), secret, F.lit('"},"note":"x","list":[['), line, F.lit("]]}")))
     out = rows.select("log_id", typed.scrub_json(F.col("nested"), _STEPS).alias("j"))
     at = lambda p: F.get_json_object("j", p)
     return out.select("log_id", at("$.n").alias("n"), at("$.a.password").alias("password"), at("$.a.b[0]").alias("first"), at("$.list[0][0][0]").alias("second"), at("$.note").alias("note"))

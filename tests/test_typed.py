@@ -70,3 +70,15 @@ def test_values_are_scrubbed_once_alone_and_once_by_name(spark):
     body = F.create_map(F.lit("password"), F.lit("x y"), F.lit("token"), F.lit(None), F.lit("note"), F.lit("pwd='a b' \"q\""), F.lit("s"), F.lit('secret: "a b"'))
     got = spark.range(1).select(logs.scrub_structured(body, steps).alias("m")).first().m
     assert got == {"password": "[REDACTED] y", "token": None, "note": "pwd='[REDACTED]' \"q\"", "s": 'secret: "[REDACTED]"'}
+
+
+def test_bodies_are_walked_without_an_array_of_tokens(spark):
+    """It would be copied at each token, so that a body of twice the length took four times as long."""
+    steps = logs.redactions(["defaults"])
+    assert _text(spark, typed.scrub_json(F.col("b"), steps)).count("array_append(") == 1
+    blanks = '{ "pass\\u0077ord" : "x" , "a" :[ 1 ,\t"Bearer abc" , {"b": null} , true ],"token" : [ "y" ] , "end:" : "z\\n:" }'
+    long = [{"password": f"p{k}", "n": k} for k in range(2000)]
+    frame = spark.createDataFrame([(blanks,), (json.dumps(long),)], "b string").coalesce(1)
+    got = [r[0] for r in frame.select(typed.scrub_json(F.col("b"), steps)).collect()]
+    assert got[0] == '{"pass\\u0077ord":"[REDACTED]","a":[1,"Bearer [REDACTED]",{"b":null},true],"token":["[REDACTED]"],"end:":"z\\n:"}'
+    assert json.loads(got[1]) == [{"password": "[REDACTED]", "n": k} for k in range(2000)]

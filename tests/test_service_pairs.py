@@ -73,3 +73,22 @@ def test_verdicts_of_services_that_are_alike(spark):
         got = tg.explain_all_targets(pods, services, watched, monitors, most)
         plain = lambda d: sorted(tuple(map(str, r)) for r in d.select(*want.columns).collect())
         assert plain(got) == plain(want)
+
+
+def test_points_without_the_label_are_dealt(spark):
+    """They match nothing, so they needn't meet in one task."""
+    points = spark.range(4000).select("id", F.create_map(F.lit("other"), F.lit("x")).alias("labels"), F.create_map(F.lit("k8s.pod.name"), F.lit("p")).alias("resource"))
+    known = spark.createDataFrame([("c", {"k8s.pod.name": "known"})], "id string, attrs map<string,string>")
+    mine = spark.range(1).select((F.col("id") - 1).alias("id"), F.create_map(F.lit("container.id"), F.lit("c")).alias("labels"), F.create_map(F.lit("k8s.pod.name"), F.lit("p")).alias("resource"))
+    settings = {"spark.sql.adaptive.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    was = {k: spark.conf.get(k) for k in settings}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        out = k8s.attribute_points(points.unionByName(mine), known, "container.id")
+        got = out.select("id", "foreign", F.col("resource")["k8s.pod.name"].alias("pod"), F.spark_partition_id().alias("part")).collect()
+    finally:
+        for k, v in was.items():
+            spark.conf.set(k, v)
+    assert {(r.foreign, r.pod) for r in got if r.id >= 0} == {(False, "p")} and [(r.foreign, r.pod) for r in got if r.id < 0] == [(True, "known")]
+    assert len(got) == 4001 and len({r.part for r in got if r.id >= 0}) == 4

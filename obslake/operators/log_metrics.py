@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ..functions import maps
 from ..functions.scalars import bucket_index, cut_utf8
 from ..functions.selectors import SEVERITY, Record, match, resolve, resolve_number
-from .logs import FIELDS, with_fields
+from .logs import FIELDS, settled, with_fields
 
 #: Default histogram bounds.
 BOUNDS = (0.005, 0.01, 0.025, 0.05, 0.075, 0.1, 0.25, 0.5, 0.75, 1.0, 2.5, 5.0, 7.5, 10.0)
@@ -142,13 +142,16 @@ def running_gauge(windows: DataFrame) -> DataFrame:
 
 def held(windows: DataFrame, keys: list[str], window: str, value: str, longest: int | None = None) -> DataFrame:
     """A row for each window from a series' first to the last of all, the value repeated until there is a new one; at most `longest` times."""
+    # settled: both readers see the same columns, so what the windows are made from is shuffled once for the two
+    windows = settled(windows.select(*keys, window, value))
+    series = Window.partitionBy(*keys).orderBy(window)
     last = windows.agg(F.max(window).alias("_last"))
-    spans = windows.groupBy(*keys).agg(F.min(window).alias("_first")).withColumn("_all", F.lit(0)).join(last.withColumn("_all", F.lit(0)), "_all")
-    spine = spans.select(*keys, F.explode(F.sequence("_first", "_last")).alias(window))
-    w = Window.partitionBy(*keys).orderBy(window)
-    held_over = w.rowsBetween(Window.unboundedPreceding if longest is None else -longest, 0)
-    out = spine.join(windows.select(*keys, window, value), [*keys, window], "left")
-    return out.withColumn(value, F.last(value, ignorenulls=True).over(held_over))
+    known = windows.withColumn("_next", F.lead(window).over(series)).crossJoin(last)
+    until = F.greatest(F.col(window), F.coalesce(F.col("_next") - 1, F.col("_last")))
+    spine = known.select(*keys, F.col(window).alias("_own"), value, F.explode(F.sequence(window, until)).alias(window))
+    spine = spine.withColumn(value, F.when(F.col("_own") == F.col(window), F.col(value)))
+    held_over = series.rowsBetween(Window.unboundedPreceding if longest is None else -longest, 0)
+    return spine.select(*keys, window, F.last(value, ignorenulls=True).over(held_over).alias(value))
 
 
 def expired(windows: DataFrame, keys: list[str], window: str, max_age: int, gone_after: int) -> DataFrame:

@@ -161,3 +161,20 @@ def test_config_cases(spark):
     config = logs.ChainConfig(lifts=[logs.Lift("took", "took")], rules=[Rule("drop", regex=("__line__=noise",))])
     assert logs.check_config(spark, config, [{"line": "noise", "kept": False}, {"line": "level=error took=5", "severity": "error", "attributes": {"took": "5"}}]) == []
     assert logs.check_config(spark, config, [{"line": "noise"}]) == ["case 0: kept is False"]
+
+
+def test_series_are_held_from_two_readings(spark):
+    """One for their windows and one for the last of all; a lone window is held to the end, and no further than asked."""
+    base = spark.range(40).select((F.col("id") % 3).cast("string").alias("k"), (F.col("id") * F.col("id") % 29).alias("w"), F.when(F.col("id") % 5 > 0, F.col("id")).alias("v")).filter("k <> '2' or w = 4").dropDuplicates(["k", "w"])
+    rows = {(r.k, r.w): r.v for r in base.collect()}
+    last = max(w for _, w in rows)
+    for longest in (None, 2):
+        want = []
+        for k in {k for k, _ in rows}:
+            for w in range(min(w for j, w in rows if j == k), last + 1):
+                seen = [rows[k, x] for x in range(w, -1 if longest is None else max(-1, w - longest - 1), -1) if rows.get((k, x)) is not None]
+                want.append((k, w, seen[0] if seen else None))
+        windows = spark.createDataFrame([(k, w, v) for (k, w), v in rows.items()], "k string, w long, v long")
+        assert sorted(map(str, want)) == sorted(str(tuple(r)) for r in log_metrics.held(windows, ["k"], "w", "v", longest).select("k", "w", "v").collect())
+    plan = log_metrics.held(spark.range(9).select((F.col("id") % 2).alias("k"), F.col("id").alias("w"), F.col("id").alias("v")), ["k"], "w", "v")
+    assert plan._jdf.queryExecution().optimizedPlan().toString().count("Range (") == 2

@@ -110,7 +110,9 @@ _OTLP_POINTS = """concat('{"resourceMetrics":[{"resource":{"attributes":[{"key":
 
 def otlp_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Points of every shape from each order's export request."""
-    out = readers.otlp_points(_json(spark, sf_dir, "orders", _OTLP_POINTS))
+    # a request is much work and its row is small, so rows are dealt over tasks before requests are made of them
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", "o_custkey").repartition("o_orderkey")
+    out = readers.otlp_points(orders.select(F.expr(_OTLP_POINTS).alias("value")))
     listed = lambda c: F.coalesce(F.array_join(c, ","), F.lit(""))
     return out.select(
         F.col("ts_ns"), "name", "type", "is_monotonic", "temporality", "no_value", "value", "int_value", "count", "sum", listed(F.transform("bounds", lambda b: b.cast("long"))).alias("bounds"), listed("bucket_counts").alias("buckets"),

@@ -70,26 +70,33 @@ def span_rate_limit(spans: DataFrame, rate: float, at_us: str, order: list[str],
 
 @dataclass(frozen=True)
 class Policy:
-    """A named policy: aggregates over a trace's spans, and the verdict from their columns."""
+    """A named policy: votes, each an aggregate function that ignores nulls and what it gets of a span, and the verdict from the votes' columns."""
 
     name: str
-    aggregates: dict[str, Column]
+    votes: dict[str, tuple[Callable[[Column], Column], Column]]
     verdict: Callable[[str], Column]
 
+    @property
+    def aggregates(self) -> dict[str, Column]:
+        """The votes as aggregates over a trace's spans."""
+        return {a: f(c) for a, (f, c) in self.votes.items()}
+
 
 def _when(condition: Column, verdict: str = "sample") -> Column:
     return F.when(F.coalesce(condition, F.lit(False)), verdict)
 
 
-def _value(key: str) -> Column:
-    """A span's attribute, else its resource's."""
+def _value(key: str | Column) -> Column:
+    """A span's attribute, else its resource's; or the column of a table that has one for the attribute, which costs no look-ups in maps."""
+    if isinstance(key, Column):
+        return key
     return F.when(F.map_contains_key("attrs", key), F.col("attrs")[key]).otherwise(F.col("resource")[key])
 
 
 def latency(name: str, at_least_ns: int, at_most_ns: int | None = None) -> Policy:
     """By the time from the first start to the last end; spans without a start don't count, ends before starts count as starts."""
     ok = F.col("start_ns") != 0
-    used = {"first": F.min(F.when(ok, F.col("start_ns"))), "last": F.max(F.when(ok, F.greatest("start_ns", "end_ns")))}
+    used = {"first": (F.min, F.when(ok, F.col("start_ns"))), "last": (F.max, F.when(ok, F.greatest("start_ns", "end_ns")))}
 
     def verdict(p: str) -> Column:
         took = F.col(f"{p}last") - F.col(f"{p}first")
@@ -99,23 +106,23 @@ def latency(name: str, at_least_ns: int, at_most_ns: int | None = None) -> Polic
 
 
 def status_code(name: str, codes: list[str]) -> Policy:
-    return Policy(name, {"hit": F.bool_or(F.col("status").isin(codes))}, lambda p: _when(F.col(f"{p}hit")))
+    return Policy(name, {"hit": (F.bool_or, F.col("status").isin(codes))}, lambda p: _when(F.col(f"{p}hit")))
 
 
-def string_attribute(name: str, key: str, values: list[str] = (), patterns: list[str] = (), invert: bool = False) -> Policy:
+def string_attribute(name: str, key: str | Column, values: list[str] = (), patterns: list[str] = (), invert: bool = False) -> Policy:
     """A span whose attribute (or resource's) is a value or matches a pattern; inverted, a match is a veto."""
     hit = _value(key).isin(list(values))
     for p in patterns:
         hit = hit | _value(key).rlike(p)
-    return Policy(name, {"hit": F.bool_or(F.coalesce(hit, F.lit(False)))}, lambda p: _when(F.col(f"{p}hit"), "veto" if invert else "sample"))
+    return Policy(name, {"hit": (F.bool_or, F.coalesce(hit, F.lit(False)))}, lambda p: _when(F.col(f"{p}hit"), "veto" if invert else "sample"))
 
 
-def numeric_attribute(name: str, key: str, low: float, high: float) -> Policy:
-    return Policy(name, {"hit": F.bool_or(F.coalesce(_value(key).try_cast("double").between(low, high), F.lit(False)))}, lambda p: _when(F.col(f"{p}hit")))
+def numeric_attribute(name: str, key: str | Column, low: float, high: float) -> Policy:
+    return Policy(name, {"hit": (F.bool_or, F.coalesce(_value(key).try_cast("double").between(low, high), F.lit(False)))}, lambda p: _when(F.col(f"{p}hit")))
 
 
-def boolean_attribute(name: str, key: str, value: bool) -> Policy:
-    return Policy(name, {"hit": F.bool_or(F.coalesce(_value(key) == str(value).lower(), F.lit(False)))}, lambda p: _when(F.col(f"{p}hit")))
+def boolean_attribute(name: str, key: str | Column, value: bool) -> Policy:
+    return Policy(name, {"hit": (F.bool_or, F.coalesce(_value(key) == str(value).lower(), F.lit(False)))}, lambda p: _when(F.col(f"{p}hit")))
 
 
 def probabilistic(name: str, percent: float) -> Policy:
@@ -136,7 +143,25 @@ def all_of(name: str, parts: list[Policy]) -> Policy:
             out = F.when(own == "sample", out).when(own == "veto", "veto")
         return out
 
-    return Policy(name, {f"{k}_{a}": c for k, part in enumerate(parts) for a, c in part.aggregates.items()}, verdict)
+    return Policy(name, {f"{k}_{a}": c for k, part in enumerate(parts) for a, c in part.votes.items()}, verdict)
+
+
+def _cast(spans: DataFrame, policies: list[Policy], own: list[str], wait_ms: int | None, most_spans: int | None) -> DataFrame:
+    """Columns of spans (or "*"), what each span gives to the policies' votes (`_p0_hit`), and `_votes`: whether it has a vote.
+
+    What it gives is taken before the shuffle, so that the columns that only votes read (maps of attributes above all) don't travel.
+    """
+    order = ["arrival_ms", "span_id", "start_ns", "end_ns"] if most_spans is not None else ["arrival_ms"] if wait_ms is not None else []
+    given = [c.alias(f"_p{k}_{a}") for k, p in enumerate(policies) for a, (_, c) in p.votes.items()]
+    out = spans.select(*own, *(c for c in order if c not in own and "*" not in own), *given)
+    votes, w = F.lit(True), Window.partitionBy("trace_id")
+    if wait_ms is not None:
+        out = out.withColumn("_first", F.min("arrival_ms").over(w))
+        votes = votes & F.coalesce(F.col("arrival_ms") < F.col("_first") + wait_ms, F.lit(False))
+    if most_spans is not None:
+        out = out.withColumn("_nth", F.row_number().over(w.orderBy(*order)))
+        votes = votes & (F.col("_nth") <= most_spans)
+    return out.withColumn("_votes", votes)
 
 
 def summaries(spans: DataFrame, policies: list[Policy], wait_ms: int | None = None, most_spans: int | None = None) -> DataFrame:
@@ -144,15 +169,8 @@ def summaries(spans: DataFrame, policies: list[Policy], wait_ms: int | None = No
 
     wait_ms: only spans that arrive before the first arrival plus this have a vote; most_spans: nor those past so many.
     """
-    voting = spans
-    if wait_ms is not None or most_spans is not None:
-        w = Window.partitionBy("trace_id")
-        voting = voting.withColumn("_first", F.min("arrival_ms").over(w)).withColumn("_nth", F.row_number().over(w.orderBy("arrival_ms", "span_id", "start_ns", "end_ns")))
-        if wait_ms is not None:
-            voting = voting.filter(F.col("arrival_ms") < F.col("_first") + wait_ms)
-        if most_spans is not None:
-            voting = voting.filter(F.col("_nth") <= most_spans)
-    asked = [c.alias(f"p{k}_{a}") for k, p in enumerate(policies) for a, c in p.aggregates.items()]
+    voting = _cast(spans, policies, ["trace_id", "arrival_ms"], wait_ms, most_spans).filter("_votes")
+    asked = [f(F.col(f"_p{k}_{a}")).alias(f"p{k}_{a}") for k, p in enumerate(policies) for a, (f, _) in p.votes.items()]
     return voting.groupBy("trace_id").agg(F.count("*").alias("n_spans"), F.min("arrival_ms").alias("first_ms"), *asked)
 
 
@@ -165,10 +183,20 @@ def decide(spans: DataFrame, policies: list[Policy], wait_ms: int | None = None,
 
 
 def kept_spans(spans: DataFrame, decisions: DataFrame) -> DataFrame:
-    """Spans of the sampled traces."""
+    """Spans of the sampled traces; keep() has them sooner where the decisions are those of the same spans."""
     return spans.join(decisions.filter("verdict = 'sample'").select("trace_id"), "trace_id", "left_semi")
 
 
+def keep(spans: DataFrame, policies: list[Policy], wait_ms: int | None = None, most_spans: int | None = None) -> DataFrame:
+    """kept_spans() of decide() in one shuffle: a trace's spans stay where its votes are counted, so no join has to bring both together again."""
+    w = Window.partitionBy("trace_id")
+    cast = _cast(spans.filter("trace_id is not null"), policies, ["*"], wait_ms, most_spans)
+    counted = {f"_c{k}_{a}": f(F.when(F.col("_votes"), F.col(f"_p{k}_{a}"))).over(w) for k, p in enumerate(policies) for a, (f, _) in p.votes.items()}
+    first = F.coalesce(*(p.verdict(f"_c{k}_") for k, p in enumerate(policies)), F.lit("drop"))
+    out = cast.withColumns({**counted, "_any": F.bool_or("_votes").over(w)}).filter(F.col("_any") & (first == "sample"))
+    return out.drop(*(c for c in out.columns if c not in spans.columns))
+
+
 def composite(traces: DataFrame, policies: list[Policy], shares: dict[str, float], total_rate: float) -> DataFrame:
     """(trace_id, n_spans, first_ms, policy, verdict) of summaries() under policies with a rate each.
 

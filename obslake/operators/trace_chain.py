@@ -26,12 +26,11 @@ class TraceChain:
 def run_trace_chain(table: DataFrame, chain: TraceChain) -> dict[str, DataFrame]:
     """edges, red and decisions, and exported: the spans of sampled traces among those that head sampling keeps."""
     head = table if chain.head_share >= 1 else sampling.head_sample(table, chain.head_share, chain.keep_errors)
-    decided = sampling.decide(head, chain.policies, wait_ms=chain.wait_ms)
     return {
         "edges": service_graph.edge_metrics(service_graph.pair(table)),
         "red": spans.span_red(table, chain.dims),
-        "decisions": decided,
-        "exported": sampling.kept_spans(head, decided),
+        "decisions": sampling.decide(head, chain.policies, wait_ms=chain.wait_ms),
+        "exported": sampling.keep(head, chain.policies, wait_ms=chain.wait_ms),
     }
 
 

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import maps
+from .logs import settled
 
 #: A larger count isn't one.
 _MAX_COUNT = float(1 << 63)
@@ -225,37 +226,51 @@ def counter_delta(points: DataFrame, keys: list[str], ts: str, value: str) -> Da
 
 
 _SERIES = r"^([A-Za-z_:][\w:]*)(?:\{(.*)\})?\s+(\S+)(?:\s+(-?\d+))?\s*(?:#\s*\{(.*)\}\s+(\S+).*)?$"
-_LABEL = r'([A-Za-z_]\w*)="((?:[^"\\]|\\.)*)"'
+_LABEL = r'([A-Za-z_]\w*)="([^"\\]*(?:\\.[^"\\]*)*)"'
 
 
 def _labels(text: Column) -> Column:
     keys = F.regexp_extract_all(text, F.lit(_LABEL), F.lit(1))
-    values = F.transform(F.regexp_extract_all(text, F.lit(_LABEL), F.lit(2)), lambda v: F.regexp_replace(F.regexp_replace(v, r"\\n", "\n"), r'\\(["\\])', "$1"))
+    plain = lambda v: F.regexp_replace(F.regexp_replace(v, r"\\n", "\n"), r'\\(["\\])', "$1")
+    values = F.transform(F.regexp_extract_all(text, F.lit(_LABEL), F.lit(2)), lambda v: F.when(v.contains("\\"), plain(v)).otherwise(v))
     return F.when(text.isNull() | (text == ""), maps.empty()).otherwise(F.map_from_arrays(keys, values))
 
 
+def _declared(whole: DataFrame) -> DataFrame:
+    """whole (lines: a body's) with types: a map of family to type from its `# TYPE` lines; of several for one family the first counts."""
+    said = F.transform(F.filter("lines", lambda x: x.startswith("#") & x.rlike(r"^#\s*TYPE\s+\S")), lambda x: F.struct(F.regexp_extract(x, r"^#\s*TYPE\s+(\S+)", 1).alias("family"), F.regexp_extract(x, r"(\S+)$", 1).alias("type")))
+    # step by step, since what stands in a lambda is computed for every element
+    out = settled(whole.withColumn("_said", said))
+    out = settled(out.withColumns({"_all": F.col("_said.family"), "_own": F.array_distinct("_said.family")}))
+    types = F.map_from_arrays("_own", F.transform("_own", lambda f: F.get("_said", F.array_position("_all", f).cast("int") - 1)["type"]))
+    return settled(out.select(*whole.columns, types.alias("types")))
+
+
 def parse_exposition(bodies: DataFrame) -> DataFrame:
-    """Samples of scrape bodies (scrape_id, body): types are declared by `# TYPE` lines and joined to the series by family.
+    """Samples of scrape bodies (scrape_id, body): types are declared by `# TYPE` lines and looked up by the series' family, each body by itself.
 
-    Lines that aren't series are marked malformed and keep their text in name.
+    Lines that aren't series are marked malformed and keep their text in name. There is no shuffle: a body's types are a map beside its lines.
     """
-    lines = bodies.select("scrape_id", F.posexplode(F.split("body", "\n")).alias("pos", "line")).withColumn("line", F.trim("line")).filter("line <> ''")
-    types = lines.filter(F.col("line").rlike(r"^#\s*TYPE\s")).select("scrape_id", F.regexp_extract("line", r"^#\s*TYPE\s+(\S+)", 1).alias("family"), F.regexp_extract("line", r"(\S+)$", 1).alias("type")).dropDuplicates(["scrape_id", "family"])
-    series = lines.filter(~F.col("line").startswith("#"))
-    part = lambda k: F.regexp_extract("line", _SERIES, k)
-    good = F.col("line").rlike(_SERIES)
-    text = F.lower(part(3))
-    number = F.when(text.isin("+inf", "inf"), float("inf")).when(text == "-inf", float("-inf")).when(text == "nan", float("nan")).otherwise(part(3).try_cast("double"))
-    out = series.select("scrape_id", "pos", F.when(good, part(1)).otherwise(F.col("line")).alias("name"), F.when(good, number).alias("value"), F.when(good, _labels(part(2))).alias("labels"), F.nullif(part(4), F.lit("")).try_cast("long").alias("ts_ms"), F.nullif(part(6), F.lit("")).alias("exemplar_value"), F.nullif(part(5), F.lit("")).alias("exemplar_labels"))
+    whole = bodies.select("scrape_id", F.transform(F.split("body", "\n"), lambda x: F.trim(x)).alias("lines"))
+    series = _declared(whole).select("scrape_id", "types", F.posexplode("lines").alias("pos", "line")).filter((F.col("line") != "") & ~F.col("line").startswith("#"))
+    # one match gives all parts: no line holds a line feed, so they are cut apart at it
+    cut = F.split(F.regexp_replace("line", _SERIES, "$1\n$2\n$3\n$4\n$5\n$6\n"), "\n")
+    read = settled(series.withColumn("_part", cut))
+    part = lambda k: F.get("_part", F.lit(k - 1))
+    good = F.size("_part") > 1
+    out = read.select("scrape_id", "pos", "types", part(1).alias("name"), part(3).try_cast("double").alias("value"), F.when(good, _labels(part(2))).alias("labels"), F.nullif(part(4), F.lit("")).try_cast("long").alias("ts_ms"), F.nullif(part(6), F.lit("")).alias("exemplar_value"), F.nullif(part(5), F.lit("")).alias("exemplar_labels"))
     # the family is the name, or the name without a suffix that the declared type allows
     suffixes = {"": ("counter", "gauge", "untyped", "unknown", "summary", "histogram"), "_total": ("counter",), "_bucket": ("histogram",), "_sum": ("histogram", "summary"), "_count": ("histogram", "summary")}
-    tried = F.array(*(F.struct(F.lit(k).alias("order"), F.lit(s).alias("suffix"), F.when(F.col("name").endswith(s), F.substring("name", 1, F.length("name") - len(s))).alias("family"), F.array(*map(F.lit, ts)).alias("types")) for k, (s, ts) in enumerate(suffixes.items())))
-    candidates = out.select("scrape_id", "pos", F.inline(tried)).filter("family is not null and family <> ''")
-    found = candidates.join(types, ["scrape_id", "family"]).filter(F.array_contains("types", F.col("type"))).groupBy("scrape_id", "pos").agg(F.min_by(F.struct("family", "type", "suffix"), "order").alias("t"))
+
+    def tried(suffix: str, allowed: tuple[str, ...]) -> Column:
+        family = F.substring("name", 1, F.length("name") - len(suffix))
+        own = F.col("types")[family]
+        return F.when(F.col("name").endswith(suffix) & own.isin(*allowed), F.struct(family.alias("family"), own.alias("type"), F.lit(suffix).alias("suffix")))
+
+    found = out.withColumn("t", F.coalesce(*(tried(s, ts) for s, ts in suffixes.items()))).drop("types")
     role = (
         F.when(F.col("t").isNull() | F.col("t.type").isin("gauge", "untyped", "unknown"), "gauge").when(F.col("t.type") == "counter", "counter")
         .when(F.col("t.suffix") != "", F.concat(F.col("t.type"), F.col("t.suffix"))).when(F.col("t.type") == "summary", "summary_quantile").otherwise("gauge")
     )
-    joined = out.join(found, ["scrape_id", "pos"], "left")
     exemplar = F.when(F.col("exemplar_value").isNotNull(), F.struct(F.col("exemplar_value").try_cast("double").alias("value"), _labels(F.col("exemplar_labels")).alias("labels")))
-    return joined.select("scrape_id", "pos", "name", F.coalesce("t.family", "name").alias("family"), role.alias("role"), "labels", "value", F.coalesce("ts_ms", F.lit(0)).alias("ts_ms"), exemplar.alias("exemplar"), F.col("value").isNull().alias("malformed"))
+    return found.select("scrape_id", "pos", "name", F.coalesce("t.family", "name").alias("family"), role.alias("role"), "labels", "value", F.coalesce("ts_ms", F.lit(0)).alias("ts_ms"), exemplar.alias("exemplar"), F.col("value").isNull().alias("malformed"))

@@ -185,7 +185,7 @@ SELECT event_id, coalesce(CASE WHEN v >= b THEN v - b WHEN b IS NOT NULL THEN v
 def exposition(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bodies written from the samples and parsed again."""
     line = F.concat("name", F.lit("{"), F.concat_ws(",", F.when(F.col("le").isNotNull(), F.concat(F.lit('le="'), F.col("le"), F.lit('"'))), F.concat(F.lit('pod="a\\\\\\"'), F.col("pod"), F.lit('"'))), F.lit("} "), F.col("value").cast("long").cast("string"), F.lit(" "), F.col("scrape_ms").cast("string"))
-    rows = view(spark, sf_dir, "v_samples").groupBy("scrape_id").agg(F.concat_ws("\n", F.lit("# TYPE requests_total counter\n# TYPE temperature gauge\n# HELP latency Some help.\n# TYPE latency histogram"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", line.alias("line")))), lambda x: x["line"]), "\n"), F.lit("not a series")).alias("body"))
+    rows = view(spark, sf_dir, "v_samples").groupBy("user_id", "hour", "scrape_id").agg(F.concat_ws("\n", F.lit("# TYPE requests_total counter\n# TYPE temperature gauge\n# HELP latency Some help.\n# TYPE latency histogram"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", line.alias("line")))), lambda x: x["line"]), "\n"), F.lit("not a series")).alias("body"))
     out = ops.parse_exposition(rows)
     return out.groupBy("name", "family", "role", F.coalesce(F.col("labels")["le"], F.lit("")).alias("le"), "malformed").agg(F.count("*").alias("n"), F.coalesce(F.sum("value"), F.lit(0.0)).alias("total"), F.coalesce(F.min(F.col("labels")["pod"]), F.lit("")).alias("least_pod"))
 

@@ -108,6 +108,16 @@ def test_exposition(spark):
     assert len(e) == 1 and '"trace_id":"t1"' in e[0].exemplars[0]
 
 
+def test_exposition_types_are_looked_up_without_a_join(spark):
+    """A small file may hold many series, so nothing that grows with them may be broadcast; a body's types are its own, also where ids repeat or are missing."""
+    bodies = [("s", "# TYPE a counter\n# TYPE a gauge\na_total 1\na 2\n# TYPE late_sum summary\n_total 3"), ("s", "a_total 4\nlate_sum 5\nlate_sum_count 6\n#TYPE late_sum gauge\n# TYPE"), (None, "x_bucket 7\n  # TYPE x histogram\nx_total 8\nx 9"), ("t", None)]
+    out = samples.parse_exposition(spark.createDataFrame(bodies, "scrape_id string, body string"))
+    got = {r.value: (r.family, r.role) for r in out.collect()}
+    assert got == {1: ("a", "counter"), 2: ("a", "counter"), 3: ("_total", "gauge"), 4: ("a_total", "gauge"), 5: ("late_sum", "gauge"), 6: ("late_sum_count", "gauge"), 7: ("x", "histogram_bucket"), 8: ("x_total", "gauge"), 9: ("x", "gauge")}
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan and "Exchange" not in plan
+
+
 SPAN = "trace_id string, span_id string, parent_span_id string, service string, kind string, status string, start_ns long, end_ns long, arrival_ms long, attrs map<string,string>, resource map<string,string>"
 
 

@@ -34,6 +34,21 @@ def test_hooks_drop_and_rewrite_targets(spark):
     assert [r.url for r in got] == ["http://1.2.3.4:80/metrics", "http://[fe80::1]:80/new"]
 
 
+def test_hooks_see_every_target(spark):
+    """No ceiling of targets a pod comes before them."""
+    from obslake.operators import targets
+    from obslake.plans import cluster_queries, resource_queries
+
+    offered = spark.range(40).select(F.lit("p").alias("pod_uid"), F.concat(F.lit("http://1.1.1.1:"), (F.col("id") % 30).cast("string"), F.lit("/m")).alias("url"), F.lit("pod").alias("source"), F.lit(None).cast("string").alias("service"))
+    assert targets.dedupe_targets(offered, None).count() == 30 and targets.dedupe_targets(offered).count() == 16
+    sf = "/root/testdata/sf0.001"
+    hooked = {r.url: r.n for r in resource_queries.hooked_targets(spark, sf).collect()}
+    kept = {r.pod_uid: r.beyond for r in cluster_queries.scrape_targets(spark, sf).collect()}
+    every = cluster_queries._targets(spark, sf, None)
+    assert sum(kept.values()) > 0 and every.count() == cluster_queries.scrape_targets(spark, sf).count() + sum(kept.values())
+    assert sum(hooked.values()) == every.filter("not contains(url, '/custom')").count()
+
+
 LOG = "body string, attrs map<string,string>, resource map<string,string>, severity_text string, severity_number int, ts_us long"
 
 

@@ -28,6 +28,17 @@ def test_pairs_of_one_selector_are_dealt_over_tasks(spark):
     assert n == 3_000_000 and out.distinct().count() == n and share < 0.7
 
 
+def test_rows_are_shuffled_a_few_times_only(spark):
+    """Once for each block of the other side: 16 blocks until they would be too large to hold, not one more for every 512 rows."""
+    sizes = spark.createDataFrame([(n,) for n in (1, 512, 513, 5_000, 30_000, 130_000, 270_000)], "n long")
+    assert [r.n for r in sizes.select(k8s._blocks("n")).collect()] == [1, 1, 2, 10, 16, 16, 33]
+    services, pods = _cluster(spark, 40_000, 700)
+    out = k8s.select_pods(services, pods)
+    assert out.count() == 28_000_000
+    counted = k8s.pair_up(services.select(F.lit("k").alias("key"), "uid"), pods.select(F.lit("k").alias("key"), F.col("uid").alias("pod")), "key")
+    assert counted.count() == 28_000_000
+
+
 def test_selectors_against_labels(spark):
     services = spark.createDataFrame([("a", "n", {"x": "1"}), ("a2", "n", {"x": "1"}), ("b", "n", {"x": "1", "y": "2"}), ("c", "n", {}), ("d", None, {"x": "1"}), ("e", "n", {"x": None}), ("f", "m", {"x": "1"}), ("g", "n", None)], "uid string, namespace string, selector map<string,string>")
     pods = spark.createDataFrame([("p", "n", {"x": "1"}), ("q", "n", {"y": "2", "x": "1"}), ("r", "n", {"x": None}), ("s", None, {"x": "1"}), ("t", "n", None), ("q", "n", {"x": "1"})], "uid string, namespace string, labels map<string,string>")
@@ -75,6 +86,17 @@ def test_verdicts_of_services_that_are_alike(spark):
         assert plain(got) == plain(want)
 
 
+def test_services_of_one_name_are_told_apart_by_uid(spark):
+    pods = spark.createDataFrame([("p", "p", "ns", "1.1.1.1", "Running", False, False, {}, [("http", 80)], {"app": "web"})], PODS)
+    services = spark.createDataFrame([(u, "same", "ns", port, {tg.SCRAPE: "true"}, {"app": "web"}) for u, port in (("c", "80"), ("a", "http"), ("b", "80"))], SERVICES)
+    none, monitors = pods.select("uid", F.lit("m").alias("monitor")).limit(0), spark.createDataFrame([("m", "http", "", "http")], "monitor string, port string, path string, scheme string")
+    out = tg.explain_targets(pods, services.withColumn("target_port", F.lit("80")), k8s.select_pods(services, pods), none, monitors)
+    assert {r.subject_uid: r.verdict for r in out.filter("source = 'service'").collect()} == {"a": tg.TARGET, "b": tg.DUPLICATE, "c": tg.DUPLICATE}
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    before = plan[: plan.index("Union")]
+    assert before.count("Window") == 2 and before.count("Exchange") == 1, "both windows read one exchange"
+
+
 def test_points_without_the_label_are_dealt(spark):
     """They match nothing, so they needn't meet in one task."""
     points = spark.range(4000).select("id", F.create_map(F.lit("other"), F.lit("x")).alias("labels"), F.create_map(F.lit("k8s.pod.name"), F.lit("p")).alias("resource"))
